@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from doctriage import fixed
+from doctriage.functions.text import collapse_spaces
 
 
 def parse_amount(value: Column) -> Column:
@@ -14,7 +15,7 @@ def parse_amount(value: Column) -> Column:
     With both separators present the last one is the decimal one; commas alone
     are decimal; of several dots only the last is.  NULL if that fails.
     """
-    digits = F.replace(F.btrim(value), F.lit(" "), F.lit(""))
+    digits = F.replace(collapse_spaces(value), F.lit(" "), F.lit(""))
     has_comma, has_dot = F.contains(digits, F.lit(",")), F.contains(digits, F.lit("."))
     comma_is_last = F.instr(F.reverse(digits), ",") < F.instr(F.reverse(digits), ".")
     no_dots = F.replace(digits, F.lit("."), F.lit(""))
@@ -30,7 +31,7 @@ def currency_code(code: Column, symbol: Column) -> Column:
     """The written code in upper case, else the code of the symbol, else NULL."""
     symbols = F.create_map(*[F.lit(x) for pair in fixed.CURRENCY_SYMBOLS.items() for x in pair])
     return F.when(F.coalesce(code, F.lit("")) != "", F.upper(code)).otherwise(
-        F.try_element_at(symbols, F.trim(symbol))
+        F.try_element_at(symbols, collapse_spaces(symbol))
     )
 
 
