@@ -113,7 +113,7 @@ def _near(word: str) -> str:
 
 def _fuzzy() -> str:
     columns = [
-        f"CASE WHEN contains(norm, {lit(w)}) THEN 0.0 WHEN norm <> '' AND ({_near(w)}) THEN 0.5 ELSE 0.0 END::DOUBLE AS \"b_{w}\""
+        f"CASE WHEN contains(norm, {lit(w)}) THEN 0.0 WHEN norm <> '' AND ({_near(w)}) THEN 0.5 ELSE 0.0 END::DOUBLE AS \"b_{w.replace(' ', '_')}\""
         for w in Q.FUZZY_WORDS
     ]
     return f"SELECT path, {', '.join(columns)} FROM ({NORMALIZED})"

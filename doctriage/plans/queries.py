@@ -46,7 +46,10 @@ WORD_RULES = {
 }
 COUNTED_WORDS = ["the", "en", "tion", "gate", "seat", "aa"]
 COUNTED_PATTERNS = [r"th[aeiou]+n", r"[0-9]{1,3}(\.[0-9]{1,3}){3}", r"(the|and)\s+[a-z]{2,}", r"[^ ]+@[^ ]+"]
-FUZZY_WORDS = ["ingtion", "nththere", "itiontheand", "tionthereand", "ofandthetion"]
+FUZZY_WORDS = [
+    "that the an", "the and the", "ther and the", "tion and the", "in the ander", "ing the andes", "de la mente",
+    "es and tion", "andthe",
+]
 MATCH_PATTERN = r"[0-9]{2,}"
 
 
@@ -111,7 +114,7 @@ def fuzzy_boost(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.contains("norm", F.lit(w)), 0.0)
         .when(has_near_match(F.col("norm"), w), fixed.FUZZY_BOOST)
         .otherwise(0.0)
-        .alias(f"b_{w}")
+        .alias("b_" + w.replace(" ", "_"))
         for w in FUZZY_WORDS
     ]
     return norm.select("path", *boosts)
