@@ -103,7 +103,7 @@ def merge_errors(*errors: Column) -> Column:
 
 def number_text(value: Column) -> Column:
     """A double in plain notation ('12345678.9', never '1.23456789E7')."""
-    plain = F.regexp_replace(F.format_string("%s", value.cast("decimal(38,6)")), r"0+$", "")
+    plain = F.regexp_replace(value.cast("decimal(38,6)").cast("string"), r"0+$", "")
     return F.when(F.abs(value) < 1e7, value.cast("string")).otherwise(
         F.regexp_replace(plain, r"\.$", ".0")
     )
