@@ -1,10 +1,10 @@
 """Document triage and field extraction on Spark."""
 
 from doctriage.operators.classify import classify, rule_hits, score_by_table
-from doctriage.operators.invoice import ExtractOptions, extract_invoice
-from doctriage.operators.passport import extract_passport
+from doctriage.operators.invoice import ExtractOptions, extract_invoice, with_invoice
+from doctriage.operators.passport import extract_passport, with_passport
 from doctriage.operators.rename import plan_renames
-from doctriage.operators.ticket import extract_ticket
+from doctriage.operators.ticket import with_ticket
 from doctriage.plans.analyze import analyze
 from doctriage.plans.report import report_rows, result_json, write_json, write_report
 from doctriage.sources.rules import Rules
@@ -16,12 +16,14 @@ __all__ = [
     "classify",
     "extract_invoice",
     "extract_passport",
-    "extract_ticket",
     "plan_renames",
     "report_rows",
     "result_json",
     "rule_hits",
     "score_by_table",
+    "with_invoice",
+    "with_passport",
+    "with_ticket",
     "write_json",
     "write_report",
 ]

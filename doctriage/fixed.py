@@ -182,7 +182,7 @@ STATUS_ANYWHERE = r"\bStatus\b[^A-Za-z0-9]{0,5}([A-Z]{2})\b"
 
 DEPARTING_BLOCK = r"(?is)\bDEPARTING:\s*.*?\bDate\s+\w{3}\s+([0-9]{1,2}\s+[A-Za-z]{3}\s+[0-9]{2,4})"
 FLIGHT_DATE_TABLE = r"(?is)\bFlight\s+Date\b.*?\b(\d{2}\s+[A-Za-z]{3}\s+\d{2,4})\b"
-DAY_MONTH_TOKEN = r"\b(\d{1,2}\s*[A-Z]{3,4})\b"
+DAY_MONTH_TOKEN = r"\b(\d{1,2}\s*(?:{months}))\b"
 DATE_NEAR_CODE = r"(\d{1,2}\s+[A-Za-z]{3}\s+\d{2,4}|\d{1,2}[./-]\d{1,2}[./-]\d{2,4})"
 
 # passports

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from doctriage import fixed
+from doctriage.functions.constants import text_map
 from doctriage.functions.text import collapse_spaces
 
 
@@ -29,9 +30,8 @@ def parse_amount(value: Column) -> Column:
 
 def currency_code(code: Column, symbol: Column) -> Column:
     """The written code in upper case, else the code of the symbol, else NULL."""
-    symbols = F.create_map(*[F.lit(x) for pair in fixed.CURRENCY_SYMBOLS.items() for x in pair])
     return F.when(F.coalesce(code, F.lit("")) != "", F.upper(code)).otherwise(
-        F.try_element_at(symbols, collapse_spaces(symbol))
+        F.try_element_at(text_map(fixed.CURRENCY_SYMBOLS), collapse_spaces(symbol))
     )
 
 

@@ -7,13 +7,13 @@ the plan is built, so re-running a plan gives the same answer on any day.
 
 from __future__ import annotations
 
-import calendar
 import datetime as dt
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from doctriage import fixed
+from doctriage.functions.constants import text_list, text_map
 from doctriage.functions.regex import bind, unicode_regex
 
 _NUMERIC = r"^\s*([0-9]{1,2})([./-])([0-9]{1,2})([./-])([0-9]{2,4})\s*$"
@@ -28,8 +28,7 @@ def _group(value: Column, pattern: str, group: int) -> Column:
 
 
 def _month_number(word: Column, months: dict[str, int]) -> Column:
-    table = F.create_map(*[F.lit(x) for pair in months.items() for x in pair])
-    return F.try_element_at(table, F.upper(word))
+    return F.try_element_at(text_map(months), F.upper(word)).cast("int")
 
 
 def _full_year(year: Column, as_of: dt.date) -> Column:
@@ -43,11 +42,17 @@ def _full_year(year: Column, as_of: dt.date) -> Column:
     return F.when(year < 100, near).otherwise(year)
 
 
+def _days_in_month(year: Column, month: Column) -> Column:
+    """28 to 31, NULL if there is no such month."""
+    leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
+    days = F.get(text_list("31 28 31 30 31 30 31 31 30 31 30 31".split()), month - 1).cast("int")
+    return F.when(leap & (month == 2), F.lit(29)).otherwise(days)
+
+
 def _iso(year: Column, month: Column, day: Column) -> Column:
     """ISO text of a date that exists, else NULL."""
-    y, m, d = (c.cast("string") for c in (year, month, day))
-    exists = F.try_to_date(F.concat_ws("-", F.lpad(y, 4, "0"), m, d), "yyyy-M-d").isNotNull()
-    return F.when(exists & (year >= 1), F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")))
+    exists = (year >= 1) & (day >= 1) & (day <= _days_in_month(year, month))
+    return F.when(exists, F.format_string("%d-%02d-%02d", year, month, day))
 
 
 def _iso_of(parts: Column) -> Column:
@@ -136,9 +141,7 @@ def parse_day_month(token: Column, as_of: dt.date) -> Column:
 
     def resolve(f: Column) -> Column:
         year = _full_year(f["n"], as_of)
-        leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
-        ends = F.array(*[F.lit(min(as_of.day, calendar.monthrange(2001, m)[1])) for m in range(1, 13)])
-        last = F.when(leap & (f["m"] == 2), F.lit(min(as_of.day, 29))).otherwise(F.get(ends, f["m"] - 1))
+        last = F.least(F.lit(as_of.day), _days_in_month(year, f["m"]))
         return _iso_of(
             F.when(f["n"] > 31, _ymd(year, f["m"], last)).otherwise(_ymd(F.lit(as_of.year), f["m"], f["n"]))
         )

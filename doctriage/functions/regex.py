@@ -70,10 +70,7 @@ def count_matches(text: Column, pattern: str) -> Column:
 
 def contains_any(text: Column, words: list[str]) -> Column:
     """True if the text contains one of the words literally."""
-    test = F.lit(False)
-    for word in words:
-        test = test | F.contains(text, F.lit(word))
-    return test
+    return text.rlike("|".join(re.escape(w) for w in words))
 
 
 def find_matches(text: Column, pattern: str, before: int = 0, after: int = 0) -> Column:
@@ -88,25 +85,31 @@ def find_matches(text: Column, pattern: str, before: int = 0, after: int = 0) ->
     """
     java = unicode_regex(pattern)
     gaps = F.split(text, java, -1)
-    hits = F.regexp_extract_all(text, F.lit(java), F.lit(0))
     if after:
         ahead = f"{_FLAGS}(?:{pattern})(?=((?s:.{{0,{after}}})))"
         groups = len(re.findall(r"(?<!\\)\((?!\?)", pattern)) + 1
         afters = F.regexp_extract_all(text, F.lit(ahead), F.lit(groups))
     else:
-        afters = F.transform(hits, lambda _: F.lit(""))
-    items = F.zip_with(
-        F.zip_with(hits, afters, lambda h, a: F.struct(h.alias("hit"), a.alias("after"))),
-        F.slice(gaps, F.lit(1), F.size(hits)),
-        lambda ha, g: F.struct(g.alias("gap"), ha["hit"].alias("hit"), ha["after"].alias("after")),
-    )
+        afters = F.array()
+
+    def items(hits: Column) -> Column:
+        pairs = F.zip_with(hits, gaps, lambda h, g: F.struct(g.alias("gap"), h.alias("hit")))
+        pairs = F.slice(pairs, F.lit(1), F.size(hits))
+        return F.zip_with(
+            pairs,
+            afters,
+            lambda p, a: F.struct(p["gap"].alias("gap"), p["hit"].alias("hit"), F.coalesce(a, F.lit("")).alias("after")),
+        )
+
     row = "struct<start:int,match:string,before:string,after:string>"
-    fold = f"struct<pos:int,ctx:string,out:array<{row}>>"
-    blocks = f"struct<pos:int,ctx:string,out:array<array<{row}>>>"
+    state = f"struct<pos:int,ctx:string,done:array<array<{row}>>,out:array<{row}>>"
 
     def right(value: Column) -> Column:
         return F.right(value, F.lit(before)) if before else F.lit("")
 
+    def fold_state(pos: Column, ctx: Column, done: Column, out: Column) -> Column:
+        return F.struct(pos.alias("pos"), ctx.alias("ctx"), done.alias("done"), out.alias("out")).cast(state)
+
     def step(acc: Column, item: Column) -> Column:
         found = F.struct(
             (acc["pos"] + F.length(item["gap"])).alias("start"),
@@ -114,33 +117,27 @@ def find_matches(text: Column, pattern: str, before: int = 0, after: int = 0) ->
             right(F.concat(acc["ctx"], item["gap"])).alias("before"),
             item["after"].alias("after"),
         )
-        return bind(
-            found,
-            lambda f: F.struct(
-                (f["start"] + F.length(f["match"])).alias("pos"),
-                right(F.concat(f["before"], f["match"])).alias("ctx"),
-                F.concat(acc["out"], F.array(f)).alias("out"),
-            ),
+        return fold_state(
+            acc["pos"] + F.length(item["gap"]) + F.length(item["hit"]),
+            right(F.concat(acc["ctx"], item["gap"], item["hit"])),
+            acc["done"],
+            F.concat(acc["out"], F.array(found)),
         )
 
-    def all_blocks(items: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(items), F.lit(_BLOCK))
-        folded = F.aggregate(
-            starts,
-            F.struct(F.lit(0).alias("pos"), F.lit("").alias("ctx"), F.array().alias("out")).cast(blocks),
-            lambda acc, s: bind(
-                F.aggregate(
-                    F.slice(items, s, F.lit(_BLOCK)),
-                    F.struct(acc["pos"].alias("pos"), acc["ctx"].alias("ctx"), F.array().alias("out")).cast(fold),
-                    step,
-                ),
-                lambda block: F.struct(
-                    block["pos"].alias("pos"),
-                    block["ctx"].alias("ctx"),
-                    F.concat(acc["out"], F.array(block["out"])).alias("out"),
-                ),
-            ),
+    def next_block(acc: Column, items: Column) -> Column:
+        opened = fold_state(acc["pos"], acc["ctx"], F.concat(acc["done"], F.array(acc["out"])), F.array())
+        return F.aggregate(items, opened, step)
+
+    def in_blocks(items: Column) -> Column:
+        return F.aggregate(
+            F.sequence(F.lit(1), F.size(items), F.lit(_BLOCK)),
+            fold_state(F.lit(0), F.lit(""), F.array(), F.array()),
+            lambda acc, s: next_block(acc, F.slice(items, s, F.lit(_BLOCK))),
+            lambda acc: F.flatten(F.concat(acc["done"], F.array(acc["out"]))),
         )
-        return F.when(F.size(items) > 0, F.flatten(folded["out"])).otherwise(F.array().cast(f"array<{row}>"))
 
-    return F.when(text.isNotNull(), bind(items, all_blocks))
+    hits = F.regexp_extract_all(text, F.lit(java), F.lit(0))
+    none = F.array().cast(f"array<{row}>")
+    # Texts without a match, most of them, are done after one search.
+    found = bind(hits, lambda h: F.when(F.size(h) > 0, bind(items(h), in_blocks)).otherwise(none))
+    return F.when(text.isNotNull(), found)

@@ -16,7 +16,7 @@ from doctriage.operators.classify import classify, rule_hits, score, score_by_ta
 from doctriage.operators.invoice import ExtractOptions, extract_invoice
 from doctriage.operators.passport import extract_passport
 from doctriage.operators.rename import plan_renames
-from doctriage.operators.ticket import extract_ticket, passenger_name, with_carrier
+from doctriage.operators.ticket import with_carrier, with_passenger_name, with_ticket
 from doctriage.plans import render
 from doctriage.plans.analyze import EXTRACTORS, analyze, extract, rounded
 from doctriage.plans.report import report_rows, result_json
@@ -290,7 +290,7 @@ def extract_invoices(spark: SparkSession, sf: str) -> DataFrame:
 
 def extract_tickets(spark: SparkSession, sf: str) -> DataFrame:
     texts = render.render_tickets(spark, sf)
-    return _flat(texts.select("key", extract_ticket(F.col("text"), OPTIONS).alias("x")), "x")
+    return _flat(with_ticket(texts, OPTIONS), "flight_ticket")
 
 
 def extract_passports(spark: SparkSession, sf: str) -> DataFrame:
@@ -324,7 +324,7 @@ def best_names(spark: SparkSession, sf: str) -> DataFrame:
         .otherwise(F.concat(F.lit("Ref 12: "), last, F.lit(", "), first, F.lit(" MRS")))
     )
     people = spread(render.table(spark, sf, "customer").select("c_custkey"), "c_custkey")
-    return people.select("c_custkey", passenger_name(written).alias("name"))
+    return with_passenger_name(people.select("c_custkey", written.alias("text")), out="name").select("c_custkey", "name")
 
 
 def carrier_lookup(spark: SparkSession, sf: str) -> DataFrame:
