@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doctriage.llm.common import byte_texts, slices
+from doctriage.llm.common import byte_texts, ship, slices
 
 LENGTH = 2048
 END_ID = 1
@@ -202,5 +202,6 @@ def pack(
 
     if length < 4 * STEP:
         raise ValueError(f"length has to be {4 * STEP} at least")
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.spark_partition_id().alias("part"))
     return rows.mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, {PIECES}")

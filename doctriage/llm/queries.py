@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doctriage.llm import packing, secrets, simhash, tokens
+from doctriage.llm import contamination, packing, repeats, secrets, simhash, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,18 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings of 400 bytes that start twice."""
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences of 2048 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -36,6 +48,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op5_packing, op6_secrets, op7_token_counts)}
+def op8_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items of which 0.8 of the 5-word shingles are in a document."""
+    return contamination.find_contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op4_repeats, op5_packing, op6_secrets, op7_token_counts, op8_contamination)}
 #: The same results as SQL, where SQL can express them.
 ORACLES: dict[str, str] = {}

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doctriage.llm.common import slices, whole_text
+from doctriage.llm.common import ship, slices, whole_text
 
 # Patterns of the base kinds and their least lengths.
 _ASSIGN = re.compile(
@@ -189,6 +189,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             names = ["id", "n_assign", "n_access", "n_hex", "base", "spans", "redacted"]
             yield pa.RecordBatch.from_arrays([part.column(0), *columns], names)
 
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
     out = f"id {dict(docs.dtypes)[id_col]}, n_assign long, n_access long, n_hex long, base string, spans string, redacted string"
     return rows.mapInArrow(run, out).withColumnRenamed("id", id_col)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doctriage.llm.common import (
-    LOWER, PLAIN, byte_texts, longs, partitions, run_starts, slices, stored, whole_runs,
+    LOWER, PLAIN, byte_texts, longs, partitions, run_starts, ship, slices, stored, whole_runs,
 )
 from doctriage.llm.graph import components
 
@@ -62,6 +62,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int = 5, ta
             fps = [fingerprint(shingle_hashes(t, words, table)) for t in byte_texts(part.column(1))]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["id", "fp"])
 
+    ship(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"id {kind}, fp long")
@@ -165,6 +166,7 @@ def links(nodes: DataFrame, distance: int, tile: int = TILE) -> DataFrame:
     that list more than ``tile`` fingerprints are cut into tiles by hash, and every
     two tiles meet in a group of their own, so no task holds a whole hot variant.
     """
+    ship(nodes.sparkSession)
     variants = nodes.select("fp").mapInArrow(_variants(distance), "key long, fp long")
     counts = variants.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     tiles = F.ceil(F.col("n") / F.lit(tile)).cast("int")

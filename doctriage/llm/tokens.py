@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doctriage.llm.common import partitions, shared_folder, slices, whole_text
+from doctriage.llm.common import shared_folder, ship, slices, stored, whole_text
 
 CACHE_SCHEMA = "version string, digest binary, n_tokens long"
 #: Pieces of text whose counts a Python worker remembers.
@@ -118,7 +118,7 @@ def stored_counts(spark: SparkSession, cache: str, version: str) -> DataFrame:
 
 
 def _first_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first row of each digest that this task sees, so that copies are dropped before the shuffle."""
+    """The first row of each digest that this task sees: repeated rows share id and text."""
     seen: set[bytes] = set()
     for batch in batches:
         keep = []
@@ -149,13 +149,19 @@ def count_tokens(
     tokens (or what the tokenizer gives).  Repeated rows are kept, and encoded once.  Other columns are not read.
     """
     spark = docs.sparkSession
+    ship(spark)
     version = tokenizer_version(tokenizer)
     cache = cache or f"{shared_folder(spark)}/llm-token-counts"
     rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
     digest = F.unhex(F.sha2("text", 256)).alias("digest")
-    firsts = rows.select(digest, "text").mapInArrow(_first_of_task, "digest binary, text string")
-    misses = firsts.join(stored_counts(spark, cache, version), "digest", "left_anti")
-    fresh = misses.repartition(partitions(docs), "digest").mapInArrow(_encode(tokenizer), "digest binary, n_tokens long")
+    # One document stands for all copies of a text, so copies need not meet to be encoded once.
+    owners = rows.select("id", digest).groupBy("digest").agg(F.min("id").alias("owner"))
+    misses = stored(owners.join(stored_counts(spark, cache, version), "digest", "left_anti"), "token-misses")
+    wanted = misses.select(F.col("digest").alias("wanted"), "owner")
+    texts = rows.select("id", digest, "text").join(
+        wanted, (F.col("digest") == F.col("wanted")) & F.col("id").eqNullSafe(F.col("owner")), "left_semi"
+    )
+    fresh = texts.select("digest", "text").mapInArrow(_encode(tokenizer), "digest binary, n_tokens long")
     (
         fresh.select(F.lit(version).alias("version"), "digest", "n_tokens")
         .write.mode("append").partitionBy("version").parquet(cache)
