@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doctriage.llm import contamination, packing, repeats, secrets, simhash, tokens
+from doctriage.llm import contamination, hmm, packing, repeats, secrets, simhash, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,11 @@ def op8_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.find_contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op4_repeats, op5_packing, op6_secrets, op7_token_counts, op8_contamination)}
+def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trained on the rows whose crc32 leaves a remainder to 10."""
+    return hmm.score(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op4_repeats, op5_packing, op6_secrets, op7_token_counts, op8_contamination, op10_hmm)}
 #: The same results as SQL, where SQL can express them.
 ORACLES: dict[str, str] = {}
