@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doctriage.llm import contamination, hmm, packing, repeats, secrets, simhash, tokens
+from doctriage.llm import contamination, hmm, packing, repeats, secrets, simhash, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,23 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def held_out(id_col: str = "doc_id") -> Column:
+    """Rows that labels are not learned from: crc32 of the id as text is divisible by 5."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.ToxicityModel:
+    labels = table(spark, sf_dir, "labels")
+    return toxicity.fit(docs, labels.where(~held_out()))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores by a model of the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity_model(spark, docs, sf_dir))
+    return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strings of 400 bytes that start twice."""
     found = repeats.remove_repeats(table(spark, sf_dir, "documents"))
@@ -58,6 +75,6 @@ def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op4_repeats, op5_packing, op6_secrets, op7_token_counts, op8_contamination, op10_hmm)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_toxicity, op4_repeats, op5_packing, op6_secrets, op7_token_counts, op8_contamination, op10_hmm)}
 #: The same results as SQL, where SQL can express them.
 ORACLES: dict[str, str] = {}
