@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doctriage.llm import contamination, hmm, packing, repeats, secrets, simhash, tokens, toxicity
+from doctriage.llm import chat, contamination, covertree, hmm, packing, repeats, secrets, simhash, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation from the view of each of its roles but the system."""
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strings of 400 bytes that start twice."""
     found = repeats.remove_repeats(table(spark, sf_dir, "documents"))
@@ -70,11 +75,21 @@ def op8_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.find_contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five best rows for every 50th vector."""
+    return covertree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trained on the rows whose crc32 leaves a remainder to 10."""
     return hmm.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_toxicity, op4_repeats, op5_packing, op6_secrets, op7_token_counts, op8_contamination, op10_hmm)}
-#: The same results as SQL, where SQL can express them.
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_simhash, op2_toxicity, op3_chat, op4_repeats, op5_packing, op6_secrets, op7_token_counts, op8_contamination, op9_top_k, op10_hmm,
+    )
+}
+#: The same results as SQL, where SQL can express them at a usable speed.
+ORACLES: dict[str, str] = {"op3_chat": chat.ORACLE, "op9_top_k": covertree.ORACLE}
