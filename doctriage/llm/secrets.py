@@ -14,9 +14,11 @@ import json
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from doctriage.llm.common import ship, slices, whole_text
 
@@ -195,5 +197,20 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, out).withColumnRenamed("id", id_col)
 
 
+def redaction(spark: SparkSession):
+    """The text without its secrets, as a function of a text column; NULL stays NULL."""
+    ship(spark)
+
+    @pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        def clean(text: str | None) -> str | None:
+            spans = base_spans(text) | confirmed_spans(text) if text else {}
+            return redacted(text, listed(spans)) if any(spans.values()) else text
+
+        return texts.map(clean)
+
+    return run
+
+
 def digest_of(spans: str) -> str:
     return hashlib.sha256(spans.encode()).hexdigest()

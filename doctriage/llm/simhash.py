@@ -22,6 +22,8 @@ from doctriage.llm.common import (
     LOWER, PLAIN, byte_texts, longs, partitions, run_starts, ship, slices, stored, whole_runs,
 )
 from doctriage.llm.graph import components
+from doctriage.llm.membership import may_hold
+from doctriage.llm.rolling import mixed
 
 SEED = 42
 #: Rows of one variant that one task compares; longer lists are cut into tiles and tiles are paired.
@@ -168,14 +170,13 @@ def links(nodes: DataFrame, distance: int, tile: int = TILE) -> DataFrame:
     """
     ship(nodes.sparkSession)
     variants = nodes.select("fp").mapInArrow(_variants(distance), "key long, fp long")
-    counts = variants.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    tiles = F.ceil(F.col("n") / F.lit(tile)).cast("int")
-    mine = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
+    counts = variants.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile)
+    hot = counts.select("key", F.ceil(F.col("n") / F.lit(tile)).cast("int").alias("tiles"))
+    mine = F.pmod(F.xxhash64("fp"), F.coalesce("tiles", F.lit(1))).cast("int")
     paired = (
-        variants.join(counts, "key")
-        .withColumn("tiles", tiles)
+        variants.join(hot, "key", "left")
         .withColumn("mine", mine)
-        .select("key", "fp", "mine", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+        .select("key", "fp", "mine", F.explode(F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1)).alias("other"))
         .select(
             "key",
             (F.least("mine", "other").cast("long") * F.lit(1 << 31) + F.greatest("mine", "other")).alias("pair"),
@@ -211,4 +212,163 @@ def hex_fingerprint(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-__all__ = ["near_copies", "fingerprints", "fingerprint", "shingle_hashes", "links", "segments", "hex_fingerprint", "PLAIN"]
+# Near copies confirmed on their shingles.
+
+#: Fingerprints that find candidates are of shorter shingles, as one changed word changes fewer of them.
+SEARCH_WORDS, SEARCH_DISTANCE = 2, 9
+#: Of 128 bits over the long shingles, what candidates may differ in; shingles are compared after that.
+SKETCH_DISTANCE = 24
+#: Rows of one variant that are compared each with each; longer lists are spanned from node to node.
+_LONG_RUN = 1024
+
+
+def row_key(id_col: str, text_col: str):
+    """A long that stands for a row's id and text; rows with the same key are repeated rows."""
+    return F.xxhash64(F.col(id_col), F.col(text_col))
+
+
+def _sketches(words: int):
+    """Three fingerprints over different shingles: one of short ones, two of long ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            found = []
+            for text in byte_texts(part.column(1)):
+                long = np.unique(shingle_hashes(text, words, PLAIN))
+                found.append((fingerprint(np.unique(shingle_hashes(text, SEARCH_WORDS, PLAIN))), fingerprint(long), fingerprint(mixed(long + np.uint64(1)))))
+            columns = [pa.array(c.view(np.int64)) for c in np.array(found, np.uint64).reshape(-1, 3).T.copy()]
+            yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["key", "fp", "s1", "s2"])
+
+    return run
+
+
+def _sketch_variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches, 8_192):
+        bits = longs(part.column(1)).view(np.uint64)
+        for first, width in segments(SEARCH_DISTANCE):
+            piece = (bits >> np.uint64(first)) & np.uint64((1 << width) - 1)
+            for at in range(width):
+                variant = _key(piece & ~np.uint64(1 << at), first + at, width)
+                yield pa.RecordBatch.from_arrays([pa.array(variant), *part.columns], ["variant", "node", "fp", "s1", "s2"])
+
+
+def _near(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows within both distances, and their sketches' distance."""
+    fp, s1, s2 = (table.column(c).to_numpy().view(np.uint64) for c in ("fp", "s1", "s2"))
+    key, pair = (table.column(c).to_numpy() for c in ("variant", "pair"))
+    starts = run_starts(key, pair)
+    sizes = np.diff(np.append(starts, len(key)))
+    group = np.repeat(np.arange(len(starts)), sizes)
+    short = np.flatnonzero(np.repeat(sizes <= _LONG_RUN, sizes))
+    found = [np.empty((3, 0), np.int64)]
+
+    def keep(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        close = np.bitwise_count(fp[i] ^ fp[j]) <= SEARCH_DISTANCE
+        i, j = i[close], j[close]
+        far = np.bitwise_count(s1[i] ^ s1[j]).astype(np.int64) + np.bitwise_count(s2[i] ^ s2[j])
+        return np.stack((i, j, far))[:, far <= SKETCH_DISTANCE]
+
+    ids, lag = group[short], 1
+    at = np.arange(len(short))
+    while len(at):
+        at = at[at + lag < len(ids)]
+        at = at[ids[at] == ids[at + lag]]
+        found.append(keep(short[at], short[at + lag]))
+        lag += 1
+    for s, n in zip(starts[sizes > _LONG_RUN].tolist(), sizes[sizes > _LONG_RUN].tolist()):
+        apart = np.arange(s, s + n)
+        while len(apart):
+            queue, apart = [apart[0]], apart[1:]
+            while queue and len(apart):
+                node = queue.pop()
+                links = keep(np.full(len(apart), node), apart)
+                found.append(links)
+                apart = apart[~np.isin(apart, links[1])]
+                queue.extend(links[1].tolist())
+    return tuple(np.concatenate(found, axis=1))
+
+
+def _nearest_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the pairs found, a forest of the nearest ones."""
+    for table in whole_runs(batches, ["variant", "pair"]):
+        node = table.column("node").to_numpy()
+        i, j, far = _near(table)
+        order = np.argsort(far, kind="stable")
+        left, right = _forest(node[i[order]], node[j[order]])
+        if left:
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+
+def _similar(words: int, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 256):
+            keep = []
+            for x, y in zip(byte_texts(part.column(2)), byte_texts(part.column(3))):
+                one, two = (np.unique(shingle_hashes(t, words, PLAIN)) for t in (x, y))
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                union = len(one) + len(two) - both
+                keep.append(both >= least * union - 1e-9)
+            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, tile: int = TILE) -> DataFrame:
+    """(key, id, root): rows by ``row_key``, and the key that stands for their group of near copies.
+
+    Candidates come from deletion variants of a fingerprint over distinct 2-word shingles; they are
+    linked if 128 fingerprint bits over distinct ``words``-word shingles are near and their exact Jaccard
+    similarity is ``least`` or more.  In each list of variants the nearest links that connect it are
+    checked, so a group hangs together by links of at least that similarity.  Texts without words are copies of each other.
+    """
+    ship(docs.sparkSession)
+    rows = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    prints = rows.select("key", "text").mapInArrow(_sketches(words), "key long, fp long, s1 long, s2 long")
+    prints = stored(prints, "sketches")
+    nodes = stored(prints.groupBy("fp", "s1", "s2").agg(F.min("key").alias("node")).select("node", "fp", "s1", "s2"), "sketch-nodes")
+
+    variants = nodes.mapInArrow(_sketch_variants, "variant long, node long, fp long, s1 long, s2 long")
+    hot = variants.groupBy("variant").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile)
+    hot = hot.select("variant", F.ceil(F.col("n") / F.lit(tile)).cast("int").alias("tiles"))
+    tiles = F.coalesce("tiles", F.lit(1))
+    paired = (
+        variants.join(hot, "variant", "left")
+        .withColumn("mine", F.pmod(F.xxhash64("node"), tiles).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+        .select("variant", (F.least("mine", "other").cast("long") * F.lit(1 << 31) + F.greatest("mine", "other")).alias("pair"), "node", "fp", "s1", "s2")
+    )
+    grouped = paired.repartition(partitions(docs), "variant", "pair").sortWithinPartitions("variant", "pair")
+    links = grouped.mapInArrow(_nearest_links, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    links = stored(links.distinct(), "near-links")
+
+    ends = links.select(F.col("a").alias("end")).union(links.select("b")).distinct()
+    texts = rows.where(may_hold(ends)(F.col("key"))).select("key", "text").join(ends, F.col("key") == F.col("end"), "left_semi").dropDuplicates(["key"])
+    texts = stored(texts, "linked-texts")
+    one, two = texts.select(F.col("key").alias("a"), F.col("text").alias("x")), texts.select(F.col("key").alias("b"), F.col("text").alias("y"))
+    sure = links.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_similar(words, least), "a long, b long")
+
+    roots = components(sure)
+    placed = nodes.join(roots, "node", "left").select("fp", "s1", "s2", F.coalesce("root", "node").alias("root"))
+    ids = rows.select("key", "id")
+    return prints.join(placed, ["fp", "s1", "s2"]).select("key", "root").distinct().join(ids.distinct(), "key")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows of ``docs``, all columns kept, of which one stays for each group of near copies: the one with the smallest id.
+
+    Of repeated rows one stays; a NULL id comes last.  Texts that stay are not shuffled,
+    but for few that a filter of fixed size can't tell from those that go.
+    """
+    groups = stored(similar_groups(docs, id_col, text_col, words, least), "groups")
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("first")).select("root", F.col("first.key").alias("kept"))
+    gone = groups.join(first, "root").where("key <> kept").select(F.col("key").alias("gone"))
+    again = docs.select(row_key(id_col, text_col).alias("gone")).groupBy("gone").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gone")
+    gone = stored(gone, "gone")
+    again = stored(again, "repeated")
+    marked = docs.withColumn("__key", row_key(id_col, text_col)).withColumn("__maybe", may_hold(gone.union(again))(F.col("__key")))
+    sure = marked.where(~F.col("__maybe"))
+    rest = marked.where("__maybe").join(gone, F.col("__key") == F.col("gone"), "left_anti").dropDuplicates(["__key"])
+    return sure.unionByName(rest).drop("__key", "__maybe")
+
+
+__all__ = ["near_copies", "similar_groups", "deduplicated", "fingerprints", "fingerprint", "shingle_hashes", "links", "segments", "hex_fingerprint", "PLAIN"]

@@ -13,9 +13,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from doctriage.llm.automaton import Lexicon
 from doctriage.llm.common import ship, slices, stored, whole_text
@@ -220,3 +222,18 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
 
     rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
     return rows.mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, score double, hits {HITS}").withColumnRenamed("id", id_col)
+
+
+def score_of(model: ToxicityModel, spark: SparkSession):
+    """The score as a function of a text column, for filters that keep all columns; NULL scores as the empty text."""
+    ship(spark)
+    shared = spark.sparkContext.broadcast(model)
+
+    @pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        found = shared.value
+        scanner = Scanner(found.terms, found.stems)
+        for texts in batches:
+            yield pd.Series(found.score(np.array([scanner.features(*scanner.hits(t or "")) for t in texts]).reshape(-1, len(FEATURES))))
+
+    return run
