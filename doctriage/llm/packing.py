@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doctriage.llm.common import byte_texts, ship, slices
+from doctriage.llm.common import LOWER, byte_texts, ship, slices
 
 LENGTH = 2048
 END_ID = 1
@@ -34,6 +34,8 @@ SENTENCE_PENALTY = 8.0
 INNER_PENALTY = 64.0
 #: Every sequence costs this besides, so that powers of two don't break the stream into crumbs.
 SEQUENCE_COST = 1.0
+#: Sequences of fewer tokens are not made on purpose.
+LEAST_POWER = 64
 #: Without an end of sentence for two steps, cuts are allowed every step.
 STEP = 128
 #: Tokens that one run of the dynamic programme covers; its end is a cut.
@@ -42,7 +44,7 @@ BLOCK = 1 << 20
 PIECES = (
     "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 )
-_REMEMBERED = 400_000
+_REMEMBERED = 1_000_000
 _LONGEST = 64
 _LOADED: dict = {}
 
@@ -64,30 +66,58 @@ class WordEncoder:
         shape = json.loads(self.tokenizer.to_str())
         splits = (shape.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         self.by_word = splits[0].get("type") == "Split" and splits[0].get("behavior") == "Removed" and splits[0].get("invert")
+        steps = (shape.get("normalizer") or {}).get("normalizers") or []
+        self.lowers = any(n["type"] == "Lowercase" for n in steps) and all(n["type"] in ("NFC", "Replace", "Lowercase") for n in steps)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             self.ends[i] = token.removesuffix("</w>").endswith((".", "!", "?"))
         self.known: dict[bytes, bytes] = {}
+        # A word of one token that no other word's ids hold, to stand between words that are encoded as one text.
+        self.mark, self.mark_id = next(
+            ((w, i) for t, i in sorted(vocabulary.items(), key=lambda x: -x[1]) if (w := t.removesuffix("</w>")) != t and w.isascii() and w.isalpha() and self._alone(w) == [i]),
+            ("", -1),
+        )
 
-    def _encode(self, words: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(e.ids, np.uint32).tobytes() for e in found]
+    def _alone(self, word: str) -> list[int]:
+        return self.tokenizer.encode(word, add_special_tokens=False).ids
 
-    def ids(self, text: bytes) -> np.ndarray:
+    def _encode(self, words: list[str]) -> list[bytes]:
+        """Ids of each word; 64 words make one text for the library, unless one of them holds the mark."""
+        out: list[bytes] = []
+        if not self.by_word or not self.mark:
+            return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        groups = [words[i : i + 64] for i in range(0, len(words), 64)]
+        between = f" {self.mark} "
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast([between.join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(found.ids, np.uint32)
+            marks = np.flatnonzero(ids == self.mark_id)
+            if len(marks) == len(group) - 1:
+                raw, at = ids.tobytes(), marks.tolist()
+                out += [raw[4 * a : 4 * b] for a, b in zip([0, *(m + 1 for m in at)], [*at, len(ids)])]
+            else:
+                out += [np.array(self._alone(w), np.uint32).tobytes() for w in group]
+        return out
+
+    def ids(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each text; words new to this worker are encoded together."""
         if not self.by_word:
-            return np.frombuffer(self._encode([text.decode()])[0], np.uint32)
-        words, known = text.split(), self.known
-        fresh = {w for w in words if w not in known}
-        if fresh:
-            if len(known) + len(fresh) > _REMEMBERED:
-                known.clear()
-                fresh = set(words)
-            new = list(fresh)
-            found = dict(zip(new, self._encode([w.decode() for w in new])))
-            known.update((w, b) for w, b in found.items() if len(w) <= _LONGEST)
-            return np.frombuffer(b"".join([known[w] if w in known else found[w] for w in words]), np.uint32)
-        return np.frombuffer(b"".join(map(known.__getitem__, words)), np.uint32)
+            return [np.frombuffer(b, np.uint32) for b in self._encode([t.decode() for t in texts])]
+        # The normaliser lowers letters; special strings are met before it, so texts that may hold one are left alone.
+        split = [(t.translate(LOWER) if self.lowers and b"<" not in t else t).split() for t in texts]
+        found = [list(map(self.known.get, words)) for words in split]
+        some = [None in f for f in found]
+        fresh = {w for words, f, m in zip(split, found, some) if m for w, b in zip(words, f) if b is None}
+        new = list(fresh)
+        encoded = dict(zip(new, self._encode([w.decode() for w in new]))) if new else {}
+        out = [
+            np.frombuffer(b"".join([encoded[w] if b is None else b for w, b in zip(words, f)] if m else f), np.uint32)
+            for words, f, m in zip(split, found, some)
+        ]
+        if len(self.known) + len(encoded) > _REMEMBERED:
+            self.known.clear()
+        self.known.update((w, b) for w, b in encoded.items() if len(w) <= _LONGEST)
+        return out
 
 
 def encoder(path: str) -> WordEncoder:
@@ -100,22 +130,20 @@ def cut_places(docs: list[np.ndarray], ends: np.ndarray) -> tuple[np.ndarray, np
     """Positions where the stream may be cut, from 0 to its end, and what each costs."""
     stops = np.cumsum([len(d) for d in docs])
     stream = np.concatenate(docs)
-    sentences = np.flatnonzero(ends[np.minimum(stream, len(ends) - 1)]) + 1
-    places = np.union1d(np.append(stops, 0), sentences)
-    gaps = np.flatnonzero(np.diff(places) > 2 * STEP)
-    if len(gaps):
-        inner = [np.arange(places[g] + STEP, places[g + 1] - STEP // 2, STEP) for g in gaps]
-        places = np.union1d(places, np.concatenate(inner))
-    cost = np.full(len(places), INNER_PENALTY)
-    cost[np.isin(places, sentences)] = SENTENCE_PENALTY
-    cost[np.isin(places, stops)] = 0.0
-    return places, cost
+    cost = np.full(len(stream) + 1, np.inf)
+    cost[1:][ends[np.minimum(stream, len(ends) - 1)]] = SENTENCE_PENALTY
+    cost[stops] = cost[0] = 0.0
+    places = np.flatnonzero(np.isfinite(cost))
+    for g in np.flatnonzero(np.diff(places) > 2 * STEP).tolist():
+        cost[places[g] + STEP : places[g + 1] - STEP // 2 : STEP] = INNER_PENALTY
+    places = np.flatnonzero(np.isfinite(cost))
+    return places, cost[places]
 
 
 def best_cuts(places: np.ndarray, cost: np.ndarray, length: int = LENGTH) -> list[int]:
     """The cuts, first and last place included, at least total cost; places no more than ``length`` apart."""
     at, pen = places.tolist(), cost.tolist()
-    powers = [1 << k for k in range(length.bit_length()) if 1 << k <= length]
+    powers = [1 << k for k in range(LEAST_POWER.bit_length() - 1, length.bit_length())]
     index = {p: i for i, p in enumerate(at)}
     best, back = [0.0] * len(at), [0] * len(at)
     queue: deque[tuple[float, int]] = deque([(0.0 + at[0], 0)])
@@ -190,8 +218,8 @@ def pack(
         for batch in slices(batches, 512):
             kind = batch.schema.field(0).type
             part = batch.column(2)[0].as_py()
-            for i, text in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1))):
-                held.append(np.append(words.ids(text), np.uint32(end_id)).astype(np.uint32))
+            for i, found in zip(batch.column(0).to_pylist(), words.ids(byte_texts(batch.column(1)))):
+                held.append(np.append(found, np.uint32(end_id)).astype(np.uint32))
                 ids.append(i)
                 tokens += len(held[-1])
                 if tokens >= BLOCK:
