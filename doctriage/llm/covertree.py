@@ -178,6 +178,12 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
     return spread.mapInArrow(_to_blocks, "block long, size int, ids binary, rows binary")
 
 
+def _some(rows: DataFrame, n: int) -> DataFrame:
+    """At most ``n`` rows, spread over all by a hash; no task sends more than its share."""
+    share = n / max(rows.count(), n)
+    return rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(n)
+
+
 def _best(score: str, row: str, k: int) -> Column:
     return F.slice(F.array_sort(F.collect_set(F.struct((-F.col(score)).alias("s"), F.col(row).alias("vec_id")))), 1, k).alias("best")
 
@@ -199,7 +205,7 @@ def top_k(
     data = stored(_blocks(rows, data_block), "data-blocks")
     queries = stored(_blocks(asked, query_block), "query-blocks")
     seed = [
-        (np.array(r["id"]), np.array(r["v"], np.int64)) for r in rows.orderBy(F.xxhash64("id")).limit(SEED_ROWS).collect()
+        (np.array(r["id"]), np.array(r["v"], np.int64)) for r in _some(rows, SEED_ROWS).collect()
     ]
     shared = spark.sparkContext.broadcast(seed)  # SEED_ROWS rows
 

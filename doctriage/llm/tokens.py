@@ -163,7 +163,7 @@ def count_tokens(
     )
     fresh = texts.select("digest", "text").mapInArrow(_encode(tokenizer), "digest binary, n_tokens long")
     (
-        fresh.select(F.lit(version).alias("version"), "digest", "n_tokens")
+        fresh.dropDuplicates(["digest"]).select(F.lit(version).alias("version"), "digest", "n_tokens")
         .write.mode("append").partitionBy("version").parquet(cache)
     )
     sized = rows.select("id", F.octet_length("text").cast("long").alias("n_bytes"), digest)
