@@ -16,7 +16,6 @@ KEYWORD_WEIGHT = 1.0
 PHRASE_WEIGHT = 1.5
 DEFAULT_REGEX_WEIGHT = 1.0
 FUZZY_BOOST = 0.5
-FUZZY_WINDOW = 10000
 DEFAULT_TEMPERATURE = 1.0
 MIN_TEMPERATURE = 1e-6
 DEFAULT_MIN_CONFIDENCE = 0.6

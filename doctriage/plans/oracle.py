@@ -35,13 +35,16 @@ def matches_of(pattern: str, column: str = "text") -> str:
 
 
 # -- rules -------------------------------------------------------------------
-def _rule_terms(rules: dict) -> list[tuple[str, str, str, str, float]]:
+def _rule_terms(rules: dict, near: bool = True) -> list[tuple[str, str, str, str, float]]:
     """(class, kind, pattern, hits expression, weight)"""
     out = []
     for name, config in rules.items():
         for k in config["keywords"]:
             # A keyword is lowered but keeps its accents, so an accented one never matches.
             out.append((name, "keyword", k, count_of(k.lower()), fixed.KEYWORD_WEIGHT))
+            if near and len(k) > 5:
+                boost = f"CASE WHEN norm <> '' AND NOT contains(norm, {lit(k.lower())}) AND ({_near(k.lower())}) THEN 1 ELSE 0 END"
+                out.append((name, "near", k, boost, fixed.FUZZY_BOOST))
         for p in config["phrases"]:
             out.append((name, "phrase", p, count_of(p.lower()), fixed.PHRASE_WEIGHT))
         for r in config["regexes"]:
@@ -88,7 +91,7 @@ def _top(rules: dict) -> str:
 def _rule_hits(rules: dict) -> str:
     parts = [
         f"SELECT {lit(c)} AS class, {lit(kind)} AS kind, {lit(p)} AS pattern, {hits} AS hits FROM n"
-        for c, kind, p, hits, _ in _rule_terms(rules)
+        for c, kind, p, hits, _ in _rule_terms(rules, near=False)
     ]
     return (
         f"WITH n AS ({NORMALIZED}) SELECT class, kind, pattern, CAST(count(*) FILTER (hits > 0) AS BIGINT) AS documents, "
@@ -98,7 +101,10 @@ def _rule_hits(rules: dict) -> str:
 
 # -- near matches ------------------------------------------------------------
 def _near(word: str) -> str:
-    """Near matches of a word of 6 to 13 letters by listing what may stand for it."""
+    """Near matches of a word of 6 to 15 letters by listing what may stand for it.
+
+    Of longer ones, those without a character put in at the ends of a text.
+    """
     n = len(word)
     minus1 = sorted({word[:i] + word[i + 1:] for i in range(n)})
     minus2 = sorted({w[:i] + w[i + 1:] for w in minus1 for i in range(n - 1)})
@@ -107,7 +113,7 @@ def _near(word: str) -> str:
     tests += [f"(length(norm) >= {n} AND (starts_with(norm, {lit(w)}) OR ends_with(norm, {lit(w)})))" for w in ends]
     if n > 10:
         inside = set(minus1) | {w[:i] + "_" + w[i:] for w in minus1 for i in range(1, n - 1)}
-        tests += [f"(length(norm) >= {n} AND left(norm, 10000) LIKE {lit('%' + w + '%')})" for w in sorted(inside)]
+        tests += [f"(length(norm) >= {n} AND norm LIKE {lit('%' + w + '%')})" for w in sorted(inside)]
     return " OR ".join(tests)
 
 

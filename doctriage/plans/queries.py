@@ -30,13 +30,14 @@ OPTIONS = ExtractOptions(as_of=AS_OF)
 # class names show that rules are data: two are not built in.
 WORD_RULES = {
     "english": {
-        "keywords": ["the", "and", "tion"],
+        # The longer ones have near matches in the texts.
+        "keywords": ["the", "and", "tion", "that the an", "in the ander"],
         "phrases": ["of the", "in the"],
         "regexes": [{"pattern": r"th[aeiou]+n", "weight": 0.5}],
         "temperature": 60.0,
     },
     "romance": {
-        "keywords": ["que", "ción", "cion", "ment"],
+        "keywords": ["que", "ción", "cion", "ment", "de la mente"],
         "phrases": ["de la", "les "],
         "regexes": [{"pattern": r"(de|la|el)\s+[a-z]{4,}", "weight": 1.5}],
         "temperature": 60.0,
@@ -166,7 +167,7 @@ def find_all_matches(spark: SparkSession, sf: str) -> DataFrame:
 # -- classification ----------------------------------------------------------
 def score_wide(spark: SparkSession, sf: str) -> DataFrame:
     rules = word_rules()
-    scored = score(all_texts(spark, sf), rules, fuzzy=False)
+    scored = score(all_texts(spark, sf), rules)
     return scored.select("path", *[F.col(f"_score_{i}").alias(f"s_{c}") for i, c in enumerate(rules.names)])
 
 
@@ -175,7 +176,7 @@ def score_long(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _classified(spark: SparkSession, sf: str) -> DataFrame:
-    return classify(all_texts(spark, sf), word_rules(), fuzzy=False)
+    return classify(all_texts(spark, sf), word_rules())
 
 
 def softmax_probs(spark: SparkSession, sf: str) -> DataFrame:
