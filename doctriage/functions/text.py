@@ -22,19 +22,71 @@ _SPACE = rf"[\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x20\x85\xa0{_HIGH_SPACE}]"
 _SPACE_RUN = rf"{_ODD_SPACE}{_SPACE}*| {_SPACE}+"
 
 
+# Hangul syllables are composed by arithmetic: leading consonant, vowel, trailing consonant or none.
+_HANGUL_FIRST, _HANGUL_LAST, _VOWELS, _TRAILS = 0xAC00, 0xD7A3, 21, 28
+
+
 @lru_cache(maxsize=1)
-def _combining_marks() -> str:
-    """Character class of all characters with a canonical combining class."""
-    marks = [c for c in range(sys.maxunicode + 1) if unicodedata.combining(chr(c))]
+def _decompositions() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters whose compatibility decomposition without combining marks differs from them.
+
+    The first table holds those that become one character or none, the second
+    those that become several; Hangul syllables are left to arithmetic.
+    """
+    single, several = {}, {}
+    for code in range(0x80, sys.maxunicode + 1):
+        char = chr(code)
+        if 0xD800 <= code <= 0xDFFF or _HANGUL_FIRST <= code <= _HANGUL_LAST:
+            continue
+        plain = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
+        if plain != char:
+            (single if len(plain) < 2 else several)[char] = plain
+    return single, several
+
+
+def _char_class(chars: list[str]) -> str:
     ranges: list[list[int]] = []
-    for code in marks:
+    for code in sorted(map(ord, chars)):
         if ranges and code == ranges[-1][1] + 1:
             ranges[-1][1] = code
         else:
             ranges.append([code, code])
-    listed = "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ranges)
-    # The leading range settles the common letters without walking the list.
-    return rf"[\x{{300}}-\x{{10ffff}}&&[{listed}]]+"
+    return "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ranges)
+
+
+@lru_cache(maxsize=1)
+def _strip_tables() -> tuple[str, str, str, str, str]:
+    single, several = _decompositions()
+    kept = [c for c in single if single[c]]
+    gone = [c for c in single if not single[c]]
+    keys = sorted(several)
+    hangul = rf"\x{{{_HANGUL_FIRST:x}}}-\x{{{_HANGUL_LAST:x}}}"
+    # The leading ranges settle common letters without walking the list.
+    several_class = rf"[\x{{a8}}-\x{{10ffff}}&&[{_char_class(keys)}{hangul}]]"
+    return "".join(kept + gone), "".join(single[c] for c in kept), several_class, "".join(keys), "\n".join(several[k] for k in keys)
+
+
+def _several(char: Column) -> Column:
+    """What one of the characters that become several is made of."""
+    _, _, _, keys, values = _strip_tables()
+    at = F.ascii(char) - _HANGUL_FIRST
+
+    def jamo(first: int, count: int, place: Column) -> Column:
+        return F.substr(F.lit("".join(chr(first + i) for i in range(count))), place + 1, F.lit(1))
+
+    syllable = F.concat(
+        jamo(0x1100, 19, F.floor(at / (_VOWELS * _TRAILS)).cast("int")),
+        jamo(0x1161, _VOWELS, F.floor(F.pmod(at, F.lit(_VOWELS * _TRAILS)) / _TRAILS).cast("int")),
+        F.when(F.pmod(at, F.lit(_TRAILS)) > 0, jamo(0x11A7, _TRAILS, F.pmod(at, F.lit(_TRAILS)).cast("int"))).otherwise(""),
+    )
+    place = F.instr(F.lit(keys), char)
+    listed = F.get(F.split(F.lit(values), "\n"), place - 1)
+    return (
+        F.when(char == "", "")
+        .when((at >= 0) & (at <= _HANGUL_LAST - _HANGUL_FIRST), syllable)
+        .when(place > 0, listed)
+        .otherwise(char)
+    )
 
 
 def collapse_spaces(text: Column) -> Column:
@@ -57,14 +109,22 @@ def collapse_spaces(text: Column) -> Column:
 def strip_accents(text: Column) -> Column:
     """Compatibility decomposition without combining marks.
 
-    Pure ASCII (as many bytes as characters) needs neither step.  The rest is
-    decomposed by the ICU library that Spark itself ships for collations.
+    Marks are dropped, so their order does not matter and every character decomposes by
+    itself.  Pure ASCII (as many bytes as characters) needs nothing, most
+    other texts a table of single characters; the rest goes character by
+    character.  All of it is deterministic, so filters on other columns pass below it.
     """
+    before, after, several, _, _ = _strip_tables()
     ascii_only = F.octet_length(text) == F.length(text)
-    decomposed = F.java_method(
-        F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), F.coalesce(text, F.lit("")), F.lit(True)
-    )
-    return F.when(ascii_only, text).otherwise(F.regexp_replace(decomposed, _combining_marks(), ""))
+
+    def finish(plain: Column) -> Column:
+        # Pieces begin with a character that becomes several, so most of a text is copied whole.
+        pieces = F.split(plain, f"(?={several})")
+        done = F.transform(pieces, lambda p: F.concat(_several(F.left(p, F.lit(1))), F.substr(p, F.lit(2))))
+        return F.when(plain.rlike(several), F.array_join(done, "")).otherwise(plain)
+
+    translated = F.translate(text, before, after)
+    return F.when(ascii_only, text).otherwise(bind(translated, finish))
 
 
 def normalize_text(text: Column) -> Column:
@@ -91,6 +151,12 @@ def sanitize_filename(name: Column, max_length: int = fixed.MAX_NAME_LENGTH) ->
     return F.left(F.btrim(clean, F.lit(". ")), F.lit(max_length))
 
 
+def normalized_path(path: Column) -> Column:
+    """One spelling for paths that name the same file: no '//' (but a scheme's), no '/./', no './' in front."""
+    joined = F.regexp_replace(path, "(?<!^[A-Za-z][A-Za-z0-9+.-]{0,30}:/?)/{2,}", "/")
+    return F.regexp_replace(F.regexp_replace(joined, r"(?<=/)(?:\./)+", ""), r"^(?:\./)+(?=.)", "")
+
+
 def text_or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 

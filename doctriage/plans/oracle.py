@@ -453,6 +453,8 @@ def oracle_sql() -> dict[str, str]:
             {codes}[o_orderkey % {len(fixed.KNOWN_AIRLINE_CODES)} + 1] || (o_orderkey % 900 + 100) AS flight_number FROM orders)
             LEFT JOIN (VALUES {carriers}) AS c(code, carrier) ON left(flight_number, 2) = code""",
         "invoice_names": INVOICE_NAMES,
+        "invoice_amounts": """SELECT o_orderkey, printf('%.2f', o_totalprice / 10) AS tenth, printf('%.2f', o_orderkey / 8) AS eighth,
+            printf('%.2f', (o_orderkey * 10 + 5) / 1000) AS half_cent, printf('%.2f', -o_totalprice / 1000) AS negative FROM orders""",
         "ticket_names": TICKET_NAMES,
         "passport_names": PASSPORT_NAMES,
         "target_paths": _targets(),

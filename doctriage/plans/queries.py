@@ -351,6 +351,18 @@ def invoice_names(spark: SparkSession, sf: str) -> DataFrame:
     return x.select("key", name.alias("name"))
 
 
+def invoice_amounts(spark: SparkSession, sf: str) -> DataFrame:
+    """Totals of three decimals and halves of cents as they stand in file names."""
+    orders = render.table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return orders.select(
+        "o_orderkey",
+        amounts.fixed_point(F.col("o_totalprice") / 10).alias("tenth"),
+        amounts.fixed_point(F.col("o_orderkey") / 8).alias("eighth"),
+        amounts.fixed_point((F.col("o_orderkey") * 10 + 5) / 1000).alias("half_cent"),
+        amounts.fixed_point(-F.col("o_totalprice") / 1000).alias("negative"),
+    )
+
+
 def ticket_names(spark: SparkSession, sf: str) -> DataFrame:
     x = extract_tickets(spark, sf)
     fields = ("pnr", "passenger_name", "flight_number", "departure_date", "carrier")
@@ -465,6 +477,7 @@ QUERIES = {
     "best_names": best_names,
     "carrier_lookup": carrier_lookup,
     "invoice_names": invoice_names,
+    "invoice_amounts": invoice_amounts,
     "ticket_names": ticket_names,
     "passport_names": passport_names,
     "target_paths": target_paths,

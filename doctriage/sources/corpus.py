@@ -6,9 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _plain_path(uri: Column) -> Column:
+def _plain_path(path: Column) -> Column:
     """Local file URIs as plain paths, others as they are."""
-    return F.regexp_replace(uri, "^file:/+", "/")
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
+def decoded_path(uri: Column) -> Column:
+    """The path that an encoded file URI stands for: %xx is decoded, + is a plus."""
+    return _plain_path(F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B"))))
 
 
 def list_documents(spark: SparkSession, path: str, recursive: bool = False, pattern: str = "*.[pP][dD][fF]") -> DataFrame:
@@ -42,7 +47,7 @@ def read_text_files(spark: SparkSession, path: str, recursive: bool = False, pat
         .option("pathGlobFilter", pattern)
         .text(path)
         .select(
-            _plain_path(F.col("_metadata.file_path")).alias("path"),
+            decoded_path(F.col("_metadata.file_path")).alias("path"),
             F.col("value").alias("text"),
             F.lit(None).cast("string").alias("errors"),
         )
@@ -58,11 +63,11 @@ def from_table(df: DataFrame, path: Column, text: str = "text", errors: str | No
     )
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Shuffles an input that has fewer splits than the cluster has cores.
+def spread(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
+    """Shuffles an input by a key if the caller asks for it.
 
-    Files with few row groups otherwise keep most cores idle.  Inputs with
-    enough splits, so anything large, pass through untouched.
+    Files with few row groups keep most cores idle; whether a shuffle of their rows pays is
+    for the caller to say, as an argument or as the session's setting ``doctriage.spread``.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    asked = partitions or int(df.sparkSession.conf.get("doctriage.spread", "0"))
+    return df.repartition(asked, key) if asked else df

@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from doctriage.plans.analyze import analyze
 from doctriage.plans.report import result_json
+from doctriage.sources.corpus import decoded_path
 from doctriage.sources.shared import shared_folder
 
 
@@ -23,7 +24,7 @@ def stream_text_files(spark: SparkSession, folder: str, files_per_batch: int = 1
         .option("maxFilesPerTrigger", files_per_batch)
         .load(folder)
         .select(
-            F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("path"),
+            decoded_path(F.col("_metadata.file_path")).alias("path"),
             F.col("value").alias("text"),
             F.lit(None).cast("string").alias("errors"),
         )

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -113,3 +114,30 @@ def test_rule_hits(spark):
     assert got[("keyword", "vat")] == (2, 3)
     assert got[("phrase", "tax")] == (0, 0)
     assert len(got) == 9 + 10 + 9 + 3 + 2 + 1 + 3
+
+
+def test_table_form_equals_unrolled_form(spark):
+    rng = random.Random(8)
+    words = ["purchase order", "invoice", "tion", "itinerary", "boarding pass", "a", "total amount due now ok"]
+    patterns = [r"(?P<q>a)b", "((", r"\d+", "[", r"(?P<x>x)(?P=x)", "total"]
+    for _ in range(4):
+        data = {
+            f"c{i}": {
+                "keywords": rng.sample(words, 3), "phrases": rng.sample(words, 2), "temperature": 2.0,
+                "regexes": [{"pattern": p, "weight": rng.random()} for p in rng.sample(patterns, 3)],
+            }
+            for i in range(3)
+        }
+        rules = Rules.from_dict(data)
+        texts = ["purchase ordr", "ab xx 12 Total", "", None, "iteneration itinerery", "boarding pss " * 3, "z" * 12_000 + " purchaze order"]
+        d = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "path string, text string")
+        wide = score(d, rules.usable(spark)).collect()
+        want = {(r["path"], c): r[f"_score_{i}"] for r in wide for i, c in enumerate(rules.names)}
+        long = {(r["path"], r["class"]): r["score"] for r in score_by_table(d, rules.to_table(spark)).collect()}
+        assert long == want
+
+
+def test_checking_patterns_runs_no_job(spark):
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    Rules.default().usable(spark)
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == list(before)

@@ -20,6 +20,36 @@ def test_normalize_text(evaluate):
     ]
 
 
+def test_every_character_is_decomposed_as_by_definition(spark):
+    chars = [(c, "a" + chr(c) + "b") for c in range(1, 0x110000) if not 0xD800 <= c <= 0xDFFF]
+    df = spark.createDataFrame(chars, "c int, v string")
+    got = dict(df.select("c", text.strip_accents(F.col("v"))).collect())
+    plain = lambda s: "".join(x for x in unicodedata.normalize("NFKD", s) if not unicodedata.combining(x))
+    assert [c for c, v in chars if got[c] != plain(v)] == []
+
+
+def test_mixed_texts_are_decomposed(evaluate):
+    given = ["ﬁ한글é½", "", "ﬀﬀ", "x" * 50 + "㎒" + "각", "e\u0323\u0301 ǅ", "½"]
+    plain = lambda s: "".join(x for x in unicodedata.normalize("NFKD", s) if not unicodedata.combining(x))
+    assert evaluate(given, text.strip_accents) == [plain(g) for g in given]
+
+
+def test_rounding_is_that_of_the_binary_value(spark):
+    rng = random.Random(1)
+    values = [1.005, 2.675, 0.125, 0.375, 0.995, 1e13 + 0.3, 123456789012.345, 98765432109.125, 0.0, 12345.6785, 99.995, 0.00005, 0.12345, -1.005, 2.5e-9]
+    values += [rng.randint(0, 10**7) / 1000 for _ in range(500)] + [rng.randint(0, 10**6) / 8 for _ in range(200)] + [rng.random() for _ in range(500)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    rows = df.select("i", amounts.fixed_point(F.col("v")).alias("t"), amounts.rounded(F.col("v")).alias("r")).collect()
+    got = {r.i: (r.t, r.r) for r in rows}
+    assert [(v, got[i]) for i, v in enumerate(values) if got[i] != ("%.2f" % v, round(v, 4))] == []
+
+
+def test_spellings_of_a_path(evaluate):
+    given = ["a//b/./c", "./x", "s3a://bucket//k", "file:///a//b", "//x", "a/../b", "././y", ".", "./"]
+    want = ["a/b/c", "x", "s3a://bucket/k", "file:///a/b", "/x", "a/../b", "y", ".", "./"]
+    assert evaluate(given, text.normalized_path) == want
+
+
 def test_collapse_spaces_equals_split_and_join(evaluate):
     rng = random.Random(7)
     spaces = [" ", " ", "\n", "\t", "\r\n", "\x0b", "\x0c", "\x1c", "\x1f", "\x85", "\xa0", " ", " ", "　"]

@@ -8,7 +8,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from doctriage import ExtractOptions, Rules, analyze, plan_renames, write_json, write_report
+from doctriage import ExtractOptions, Rules, analyze, classify, plan_renames, write_json, write_report
 from doctriage.functions.text import normalize_text
 from doctriage.plans import render
 from doctriage.plans.report import report_rows
@@ -174,9 +174,14 @@ def test_analysis_is_one_narrow_stage_without_python(spark):
     assert "doc_id" in schema and "text" in schema and "n_chars" not in schema and "source" not in schema
 
 
-def test_normalisation_runs_once_per_document(spark):
-    df = analyze(spark.createDataFrame([("a", "b")], "path string, text string"), options=OPTIONS)
-    assert physical(df).count("java_method") == 1
+def test_filters_pass_below_the_analysis(spark, tmp_path):
+    given = spark.createDataFrame([("a", "b", "d1"), ("c", "é", "d2")], "path string, text string, day string")
+    given.write.partitionBy("day").parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    plan = physical(analyze(docs, options=OPTIONS).filter("path_in = 'a'"))
+    assert "EqualTo(path,a)" in plan and "java_method" not in plan
+    scored = physical(classify(docs).filter("day = 'd1'"))
+    assert "isnotnull(day" in scored[scored.index("PartitionFilters"):].split("]")[0]
 
 
 def test_results_do_not_depend_on_partitioning(spark):
@@ -188,11 +193,19 @@ def test_results_do_not_depend_on_partitioning(spark):
     assert results[0] == results[1] and len(results[0]) == texts.count()
 
 
-def test_spread_leaves_large_inputs_alone(spark):
-    cores = spark.sparkContext.defaultParallelism
-    many = spark.range(0, 100, 1, cores + 1)
-    assert spread(many, "id") is many
-    assert spread(spark.range(0, 10, 1, 1), "id").rdd.getNumPartitions() == cores
+def test_spread_only_on_request(spark):
+    few = spark.range(0, 10, 1, 1)
+    assert spread(few, "id") is few
+    assert spread(few, "id", 5).rdd.getNumPartitions() == 5
+
+
+def test_paths_of_files_are_decoded(spark, tmp_path):
+    names = ["a b%20ü.txt", "c+d.txt", "100%.txt", "plain.txt"]
+    for name in names:
+        (tmp_path / name).write_text("text")
+    want = sorted(str(tmp_path / n) for n in names)
+    assert sorted(r.path for r in read_text_files(spark, str(tmp_path)).collect()) == want
+    assert sorted(r.path for r in list_documents(spark, str(tmp_path), pattern="*").collect()) == want
 
 
 def test_normalize_is_idempotent(spark):
