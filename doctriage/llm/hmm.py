@@ -74,7 +74,7 @@ class Vocabulary:
         return len(self.counts) + len(self.class_tokens)
 
     def unigram(self) -> np.ndarray:
-        weight = np.concatenate((self.counts.astype(float), self.class_tokens + _ADD * (self.class_words + 1)))
+        weight = np.concatenate((self.counts + _ADD * (self.counts == 0), self.class_tokens + _ADD * (self.class_words + 1)))
         return weight / weight.sum()
 
 
@@ -113,18 +113,27 @@ def _with_class(counts: DataFrame, classes: int) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame, head: int = HEAD, classes: int = CLASSES) -> Vocabulary:
-    """The ``head`` most frequent words come to the driver, a bounded list; the rest as totals of its classes."""
+    """The most frequent words, ``head`` of them at most, come to the driver; the rest as totals of its classes."""
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(head).collect()
-    names = {bytes(r["word"]): i for i, r in enumerate(top)}
+    # Numbers of words by the size of their count tell where to cut, so that no task sends words that don't stay.
+    size = F.floor(F.log2("n") * 64).cast("int")
+    sizes = counts.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("size")).collect()
+    least, room = 1 << 20, head - 1  # one place is the end's, seen or not
+    for r in sizes:
+        if r["words"] > room:
+            break
+        least, room = r["size"], room - r["words"]
+    chosen = {bytes(r["word"]): r["n"] for r in counts.where((size >= least) | (F.col("word") == F.lit(END))).collect()}
+    top = sorted({END: 0} | chosen, key=lambda w: (-chosen.get(w, 0), w))
+    names = {w: i for i, w in enumerate(top)}
     tokens, words = np.zeros(classes), np.zeros(classes)
     for r in _with_class(counts, classes).groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
         tokens[r["class"]], words[r["class"]] = r["n"], r["v"]
-    for r in top:  # the head is not part of the classes
-        c = class_of(bytes(r["word"]), classes)
-        tokens[c] -= r["n"]
+    for w, n in chosen.items():  # the head is not part of the classes
+        c = class_of(w, classes)
+        tokens[c] -= n
         words[c] -= 1
-    return Vocabulary(names, np.array([r["n"] for r in top], np.int64), tokens, words, total, distinct)
+    return Vocabulary(names, np.array([chosen.get(w, 0) for w in top], np.int64), tokens, words, total, distinct)
 
 
 def _to_symbols(shared):
@@ -299,7 +308,9 @@ def train(sequences: DataFrame, vocab: Vocabulary, states: int = STATES, passes:
     unigram = vocab.unigram()
     m = vocab.symbols
     rng = np.random.default_rng(seed)
-    sample = sequences.orderBy(F.xxhash64("symbols")).limit(START_SEGMENTS // 4).collect()
+    wanted = START_SEGMENTS // 4
+    share = wanted / max(sequences.count(), wanted)
+    sample = sequences.where(F.pmod(F.xxhash64("symbols"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(wanted).select("symbols").collect()
     segments = _segments([bytes(r["symbols"]) for r in sample], SEGMENT)[:START_SEGMENTS]
     if not segments:
         even = np.full((states, states), 1 / states)
@@ -344,9 +355,10 @@ def _scores(shared):
             sequences = [np.frombuffer(s, np.uint16) for s in byte_texts(part.column(2))]
             likely = np.concatenate([log_likelihoods(model, h) for h in _in_batches(sequences, 1 << 20)]) if sequences else np.empty(0)
             inside = [s[s < head] for s in sequences]
+            known = logs > math.log10(_ADD) + 1e-9  # the end may be unseen
             arrays = [
                 part.column(0), part.column(1), part.column(3),
-                pa.array([len(s) for s in sequences], pa.int64()), pa.array([len(s) for s in inside], pa.int64()),
+                pa.array([len(s) for s in sequences], pa.int64()), pa.array([int(known[s].sum()) for s in inside], pa.int64()),
                 pa.array([float(logs[s].sum()) for s in inside], pa.float64()), pa.array(likely, pa.float64()),
             ]
             yield pa.RecordBatch.from_arrays(arrays, ["uid", "id", "held_out", "n_tokens", "n_head", "head_log", "model_log"])
