@@ -5,7 +5,7 @@ from doctriage.operators.invoice import ExtractOptions, extract_invoice, with_in
 from doctriage.operators.passport import extract_passport, with_passport
 from doctriage.operators.rename import plan_renames
 from doctriage.operators.ticket import with_ticket
-from doctriage.plans.analyze import analyze
+from doctriage.plans.analyze import analyze, store_results, with_move_errors, with_renames
 from doctriage.plans.report import report_rows, result_json, write_json, write_report
 from doctriage.sources.rules import Rules
 
@@ -21,8 +21,11 @@ __all__ = [
     "result_json",
     "rule_hits",
     "score_by_table",
+    "store_results",
     "with_invoice",
+    "with_move_errors",
     "with_passport",
+    "with_renames",
     "with_ticket",
     "write_json",
     "write_report",

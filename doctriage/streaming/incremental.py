@@ -1,8 +1,8 @@
 """Analysis of files as they arrive.
 
 Everything up to the target path is stateless per document, so the batch plan
-runs on a stream as it is.  Collision-free names need the whole corpus and are
-planned in batch over the written results.
+runs on a stream as it is.  Collision-free names need the whole corpus: results
+written by ``write_results_stream`` are read back and planned by ``with_renames``.
 """
 
 from __future__ import annotations
@@ -31,18 +31,26 @@ def stream_text_files(spark: SparkSession, folder: str, files_per_batch: int = 1
     )
 
 
-def write_json_stream(docs: DataFrame, out: str, name: str, **options) -> StreamingQuery:
-    """Appends JSON lines for all documents that are there, then stops.
-
-    ``name`` identifies the progress kept in the shared folder: a later run
-    under the same name only picks up new files.
-    """
-    progress = f"{shared_folder(docs.sparkSession)}/doctriage/stream-{name}"
+def _append(df: DataFrame, form: str, out: str, name: str) -> StreamingQuery:
+    progress = f"{shared_folder(df.sparkSession)}/doctriage/stream-{name}"
     return (
-        result_json(analyze(docs, **options))
-        .writeStream.format("text")
+        df.writeStream.format(form)
         .option("path", out)
         .option("checkpointLocation", progress)
         .trigger(availableNow=True)
         .start()
     )
+
+
+def write_json_stream(docs: DataFrame, out: str, name: str, **options) -> StreamingQuery:
+    """Appends JSON lines for all documents that are there, then stops.
+
+    ``name`` identifies the progress kept in the shared folder: a later run
+    under the same name only picks up new files.
+    """
+    return _append(result_json(analyze(docs, **options)), "text", out, name)
+
+
+def write_results_stream(docs: DataFrame, out: str, name: str, **options) -> StreamingQuery:
+    """The same with whole results, as a Parquet table for reports and ``with_renames``."""
+    return _append(analyze(docs, **options), "parquet", out, name)

@@ -8,13 +8,15 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from doctriage import ExtractOptions, Rules, analyze, classify, plan_renames, write_json, write_report
+from doctriage import (
+    ExtractOptions, Rules, analyze, classify, plan_renames, store_results, with_move_errors, with_renames, write_json, write_report,
+)
 from doctriage.functions.text import normalize_text
 from doctriage.plans import render
 from doctriage.plans.report import report_rows
 from doctriage.sources.corpus import from_table, list_documents, read_text_files, spread
 from doctriage.sources.shared import shared_folder
-from doctriage.streaming.incremental import stream_text_files, write_json_stream
+from doctriage.streaming.incremental import stream_text_files, write_json_stream, write_results_stream
 
 OPTIONS = ExtractOptions(as_of=dt.date(2026, 12, 1))
 TEXTS = {
@@ -160,6 +162,33 @@ def test_stream_picks_up_new_files_only(spark, tmp_path):
     assert run() == ["invoice", "passport"]
 
 
+def test_results_of_a_stream_are_named_afterwards(spark, tmp_path):
+    source, out = tmp_path / "src", tmp_path / "out"
+    source.mkdir()
+    for name in ("a.txt", "b.txt"):
+        (source / name).write_text(TEXTS["docs/inv.pdf"])
+    write_results_stream(stream_text_files(spark, str(source)), str(out), "results", options=OPTIONS, dest="/sorted").awaitTermination()
+    results = spark.read.parquet(str(out))
+    taken = spark.createDataFrame([(r.target,) for r in results.select("target").limit(1).collect()], "path string")
+    got = sorted(r.path_out for r in with_renames(results, taken).collect())
+    target = taken.first().path
+    assert target.startswith("/sorted/Inv_INV-123_ACME GmbH_123.45_2025-07-01.")
+    assert got == [target.replace("-01.txt", "-01-1.txt"), target.replace("-01.txt", "-01-2.txt")]
+    with pytest.raises(ValueError):
+        analyze(stream_text_files(spark, str(source)), rename=True, options=OPTIONS)
+
+
+def test_results_are_stored_once_where_the_caller_says(spark, docs, tmp_path):
+    results = store_results(analyze(docs, options=OPTIONS, dest="sorted"), str(tmp_path / "results"))
+    renamed = with_renames(results)
+    assert {r.path_in: r.path_out for r in renamed.collect()} == {
+        r.path_in: r.path_out for r in analyze(docs, rename=True, dest="sorted", options=OPTIONS).collect()
+    }
+    moves = spark.createDataFrame([("docs/inv.pdf", "rename_error: denied"), ("docs/tic", None)], "path_in string, error string")
+    errors = {r.path_in: r.errors for r in with_move_errors(renamed, moves).collect()}
+    assert errors["docs/inv.pdf"] == "rename_error: denied" and errors["docs/tic"] is None and errors["docs/none.pdf"] == "load_error: x"
+
+
 # -- plan shape and properties ------------------------------------------------
 def physical(df):
     return df._jdf.queryExecution().executedPlan().toString()
