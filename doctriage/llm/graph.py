@@ -19,8 +19,9 @@ def components(links: DataFrame) -> DataFrame:
     Alternates two contractions until nothing changes: every node hands its
     larger neighbours to the smallest node it knows, then its smaller ones.
     The depth of the links at least halves, so rounds grow with the logarithm
-    of the longest chain.  Hot nodes are aggregated before the shuffle, and the
-    joins are ones that adaptive execution can split.  NULLs and loops are left out.
+    of the longest chain.  Hot nodes are aggregated before the shuffle; the aggregates are
+    stored, as adaptive execution splits a hot node's rows only where both sides of a
+    join come straight from a shuffle.  NULLs and loops are left out.
     """
     edges = stored(
         links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links"
@@ -29,10 +30,11 @@ def components(links: DataFrame) -> DataFrame:
     while mark[0]:
         # a > b throughout: each row is a node and a smaller neighbour.
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        nearest = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        nearest = stored(nearest, "nearest")
+        large = both.where("b > a").join(nearest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = stored(large, "links-large")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = stored(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = (
             large.join(least, "a")
             .where("b <> m")
@@ -41,8 +43,8 @@ def components(links: DataFrame) -> DataFrame:
             .distinct()
         )
         after = stored(small, "links-small")
-        forget(edges)
-        forget(large)
+        for table in (edges, nearest, large, least):
+            forget(table)
         now = _mark(after)
         edges = after
         if now == mark:

@@ -171,7 +171,8 @@ def links(nodes: DataFrame, distance: int, tile: int = TILE) -> DataFrame:
     ship(nodes.sparkSession)
     variants = nodes.select("fp").mapInArrow(_variants(distance), "key long, fp long")
     counts = variants.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile)
-    hot = counts.select("key", F.ceil(F.col("n") / F.lit(tile)).cast("int").alias("tiles"))
+    # Stored first, so that Spark knows how few they are and need not shuffle all variants to find them.
+    hot = stored(counts.select("key", F.ceil(F.col("n") / F.lit(tile)).cast("int").alias("tiles")), "hot-variants")
     mine = F.pmod(F.xxhash64("fp"), F.coalesce("tiles", F.lit(1))).cast("int")
     paired = (
         variants.join(hot, "key", "left")
@@ -202,7 +203,8 @@ def near_copies(
     nodes = stored(prints.groupBy("fp").agg(F.min("id").alias("least")), "fingerprint-nodes")
     roots = components(links(nodes, distance))
     placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    names = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    placed = stored(placed, "placed")
+    names = stored(placed.groupBy("root").agg(F.min("least").alias("component_id")), "component-names")
     named = placed.join(names, "root").select("fp", "component_id")
     return prints.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
@@ -329,7 +331,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     variants = nodes.mapInArrow(_sketch_variants, "variant long, node long, fp long, s1 long, s2 long")
     hot = variants.groupBy("variant").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile)
-    hot = hot.select("variant", F.ceil(F.col("n") / F.lit(tile)).cast("int").alias("tiles"))
+    hot = stored(hot.select("variant", F.ceil(F.col("n") / F.lit(tile)).cast("int").alias("tiles")), "hot-variants")
     tiles = F.coalesce("tiles", F.lit(1))
     paired = (
         variants.join(hot, "variant", "left")
@@ -361,6 +363,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     groups = stored(similar_groups(docs, id_col, text_col, words, least), "groups")
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("first")).select("root", F.col("first.key").alias("kept"))
+    first = stored(first, "first-of-group")
     gone = groups.join(first, "root").where("key <> kept").select(F.col("key").alias("gone"))
     again = docs.select(row_key(id_col, text_col).alias("gone")).groupBy("gone").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gone")
     gone = stored(gone, "gone")
