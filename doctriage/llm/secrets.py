@@ -14,11 +14,10 @@ import json
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from doctriage.llm.common import ship, slices, whole_text
 
@@ -201,13 +200,15 @@ def redaction(spark: SparkSession):
     """The text without its secrets, as a function of a text column; NULL stays NULL."""
     ship(spark)
 
-    @pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        def clean(text: str | None) -> str | None:
-            spans = base_spans(text) | confirmed_spans(text) if text else {}
-            return redacted(text, listed(spans)) if any(spans.values()) else text
+    def clean(text: str | None) -> str | None:
+        spans = base_spans(text) | confirmed_spans(text) if text else {}
+        return redacted(text, listed(spans)) if any(spans.values()) else text
 
-        return texts.map(clean)
+    @arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        parts = (texts.slice(start, 512) for start in range(0, len(texts), 512))
+        done = [pa.array([clean(t) for t in p.to_pylist()], pa.string()) for p in parts]
+        return pa.concat_arrays(done) if done else pa.array([], pa.string())
 
     return run
 

@@ -13,11 +13,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from doctriage.llm.automaton import Lexicon
 from doctriage.llm.common import ship, slices, stored, whole_text
@@ -29,7 +28,7 @@ MAX_TERMS = 2_000
 WINDOW = 8
 _STEM = range(4, 9)
 _STEM_ENDINGS = 6
-_REMEMBERED = 500_000
+_REMEMBERED = 300_000
 _WORD = re.compile(r"[^\W_]+")
 _WORD_OR_MARK = re.compile(r"[^\W_]+|[\"“”„«»]")
 _OPEN, _CLOSE = "\"“„«", "\"”“»"
@@ -229,11 +228,14 @@ def score_of(model: ToxicityModel, spark: SparkSession):
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
 
-    @pandas_udf("double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         found = shared.value
         scanner = Scanner(found.terms, found.stems)
         for texts in batches:
-            yield pd.Series(found.score(np.array([scanner.features(*scanner.hits(t or "")) for t in texts]).reshape(-1, len(FEATURES))))
+            rows = [
+                scanner.features(*scanner.hits(t or "")) for start in range(0, len(texts), 512) for t in texts.slice(start, 512).to_pylist()
+            ]
+            yield pa.array(found.score(np.array(rows).reshape(-1, len(FEATURES))))
 
     return run
