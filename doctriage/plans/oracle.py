@@ -169,6 +169,30 @@ PASSPORTS = f"""
     strftime(DATE '2026-01-01' + CAST(c_custkey % 3650 AS INTEGER), '%Y-%m-%d') AS date_of_expiry
   FROM customer JOIN nation ON c_nationkey = n_nationkey
 """
+PLACES = "['TIP', 'BEN', 'TUN', 'IST', 'CDG']"
+CLOCK = "lpad(CAST(o_orderkey % 11 + 1 AS VARCHAR), 2, '0') || ':' || lpad(CAST(o_orderkey % 60 AS VARCHAR), 2, '0')"
+TICKET_FALLBACKS = f"""
+  SELECT o_orderkey,
+    CASE WHEN k < 4 THEN '928' || lpad(CAST(o_orderkey AS VARCHAR), 10, '0') END AS ticket_number,
+    ['XY', 'LH', 'UZ', 'TK', NULL][k + 1] || (o_orderkey % 900 + 100) AS flight_number,
+    CASE WHEN k < 4 THEN {PLACES}[o_orderkey % 5 + 1] END AS origin,
+    CASE WHEN k < 4 THEN {PLACES}[(o_orderkey + 1) % 5 + 1] END AS destination,
+    CASE WHEN k = 0 THEN (o_orderkey % 11 + 13) || ':' || lpad(CAST(o_orderkey % 60 AS VARCHAR), 2, '0')
+         WHEN k < 4 THEN {CLOCK} END AS departure_time,
+    ['09:40', NULL, '21:30', '23:59', NULL][k + 1] AS arrival_time,
+    CASE WHEN k < 3 THEN strftime(day, '%Y-%m-%d') WHEN k = 3 THEN {in_year('day')} END AS departure_date,
+    [NULL, NULL, 'EC', 'Y', NULL][k + 1] AS booking_class,
+    ['HK', NULL, NULL, 'OK', NULL][k + 1] AS status
+  FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, o_orderkey % 5 AS k FROM orders)
+"""
+INVOICE_FALLBACKS = f"""
+  SELECT o_orderkey,
+    CASE k WHEN 0 THEN 'INV-' || o_orderkey WHEN 1 THEN 'B-' || lpad(CAST(o_orderkey AS VARCHAR), 6, '0') END AS invoice_number,
+    CASE k WHEN 0 THEN 'ACME ' || {letters('o_orderkey')} || ' GmbH' END AS customer_name,
+    CASE WHEN k < 2 THEN strftime(o_orderdate, '%Y-%m-%d') END AS invoice_date,
+    round(o_totalprice, 2) AS total_value, ['GBP', 'USD', 'EUR'][k + 1] AS currency
+  FROM (SELECT *, o_orderkey % 3 AS k FROM orders)
+"""
 INVOICE_NAMES = f"""
   SELECT key, 'Inv_' || invoice_number || '_' || customer_name || '_' || printf('%.2f', total_value) || '_' || invoice_date || '.pdf' AS name
   FROM ({INVOICES})
@@ -452,6 +476,8 @@ def oracle_sql() -> dict[str, str]:
         "carrier_lookup": f"""SELECT o_orderkey, flight_number, carrier FROM (SELECT o_orderkey,
             {codes}[o_orderkey % {len(fixed.KNOWN_AIRLINE_CODES)} + 1] || (o_orderkey % 900 + 100) AS flight_number FROM orders)
             LEFT JOIN (VALUES {carriers}) AS c(code, carrier) ON left(flight_number, 2) = code""",
+        "ticket_fallbacks": TICKET_FALLBACKS,
+        "invoice_fallbacks": INVOICE_FALLBACKS,
         "invoice_names": INVOICE_NAMES,
         "invoice_amounts": """SELECT o_orderkey, printf('%.2f', o_totalprice / 10) AS tenth, printf('%.2f', o_orderkey / 8) AS eighth,
             printf('%.2f', (o_orderkey * 10 + 5) / 1000) AS half_cent, printf('%.2f', -o_totalprice / 1000) AS negative FROM orders""",

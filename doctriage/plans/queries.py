@@ -11,7 +11,7 @@ from doctriage import fixed
 from doctriage.functions import amounts, dates, names, text
 from doctriage.functions.fuzzy import has_near_match
 from doctriage.functions.regex import count_matches, find_matches
-from doctriage.operators import naming
+from doctriage.operators import naming, ticket
 from doctriage.operators.classify import classify, rule_hits, score, score_by_table
 from doctriage.operators.invoice import ExtractOptions, extract_invoice
 from doctriage.operators.passport import extract_passport
@@ -294,6 +294,83 @@ def extract_tickets(spark: SparkSession, sf: str) -> DataFrame:
     return _flat(with_ticket(texts, OPTIONS), "flight_ticket")
 
 
+def _by_kind(kinds: list[Column]) -> Column:
+    """One of several ways of writing, chosen by the order's key."""
+    key = F.col("o_orderkey")
+    return F.coalesce(*[F.when(key % len(kinds) == i, F.concat(*k) if isinstance(k, tuple) else k) for i, k in enumerate(kinds)])
+
+
+def ticket_fallbacks(spark: SparkSession, sf: str) -> DataFrame:
+    """Ticket fields written in the ways that only the later patterns of each field find."""
+    key, day, lit = F.col("o_orderkey"), F.col("day"), F.lit
+    ten = F.lpad(key.cast("string"), 10, "0")
+    number = (key % 900 + 100).cast("string")
+    places = F.array(*[lit(p) for p in ("TIP", "BEN", "TUN", "IST", "CDG")])
+    origin, goal = F.get(places, (key % 5).cast("int")), F.get(places, ((key + 1) % 5).cast("int"))
+    hour, minute = F.lpad((key % 11 + 1).cast("string"), 2, "0"), F.lpad((key % 60).cast("string"), 2, "0")
+    clock = F.concat(hour, lit(":"), minute)
+    texts = {
+        "ticket_text": _by_kind([
+            (lit("ETKT 928 "), ten, lit("/01")), (lit("TKT: 928 "), ten), (lit("no label 928-"), ten), (lit("ticket928"), ten, lit("x")),
+            (lit("TICKET 928-"), F.left(ten, lit(8))),
+        ]),
+        "flight_text": _by_kind([
+            (lit("Flight No. : xy "), number), (lit("Flight Date\nLH "), number, lit(" 02JUN")),
+            (lit("Flight Date\nXX 456 then uz "), number), (lit("JUN 2025, B737 and TK-"), number), (lit("A3 "), number),
+        ]),
+        "route_text": _by_kind([
+            (lit("("), F.lower(origin), lit(") → ("), goal, lit(")")), (origin, lit(" - "), goal),
+            (lit("FROM: "), origin, lit("\nTO: "), goal, lit("\n")),
+            (lit("flying from Tunis ("), origin, lit(") 12:00 to Paris "), goal), lit("no route"),
+        ]),
+        "time_text": _by_kind([
+            (lit("Departure "), clock, lit(" PM Arrival 9.40")), (hour, lit("h"), minute, lit(" DEP")),
+            (lit("x 01:00\n"), origin, lit(" "), clock, lit(" "), goal, lit(" 21:30\nflight 1:11 2:22")),
+            (lit("ARR 23:59\nFlight "), clock, lit(" 08:00")), lit("none"),
+        ]),
+        "date_text": _by_kind([
+            (lit("DEPARTING: x\nDate Mon "), F.date_format(day, "dd MMM yyyy")),
+            (lit("Flight Date\nLH 12 "), F.date_format(day, "dd MMM yy")),
+            (lit("seat on LH 123 at "), F.date_format(day, "dd/MM/yyyy")),
+            (lit("ISSUED 01MAR; "), F.repeat(lit("x"), lit(60)), lit(" go "), F.upper(F.date_format(day, "ddMMM"))),
+            (lit("ISSUED "), F.upper(F.date_format(day, "ddMMM"))),
+        ]),
+        "status_text": _by_kind([lit("x Status HK"), lit("x status HK"), lit("cabin class (ec)"), lit("Class:\n y\nstatus: ok"), lit("classy")]),
+    }
+    written = _dated_orders(spark, sf).select("o_orderkey", *[t.alias(n) for n, t in texts.items()])
+    route, times = ticket.route(F.col("route_text")), ticket.times(F.col("time_text"))
+    found = written.select(
+        "o_orderkey",
+        ticket.ticket_number(F.col("ticket_text")).alias("ticket_number"),
+        ticket.flight_number(F.col("flight_text")).alias("flight_number"),
+        route.alias("r"),
+        times.alias("t"),
+        ticket.departure_date(F.col("date_text"), OPTIONS).alias("departure_date"),
+        ticket.booking_class(F.col("status_text")).alias("booking_class"),
+        ticket.status(F.col("status_text")).alias("status"),
+    )
+    return found.select(
+        "o_orderkey", "ticket_number", "flight_number", F.col("r.origin").alias("origin"), F.col("r.destination").alias("destination"),
+        F.col("t.departure_time").alias("departure_time"), F.col("t.arrival_time").alias("arrival_time"), "departure_date", "booking_class", "status",
+    )
+
+
+def invoice_fallbacks(spark: SparkSession, sf: str) -> DataFrame:
+    """Invoices in other notations: date in words, total by code or symbol, the customer on a line of its own, or none."""
+    key, lit = F.col("o_orderkey"), F.lit
+    orders = render.table(spark, sf, "orders").select("o_orderkey", "o_totalprice", F.to_date("o_orderdate").alias("day"))
+    us = F.format_number("o_totalprice", 2)
+    text_of = _by_kind([
+        (lit("Invoice No: INV-"), key, lit("\nBill To:\nACME "), render.letters(key), lit(" GmbH\nInvoice Date: "), F.date_format("day", "d MMMM yyyy"), lit("\nTotal: £ "), us, lit("\n")),
+        (lit("Invoice No. B-"), F.lpad(key.cast("string"), 6, "0"), lit("\nDate: "), F.date_format("day", "dd/MM/yyyy"), lit("\nTotal: "), us, lit(" usd\n")),
+        (lit("Rechnung\nAmount Due: € "), F.translate(us, ",.", ".,"), lit("\n")),
+    ])
+    x = extract_invoice(F.col("text"), OPTIONS)
+    return orders.select("o_orderkey", text_of.alias("text")).select("o_orderkey", x.alias("x")).select(
+        "o_orderkey", "x.invoice_number", "x.customer_name", "x.invoice_date", "x.total_value", "x.currency"
+    )
+
+
 def extract_passports(spark: SparkSession, sf: str) -> DataFrame:
     texts = render.render_passports(spark, sf)
     return _flat(texts.select("key", extract_passport(F.col("text"), OPTIONS).alias("x")), "x")
@@ -472,6 +549,8 @@ QUERIES = {
     "currency_codes": currency_codes,
     "extract_invoices": extract_invoices,
     "extract_tickets": extract_tickets,
+    "ticket_fallbacks": ticket_fallbacks,
+    "invoice_fallbacks": invoice_fallbacks,
     "extract_passports": extract_passports,
     "invoice_fields_of_texts": invoice_fields_of_texts,
     "best_names": best_names,
