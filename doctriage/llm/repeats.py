@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from doctriage.llm.common import byte_texts, partitions, ship, slices, stored
+from doctriage.llm.membership import may_hold
 from doctriage.llm.rolling import FIRST, SECOND, mixed
 
 LENGTH = 400
@@ -231,7 +232,10 @@ def remove_repeats(
     tagged = rows.withColumn("tag", F.crc32(F.col("text").cast("binary")))
     ends = near.where("(same_prev and not all_prev) or (same_next and not all_next)")
     places = ends.groupBy(F.col("id").alias("i"), F.col("tag").alias("t")).agg(F.collect_list("place").alias("places"))
-    holding = tagged.join(places, tagged.id.eqNullSafe(places.i) & (tagged.tag == places.t)).select("id", "text", "tag", "places")
+    # A filter of fixed size keeps most texts that no place is in out of the shuffles; the joins decide.
+    own, other = F.xxhash64("id", "tag"), F.xxhash64("i", "t").alias("key")
+    near_text = tagged.where(may_hold(places.select(other))(own))
+    holding = near_text.join(places, near_text.id.eqNullSafe(places.i) & (near_text.tag == places.t)).select("id", "text", "tag", "places")
     windows = sorted_neighbours(holding.mapInArrow(_windows(length), records), "windows-sorted")
 
     at = F.shiftright("place", 16)
@@ -244,9 +248,13 @@ def remove_repeats(
         .groupBy(F.col("id").alias("i"), F.col("tag").alias("t"))
         .agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
     )
-    joined = tagged.join(ranges, tagged.id.eqNullSafe(ranges.i) & (tagged.tag == ranges.t), "left")
+    ranges = stored(ranges, "ranges")
+    marked = tagged.withColumn("maybe", may_hold(ranges.select(other))(own))
+    whole_texts = marked.where("not maybe").select("id", "text", F.lit(None).cast(dict(ranges.dtypes)["ranges"]).alias("ranges"))
+    rest = marked.where("maybe")
+    joined = rest.join(ranges, rest.id.eqNullSafe(ranges.i) & (rest.tag == ranges.t), "left").select("id", "text", "ranges")
     spans = "array<struct<start: long, end: long>>"
-    cut = joined.select("id", "text", "ranges").mapInArrow(_cut(length), f"id {kind}, spans {spans}, kept binary")
+    cut = whole_texts.unionByName(joined).mapInArrow(_cut(length), f"id {kind}, spans {spans}, kept binary")
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return cut.select(F.col("id").alias(id_col), (F.length("kept") + removed).alias("n_bytes"), "spans", "kept")
 
