@@ -44,7 +44,9 @@ BLOCK = 1 << 20
 PIECES = (
     "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 )
-_REMEMBERED = 1_000_000
+_REMEMBERED = 800_000
+#: ASCII marks around words, without the apostrophe and what special strings are made of.
+_MARKS = b".,;:!?()[]{}\"*&%$#@^~+=/\\-_`"
 _LONGEST = 64
 _LOADED: dict = {}
 
@@ -99,24 +101,45 @@ class WordEncoder:
                 out += [np.array(self._alone(w), np.uint32).tobytes() for w in group]
         return out
 
+    def _fresh(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of words not known yet; a known or new core and the marks around it are put together.
+
+        The pattern never takes a letter and a mark together but behind an apostrophe, so
+        'word' and '.' have the ids that they have in 'word.'.
+        """
+        parts: dict[bytes, tuple[bytes, bytes, bytes]] = {}
+        wanted: set[bytes] = set()
+        for w in words:
+            core = w.strip(_MARKS)
+            if len(core) == len(w) or not core or not (core.isalpha() or core.decode().isalpha()) or not self.lowers or b"<" in w:
+                wanted.add(w)
+                continue
+            at = w.index(core)
+            part = parts[w] = (w[:at], core, w[at + len(core) :])
+            wanted.update(p for p in part if p and p not in self.known)
+        new = list(wanted)
+        found = dict(zip(new, self._encode([w.decode() for w in new]))) if new else {}
+        known = self.known
+        for w, part in parts.items():
+            found[w] = b"".join([found[p] if p in found else known[p] for p in part if p])
+        return found
+
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text; words new to this worker are encoded together."""
         if not self.by_word:
             return [np.frombuffer(b, np.uint32) for b in self._encode([t.decode() for t in texts])]
         # The normaliser lowers letters; special strings are met before it, so texts that may hold one are left alone.
         split = [(t.translate(LOWER) if self.lowers and b"<" not in t else t).split() for t in texts]
-        found = [list(map(self.known.get, words)) for words in split]
-        some = [None in f for f in found]
-        fresh = {w for words, f, m in zip(split, found, some) if m for w, b in zip(words, f) if b is None}
-        new = list(fresh)
-        encoded = dict(zip(new, self._encode([w.decode() for w in new]))) if new else {}
-        out = [
-            np.frombuffer(b"".join([encoded[w] if b is None else b for w, b in zip(words, f)] if m else f), np.uint32)
-            for words, f, m in zip(split, found, some)
-        ]
-        if len(self.known) + len(encoded) > _REMEMBERED:
-            self.known.clear()
-        self.known.update((w, b) for w, b in encoded.items() if len(w) <= _LONGEST)
+        known = self.known
+        words = set().union(*split)
+        fresh = words.difference(known)
+        if len(known) + len(fresh) > _REMEMBERED:  # frequent words are among those just met
+            known = self.known = {w: known[w] for w in words.difference(fresh)}
+        found = self._fresh(fresh)
+        known.update(found)
+        out = [np.frombuffer(b"".join(map(known.__getitem__, w)), np.uint32) for w in split]
+        for w in [w for w in found if len(w) > _LONGEST]:
+            del known[w]
         return out
 
 
@@ -143,8 +166,17 @@ def cut_places(docs: list[np.ndarray], ends: np.ndarray) -> tuple[np.ndarray, np
 def best_cuts(places: np.ndarray, cost: np.ndarray, length: int = LENGTH) -> list[int]:
     """The cuts, first and last place included, at least total cost; places no more than ``length`` apart."""
     at, pen = places.tolist(), cost.tolist()
-    powers = [1 << k for k in range(LEAST_POWER.bit_length() - 1, length.bit_length())]
-    index = {p: i for i, p in enumerate(at)}
+    where = np.full(at[-1] + 1, -1)
+    where[places] = np.arange(len(at))
+    # Places a power of two before each place: few have any.
+    before: list[list[int] | None] = [None] * len(at)
+    for k in range(LEAST_POWER.bit_length() - 1, length.bit_length()):
+        far = np.searchsorted(places, 1 << k)
+        starts = where[places[far:] - (1 << k)]
+        for j in np.flatnonzero(starts >= 0).tolist():
+            if before[far + j] is None:
+                before[far + j] = []
+            before[far + j].append(int(starts[j]))
     best, back = [0.0] * len(at), [0] * len(at)
     queue: deque[tuple[float, int]] = deque([(0.0 + at[0], 0)])
     for j in range(1, len(at)):
@@ -153,9 +185,8 @@ def best_cuts(places: np.ndarray, cost: np.ndarray, length: int = LENGTH) -> lis
             queue.popleft()
         value, i = queue[0]
         value += length - p
-        for n in powers:
-            k = index.get(p - n)
-            if k is not None and best[k] < value:
+        for k in before[j] or ():
+            if best[k] < value:
                 value, i = best[k], k
         value += pen[j] + SEQUENCE_COST
         best[j], back[j] = value, i
