@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from doctriage.llm.common import byte_texts, partitions, ship, slices, stored
+from doctriage.llm.common import byte_texts, forget, partitions, ship, slices, stored
 from doctriage.llm.membership import may_hold
 from doctriage.llm.rolling import FIRST, SECOND, mixed
 
@@ -228,6 +228,7 @@ def remove_repeats(
     records = f"lead long, key long, more long, id {kind}, tag long, place long"
     suffixes = stored(rows.mapInArrow(_suffixes(length, gram), records), "suffixes")
     near = sorted_neighbours(suffixes, "suffixes-sorted")
+    forget(suffixes)
 
     tagged = rows.withColumn("tag", F.crc32(F.col("text").cast("binary")))
     ends = near.where("(same_prev and not all_prev) or (same_next and not all_next)")
