@@ -125,3 +125,63 @@ def test_chain_of_links_is_one_component(spark):
     assert got == {**{i: 0 for i in range(n + 1)}, 1000: 1000, 1001: 1000}
     star = spark.range(1, 5000).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
     assert components(star).where("root <> 0").count() == 0
+
+
+def _similarity(one, two, words=5):
+    a, b = ({tuple(t[i : i + words]) for i in range(max(1, len(t) - words + 1))} for t in (one.split(), two.split()))
+    return len(a & b) / len(a | b)
+
+
+def _edited(rng, original, kind, share):
+    """A text with a block added, its tail replaced, or words replaced here and there."""
+    n, fresh = len(original), lambda k: [f"n{rng.randrange(10**6)}" for _ in range(k)]
+    if kind == "added":
+        at = rng.randrange(n)
+        return original[:at] + fresh(round(n * share)) + original[at:]
+    if kind == "replaced":
+        return original[: n - round(n * share / 2)] + fresh(round(n * share / 2))
+    changed = list(original)
+    for _ in range(max(1, round(n * share / 10))):
+        changed[rng.randrange(n)] = fresh(1)[0]
+    return changed
+
+
+def test_every_kind_of_edit_is_found(spark):
+    rng = random.Random(8)
+    rows, want = [], set()
+    for kind in ("added", "replaced", "scattered"):
+        for _ in range(120):
+            original = [f"w{rng.randrange(20_000)}" for _ in range(rng.choice([40, 150, 300]))]
+            one, two = " ".join(original), " ".join(_edited(rng, original, kind, rng.uniform(0.05, 0.25)))
+            rows += [(len(rows), one), (len(rows) + 1, two)]
+            want |= {len(rows) - 2} if _similarity(one, two) >= 0.8 else {len(rows) - 2, len(rows) - 1}
+    assert 400 < len(want) < 600
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in simhash.deduplicated(docs).collect()} == want
+
+
+def _versions(rng, n, edits):
+    """Versions of one text, each with replaced words of its own, so that similarities lie around 0.8."""
+    original = [f"w{rng.randrange(20_000)}" for _ in range(300)]
+    out = []
+    for _ in range(n):
+        words = list(original)
+        for at in rng.sample(range(300), rng.choice(edits)):
+            words[at] = f"n{rng.randrange(10**6)}"
+        out.append(" ".join(words))
+    return out
+
+
+def _first_of_groups(texts, words=5):
+    sets = [{tuple(t[i : i + words]) for i in range(len(t) - words + 1)} for t in (x.split() for x in texts)]
+    near = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if (n := len(sets[i] & sets[j])) >= 0.8 * (len(sets[i]) + len(sets[j]) - n) - 1e-9]
+    return set(_groups(near, range(len(texts))).values())
+
+
+def test_failed_links_leave_no_pair_untried(spark):
+    rng = random.Random(17)
+    texts = [t for _ in range(6) for t in _versions(rng, 40, (3, 4, 5))]
+    want = _first_of_groups(texts)
+    assert 12 < len(want) < 200
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.deduplicated(docs).collect()} == want
