@@ -5,6 +5,7 @@ import random
 import corpus_pipeline
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from doctriage.llm import queries
@@ -78,6 +79,20 @@ def test_empty_tables(spark, small, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_labels_of_no_use_reject_nothing(spark, small, tmp_path):
+    docs, labels = (spark.read.parquet(f"{small}/{name}.parquet") for name in ("documents", "labels"))
+    useless = {
+        "empty": labels.where("false"),
+        "null": labels.withColumn("toxic", F.lit(None).cast("int")),
+        "others": labels.withColumn("doc_id", F.col("doc_id") + 10**9),
+        "clean": labels.where("toxic = 0"),
+        "toxic": labels.where("toxic = 1"),
+    }
+    for name, table in useless.items():
+        table.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        assert corpus_pipeline.drop_toxic(spark, docs, f"{tmp_path}/{name}").count() == docs.count(), name
+
+
 def test_queries_are_registered():
     names = entry.queries()
     assert {f"op{n}" for n in range(1, 11)} <= {k.split("_")[0] for k in names} and "pipeline" in names
