@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doctriage.llm.common import PLAIN, byte_texts, ship, slices, stored
+from doctriage.llm.membership import may_hold
 from doctriage.llm.rolling import FIRST
 
 WORDS = 5
@@ -180,7 +181,17 @@ def find_contained(
     )
 
 
-def without_contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that hold no item, all columns kept; rows with a NULL id are searched, and kept if clean."""
-    hits = stored(find_contained(docs, items, id_col=id_col, **options).select(F.col(id_col).alias("hit")).distinct(), "contained")
-    return docs.join(hits, docs[id_col].eqNullSafe(hits["hit"]), "left_anti")
+def without_contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that hold no item, all columns kept.
+
+    A row goes or stays by its own text, whatever other rows have the same id; ids, NULL or
+    repeated ones too, decide nothing.  Rows that a filter of fixed size tells apart are not shuffled.
+    """
+    digest = F.sha2(F.coalesce(text_col, F.lit("")).cast("binary"), 256)
+    searched = docs.select(digest.alias(id_col), F.col(text_col).alias(text_col))
+    hits = find_contained(searched, items, id_col=id_col, text_col=text_col, **options).select(F.col(id_col).alias("__hit")).distinct()
+    hits = stored(hits, "contained")
+    marked = docs.withColumn("__digest", digest)
+    marked = marked.withColumn("__maybe", may_hold(hits.select(F.xxhash64("__hit")))(F.xxhash64("__digest")))
+    rest = marked.where("__maybe").join(hits, F.col("__digest") == F.col("__hit"), "left_anti")
+    return marked.where("NOT __maybe").unionByName(rest).drop("__digest", "__maybe")

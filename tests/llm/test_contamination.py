@@ -60,3 +60,13 @@ def test_empty_tables_and_null_ids(spark):
     assert contamination.find_contained(d.where("false"), i).count() == 0
     assert contamination.find_contained(d, i.where("false")).count() == 0
     assert contamination.without_contained(d, i.where("false")).count() == 2
+
+
+def test_rows_of_one_id_are_decided_each(spark):
+    bad, clean = "some words a b c d e f g", "nothing of the kind in here at all"
+    rows = [(None, bad, 1), (None, clean, 2), (None, None, 3), (7, bad, 4), (7, clean, 5), (7, clean, 6), (8, bad, 7)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    i = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
+    kept = contamination.without_contained(d, i)
+    assert kept.columns == d.columns
+    assert sorted(r.n for r in kept.collect()) == [2, 3, 5, 6]
