@@ -222,6 +222,8 @@ def hex_fingerprint(fp: str = "fp"):
 HELD_PAIRS = 1 << 20
 #: Counters that tell common shingles from rare ones, and shingles counted in them at most (about).
 _COUNTERS, _COUNTED = 1 << 21, 1 << 23
+#: Counters below this are those of rare shingles; the others, few, come to the driver.
+_COMMON = 16
 #: Turns that check forests, before they check links between every two groups that are apart.
 _FOREST_TURNS = 3
 
@@ -435,7 +437,7 @@ def _listed(rows: DataFrame, prints: DataFrame, nodes: DataFrame, words: int, le
     total = nodes.agg(F.sum("size")).first()[0] or 0
     share = min(1.0, _COUNTED / max(total, 1))
     sample = once.where(F.pmod(F.xxhash64("key", F.lit(SEED)), F.lit(1_000_000)) < int(share * 1_000_000))
-    counts = sample.mapInArrow(_counts(words), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    counts = sample.mapInArrow(_counts(words), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).where(F.col("n") >= _COMMON).toPandas()
     levels = np.zeros(_COUNTERS, np.uint8)
     levels[counts["at"].to_numpy(np.int64)] = np.log2(counts["n"].to_numpy(np.float64)).astype(np.uint8)
     shared = spark.sparkContext.broadcast(levels)
