@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
@@ -185,3 +186,24 @@ def test_failed_links_leave_no_pair_untried(spark):
     assert 12 < len(want) < 200
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id for r in simhash.deduplicated(docs).collect()} == want
+
+
+def test_long_lists_are_spanned_whole(monkeypatch):
+    rng = np.random.default_rng(4)
+    n = 1500
+    size = np.sort(rng.integers(50, 400, n)).astype(np.int32)
+    at = rng.integers(0, 12, n).astype(np.int32)
+    zeros = np.zeros(n, np.int64)
+    columns = [zeros, zeros, np.arange(n), np.arange(n), size, at]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shingle", "pair", "node", "root", "size", "at"])
+    pairs = [
+        (i, j) for i in range(n) for j in range(i + 1, n)
+        if size[i] >= 0.8 * size[j] - 1e-6 and min(size[i] - at[i], size[j] - at[j]) >= 0.8 / 1.8 * (size[i] + size[j]) - 1e-6
+    ]
+    want = _groups(pairs, range(n))
+    for room in (1 << 20, 5000):
+        monkeypatch.setattr(simhash, "HELD_PAIRS", room)
+        found = [x for b in simhash._candidates(0.8, 0, 0)(iter([batch])) for x in zip(*b.to_pydict().values()) if x[0] is not None]
+        assert _groups(found, range(n)) == want and len(found) == n - len(set(want.values()))
+        every = [x for b in simhash._candidates(0.8, 3, 1)(iter([batch])) for x in zip(*b.to_pydict().values()) if x[0] is not None]
+        assert sorted(every) == pairs
