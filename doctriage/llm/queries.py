@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doctriage.llm import chat, contamination, covertree, hmm, packing, repeats, secrets, simhash, tokens, toxicity
+from doctriage.llm import chat, contamination, covertree, hmm, lexical, packing, passages, repeats, secrets, simhash, tokens, toxicity, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,11 +85,29 @@ def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(table(spark, sf_dir, "documents"))
 
 
+def op11_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 20 words that also start at an earlier place."""
+    found = passages.remove_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents for every benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to 16 whitened components of every vector."""
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash, op2_toxicity, op3_chat, op4_repeats, op5_packing, op6_secrets, op7_token_counts, op8_contamination, op9_top_k, op10_hmm,
+        op11_passages, op12_lexical, op13_whitening,
     )
 }
 #: The same results as SQL, where SQL can express them at a usable speed.
-ORACLES: dict[str, str] = {"op3_chat": chat.ORACLE, "op9_top_k": covertree.ORACLE}
+ORACLES: dict[str, str] = {"op3_chat": chat.ORACLE, "op9_top_k": covertree.ORACLE, "op12_lexical": lexical.ORACLE}
