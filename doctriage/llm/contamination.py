@@ -70,10 +70,16 @@ class ItemIndex:
         self.shingles: list[dict[int, bytes]] = []
         self.ids: list[object] = []
         self.holders: dict[int, list[int]] = defaultdict(list)
+        # Items of fewer words than a shingle, by how many: looked for among a document's shingles of that many words.
+        self.short: dict[int, dict[bytes, list[object]]] = defaultdict(lambda: defaultdict(list))
         by_size: dict[int, set[int]] = defaultdict(set)
         everything: set[int] = set()
         for item, text in items:
             joined = word_bytes((text or "").encode())
+            count = joined.count(b" ") + 1 if joined else 0
+            if 0 < count < words:
+                self.short[count][joined].append(item)
+                continue
             keys, starts, ends = shingle_keys(joined, words)
             if not len(keys):
                 continue
@@ -91,13 +97,28 @@ class ItemIndex:
             (needed(1 << (bits - 1), least), np.sort(np.fromiter(keys, np.uint64, len(keys)))) for bits, keys in by_size.items()
         ]
         self.everything = np.sort(np.fromiter(everything, np.uint64, len(everything)))
+        self.short_keys = {n: np.sort(np.concatenate([shingle_keys(j, n)[0] for j in known])) for n, known in self.short.items()}
         self.bits = np.zeros(1 << 16, bool)
         for _, keys in self.sizes:
             self.bits[keys >> np.uint64(48)] = True
 
+    def _short_items(self, joined: bytes) -> list[tuple[object, int, int]]:
+        """Items of fewer words than a shingle that stand in joined words."""
+        found = []
+        for n, keys in self.short_keys.items():
+            if joined.count(b" ") + 1 < n or not joined:
+                continue
+            own, starts, ends = shingle_keys(joined, n)
+            at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+            hits = np.flatnonzero(keys[at] == own).tolist()
+            for stretch in sorted({joined[starts[h] : ends[h]] for h in hits}):
+                found += [(item, 1, 1) for item in self.short[n].get(stretch, [])]
+        return found
+
     def search(self, text: bytes) -> list[tuple[object, int, int]]:
         """(item, shingles of it found, its shingles) of all items contained in a text."""
         joined = word_bytes(text)
+        short = self._short_items(joined)
         keys, starts, ends = shingle_keys(joined, self.words)
         likely = keys[self.bits[keys >> np.uint64(48)]]
         candidates: set[int] = set()
@@ -107,7 +128,7 @@ class ItemIndex:
                 for k in np.unique(likely[sketch[at] == likely]).tolist():
                     candidates.update(self.holders[k])
         if not candidates:
-            return []
+            return short
         at = np.minimum(np.searchsorted(self.everything, keys), len(self.everything) - 1)
         hits = np.flatnonzero(self.everything[at] == keys)
         present = {joined[s:e] for s, e in zip(starts[hits].tolist(), ends[hits].tolist())}
@@ -117,7 +138,7 @@ class ItemIndex:
             n = sum(s in present for s in own)
             if n >= needed(len(own), self.least):
                 found.append((self.ids[i], n, len(own)))
-        return found
+        return short + found
 
 
 def _blocks(items: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple]]:
@@ -148,7 +169,7 @@ def find_contained(
     """(id_col, item_col, found, shingles, containment) for every item contained in a row of ``docs``.
 
     Words are lower-cased (A-Z) and split at white space and ASCII punctuation; an item of fewer than ``words`` words
-    is one shingle.  Items without words (empty, NULL) are in no document; documents without words hold
+    is one shingle of as many words as it has, and is contained where these stand one after the other.  Items without words (empty, NULL) are in no document; documents without words hold
     nothing.  A NULL id is reported as NULL.  Repeated documents and items are reported each.  Other columns are not read.
     """
     spark = docs.sparkSession
@@ -185,13 +206,14 @@ def without_contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     """The rows of ``docs`` that hold no item, all columns kept.
 
     A row goes or stays by its own text, whatever other rows have the same id; ids, NULL or
-    repeated ones too, decide nothing.  Rows that a filter of fixed size tells apart are not shuffled.
+    repeated ones too, decide nothing.  Columns of any name pass through.  Rows that a filter of fixed size tells apart are not shuffled.
     """
-    digest = F.sha2(F.coalesce(text_col, F.lit("")).cast("binary"), 256)
-    searched = docs.select(digest.alias(id_col), F.col(text_col).alias(text_col))
-    hits = find_contained(searched, items, id_col=id_col, text_col=text_col, **options).select(F.col(id_col).alias("__hit")).distinct()
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256).alias("digest")
+    rows = docs.select(digest, whole)
+    searched = docs.select(digest.alias("doc"), F.col(text_col).alias("body"))
+    hits = find_contained(searched, items, id_col="doc", text_col="body", **options).select(F.col("doc").alias("hit")).distinct()
     hits = stored(hits, "contained")
-    marked = docs.withColumn("__digest", digest)
-    marked = marked.withColumn("__maybe", may_hold(hits.select(F.xxhash64("__hit")))(F.xxhash64("__digest")))
-    rest = marked.where("__maybe").join(hits, F.col("__digest") == F.col("__hit"), "left_anti")
-    return marked.where("NOT __maybe").unionByName(rest).drop("__digest", "__maybe")
+    marked = rows.withColumn("maybe", may_hold(hits.select(F.xxhash64("hit")))(F.xxhash64("digest")))
+    rest = marked.where("maybe").join(hits, F.col("digest") == F.col("hit"), "left_anti").select("row")
+    return marked.where("NOT maybe").select("row").unionByName(rest).select("row.*")

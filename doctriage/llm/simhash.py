@@ -11,7 +11,6 @@ verified on all 64 bits.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +18,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doctriage.llm.common import (
-    LOWER, PLAIN, byte_texts, forget, longs, partitions, run_starts, ship, slices, stored, whole_runs,
-)
-from doctriage.llm.contamination import needed, shingle_keys, word_bytes
+from doctriage.llm.common import LOWER, byte_texts, longs, partitions, run_starts, ship, slices, stored, whole_runs
 from doctriage.llm.graph import components
 from doctriage.llm.membership import may_hold
-from doctriage.llm.rolling import mixed
 
 SEED = 42
 #: Rows of one variant that one task compares; longer lists are cut into tiles and tiles are paired.
@@ -216,303 +211,51 @@ def hex_fingerprint(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-# Near copies confirmed on their shingles.
-
-#: Pairs of a list that are held at a time; of more, those that the round doesn't need are dropped.
-HELD_PAIRS = 1 << 20
-#: Counters that tell common shingles from rare ones, and shingles counted in them at most (about).
-_COUNTERS, _COUNTED = 1 << 21, 1 << 23
-#: Counters below this are those of rare shingles; the others, few, come to the driver.
-_COMMON = 16
-#: Turns that check forests, before they check links between every two groups that are apart.
-_FOREST_TURNS = 3
-
-
-def row_key(id_col: str, text_col: str):
-    """A long that stands for a row's id and text; rows with the same key are repeated rows."""
-    return F.xxhash64(F.col(id_col), F.col(text_col))
-
-
-def _shingle_set(text: bytes, words: int) -> np.ndarray:
-    """Hashes of the distinct shingles, in ascending order."""
-    return np.unique(shingle_keys(word_bytes(text), words)[0])
-
-
-def _sets(words: int):
-    """A digest of each text's set of shingles, and the set's size."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            sets = [_shingle_set(t, words) for t in byte_texts(part.column(1))]
-            digests = b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets)
-            d = np.frombuffer(digests, "<i8").reshape(-1, 2)
-            columns = [pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), pa.array([len(x) for x in sets], pa.int64())]
-            yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["key", "d1", "d2", "size"])
-
-    return run
-
-
-def _counter(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(43)).astype(np.int64)
-
-
-def _counts(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            sets = [_counter(_shingle_set(t, words)) for t in byte_texts(part.column(1))]
-            at, n = np.unique(np.concatenate([np.empty(0, np.int64), *sets]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n.astype(np.int64))], ["at", "n"])
-
-    return run
-
-
-def _prefixes(words: int, least: float, levels):
-    """Of each set in one order of all shingles (rare ones first, then by hash) as many as may be missing, plus one.
-
-    Two sets of similarity ``least`` share more than either has beyond its prefix, so the first shingle
-    that they share is in both prefixes.  The order decides how long lists get, never what is found.
-    """
-
+def _row_prints(words: int, table: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            found, sizes, places = [np.empty(0, np.uint64)], [], []
-            for text in byte_texts(part.column(1)):
-                own = _shingle_set(text, words)
-                n = len(own) - needed(len(own), least) + 1 if len(own) else 0
-                found.append(own[np.argsort(levels.value[_counter(own)], kind="stable")[:n]])
-                sizes.append(len(own))
-                places.append(np.arange(n, dtype=np.int32))
-            times = [len(x) for x in places]
-            nodes = np.repeat(longs(part.column(0)).astype(np.int64), times)
-            columns = [np.concatenate(found).view(np.int64), nodes, np.repeat(np.array(sizes, np.int32), times), np.concatenate([np.empty(0, np.int32), *places])]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shingle", "node", "size", "at"])
+            fps = [fingerprint(shingle_hashes(t, words, table)) for t in byte_texts(part.column(2))]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(fps, np.uint64).view(np.int64))], ["id", "tag", "fp"])
 
     return run
 
 
-def _spanning(u: np.ndarray, v: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
-    """Which of the links between n nodes are in their spanning forest of least weight (Boruvka's method)."""
-    order = np.argsort(weight, kind="stable")
-    u, v = u[order], v[order]
-    of, alive, chosen = np.arange(n), np.arange(len(u)), np.zeros(len(u), bool)
-    while True:
-        alive = alive[of[u[alive]] != of[v[alive]]]
-        if not len(alive):
-            return order[chosen]
-        best = np.full(n, len(u))
-        np.minimum.at(best, of[u[alive]], alive)
-        np.minimum.at(best, of[v[alive]], alive)
-        trees = np.flatnonzero(best < len(u))
-        chosen[best[trees]] = True
-        to = np.arange(n)
-        to[trees] = of[u[best[trees]]] + of[v[best[trees]]] - trees
-        twice = trees[(to[to[trees]] == trees) & (trees < to[trees])]
-        to[twice] = twice
-        while (to[to] != to).any():
-            to = to[to]
-        of = to[of]
-
-
-def _few_of_each(u: np.ndarray, v: np.ndarray, weight: np.ndarray, few: int) -> np.ndarray:
-    """Which links are among the ``few`` of least weight between the same two nodes."""
-    low, high = np.minimum(u, v), np.maximum(u, v)
-    order = np.lexsort((weight, high, low))
-    starts = run_starts(low[order], high[order])
-    rank = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
-    return order[rank < few]
-
-
-def _candidates(least: float, turn: int, few: int):
-    """Links (a, b) between rows of a list that can be similar and have different roots.
-
-    Without ``few`` a forest of them that spans all, else so many for each two roots.  One more row of NULLs
-    for each table of lists where there were others.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_runs(batches, ["shingle", "pair"]):
-            shingle, pair, node, root, size, at = (table.column(c).to_numpy() for c in ("shingle", "pair", "node", "root", "size", "at"))
-            starts = run_starts(shingle, pair)
-            sizes = np.diff(np.append(starts, len(node)))
-            several = np.repeat(sizes > 1, sizes)
-            list_of = np.repeat(np.arange(len(starts)), sizes)[several]
-            node, root, size, at = node[several], root[several], size[several].astype(np.int64), at[several].astype(np.int64)
-            if not len(node):
-                continue
-            order = np.lexsort((root, list_of))
-            new = np.append(False, (root[order][1:] != root[order][:-1]) | (list_of[order][1:] != list_of[order][:-1]))
-            tree = np.empty(len(node), np.int64)
-            tree[order] = np.cumsum(new)
-            # Between two rows the same weight in every list, another one each turn.
-            mark = mixed(node.view(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15 * (turn + 1) % 2**64))
-            held, room, others = [np.empty((2, 0), np.int64)], HELD_PAIRS, False
-
-            def thin() -> tuple[np.ndarray, bool]:
-                i, j = np.concatenate(held, axis=1)
-                weight = mixed(mark[i] + mark[j])
-                kept = _few_of_each(tree[i], tree[j], weight, few) if few else _spanning(tree[i], tree[j], weight, int(tree.max()) + 1)
-                return np.stack((i[kept], j[kept])), len(kept) < len(i)
-
-            first, lag = np.arange(len(node)), 1
-            while len(first):
-                first = first[first + lag < len(node)]
-                # Sizes ascend in a list: what is too large for a row stays so.
-                first = first[(list_of[first] == list_of[first + lag]) & (size[first] >= least * size[first + lag] - 1e-6)]
-                other = first + lag
-                shared = np.minimum(size[first] - at[first], size[other] - at[other])
-                close = (tree[first] != tree[other]) & (shared >= least / (1 + least) * (size[first] + size[other]) - 1e-6)
-                held.append(np.stack((first[close], other[close])))
-                room -= held[-1].shape[1]
-                lag += 1
-                if room < 0:
-                    kept, dropped = thin()
-                    # What the round needs may be more than that; then it is thinned again once it has doubled.
-                    held, room, others = [kept], max(HELD_PAIRS - kept.shape[1], kept.shape[1]), others or dropped
-            kept, dropped = thin()
-            others |= dropped
-            a, b = node[kept]
-            a, b = np.minimum(a, b), np.maximum(a, b)
-            a, b = (pa.array(x) for x in (a, b))
-            if others:
-                a, b = (pa.concat_arrays([x, pa.nulls(1, pa.int64())]) for x in (a, b))
-            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"])
-
-    return run
-
-
-def _links_of(listed: DataFrame, least: float, tile: int, turn: int, few: int) -> DataFrame:
-    """Links of all lists of (shingle, node, root, size, at); every two tiles of a long list meet in a group of their own."""
-    hot = listed.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile)
-    hot = stored(hot.select("shingle", F.ceil(F.col("n") / F.lit(tile)).cast("int").alias("tiles")), "hot-shingles")
-    tiles = F.coalesce("tiles", F.lit(1))
-    paired = (
-        listed.join(hot, "shingle", "left")
-        .withColumn("mine", F.pmod(F.xxhash64("node"), tiles).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-        .select("shingle", (F.least("mine", "other").cast("long") * F.lit(1 << 31) + F.greatest("mine", "other")).alias("pair"), "node", "root", "size", "at")
-    )
-    grouped = paired.repartition(partitions(listed), "shingle", "pair").sortWithinPartitions("shingle", "pair", "size", "node")
-    return stored(grouped.mapInArrow(_candidates(least, turn, few), "a long, b long").distinct(), "near-links")
-
-
-def _similar(words: int, least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 256):
-            keep = []
-            for x, y in zip(byte_texts(part.column(2)), byte_texts(part.column(3))):
-                one, two = (np.unique(shingle_hashes(t, words, PLAIN)) for t in (x, y))
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                union = len(one) + len(two) - both
-                keep.append(both >= least * union - 1e-9)
-            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
+def deduplicated(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4, table: bytes = LOWER
+) -> DataFrame:
+    """The rows of ``docs``, all columns kept, of which one stays for each group of near copies: the one with the smallest id.
 
+    Groups are those of ``near_copies``: whatever links of ``distance`` bits or fewer connect.  A NULL id comes last, rows that share an id
+    go by a digest of their text, and of repeated rows one stays.  Texts without words, NULL ones too, are copies
+    of each other.  Columns of any name pass through.  No rows, no result.
 
-def _verified(rows: DataFrame, links: DataFrame, words: int, least: float) -> DataFrame:
-    """The links (a, b) whose texts have the similarity, stored."""
-    ends = links.select(F.col("a").alias("end")).union(links.select("b")).distinct()
-    texts = rows.where(may_hold(ends)(F.col("key"))).select("key", "text").join(ends, F.col("key") == F.col("end"), "left_semi").dropDuplicates(["key"])
-    texts = stored(texts, "linked-texts")
-    one, two = texts.select(F.col("key").alias("a"), F.col("text").alias("x")), texts.select(F.col("key").alias("b"), F.col("text").alias("y"))
-    sure = links.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_similar(words, least), "a long, b long")
-    sure = stored(sure, "sure-links")
-    forget(texts)
-    return sure
-
-
-def _one_each(rows: DataFrame, prints: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(key, text) of the rows that stand for their set of shingles; texts that a filter tells apart are not shuffled."""
-    gone = stored(prints.join(nodes, ["d1", "d2"]).where("key <> node").select(F.col("key").alias("gone")).distinct(), "same-sets")
-    again = stored(prints.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "repeated-keys")
-    marked = rows.select("key", "text").withColumn("maybe", may_hold(gone.union(again))(F.col("key")))
-    rest = marked.where("maybe").join(gone, F.col("key") == F.col("gone"), "left_anti").dropDuplicates(["key"])
-    return marked.where(~F.col("maybe")).unionByName(rest).select("key", "text")
-
-
-def _listed(rows: DataFrame, prints: DataFrame, nodes: DataFrame, words: int, least: float) -> DataFrame:
-    """(shingle, node, size, at): the prefixes of all sets, stored."""
-    spark = rows.sparkSession
-    once = _one_each(rows, prints, nodes)
-    total = nodes.agg(F.sum("size")).first()[0] or 0
-    share = min(1.0, _COUNTED / max(total, 1))
-    sample = once.where(F.pmod(F.xxhash64("key", F.lit(SEED)), F.lit(1_000_000)) < int(share * 1_000_000))
-    counts = sample.mapInArrow(_counts(words), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).where(F.col("n") >= _COMMON).toPandas()
-    levels = np.zeros(_COUNTERS, np.uint8)
-    levels[counts["at"].to_numpy(np.int64)] = np.log2(counts["n"].to_numpy(np.float64)).astype(np.uint8)
-    shared = spark.sparkContext.broadcast(levels)
-    return stored(once.mapInArrow(_prefixes(words, least, shared), "shingle long, node long, size int, at int"), "prefixes")
-
-
-def _roots(rows: DataFrame, listed: DataFrame, words: int, least: float, tile: int) -> DataFrame:
-    """(node, root) of the components that all similar pairs of the lists make, though not all pairs are compared.
-
-    A turn checks a forest of the candidates whose ends are still apart, another forest each turn; from the
-    fourth turn on some of the links between every two groups, 16 times as many each turn.  A candidate that was
-    never checked lies between groups that links have failed to join, as a forest spans all candidates; only
-    nodes of such groups are listed again.  It ends once no group is left so, or no list had more candidates than were checked.
-    """
-    active, passed, tested, roots = listed.withColumn("root", F.col("node")), None, None, None
-    for turn in count():
-        links = _links_of(active, least, tile, turn, 16 ** (turn - _FOREST_TURNS) if turn >= _FOREST_TURNS else 0)
-        fresh = links.where("a IS NOT NULL")
-        fresh = stored(fresh if tested is None else fresh.join(tested, ["a", "b"], "left_anti"), "fresh-links")
-        sure = _verified(rows, fresh, words, least)
-        passed = sure if passed is None else passed.unionByName(sure)
-        tested = fresh if tested is None else tested.unionByName(fresh)
-        if roots is None or sure.limit(1).count():
-            roots = stored(components(passed), "near-roots")
-        if not links.where("a IS NULL").limit(1).count():
-            return roots
-        of = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        failed = tested.join(passed, ["a", "b"], "left_anti").join(roots.withColumnsRenamed({"node": "a", "root": "ra"}), "a", "left").join(of, "b", "left")
-        apart = failed.select(F.coalesce("ra", "a").alias("one"), F.coalesce("rb", "b").alias("two")).where("one <> two")
-        apart = stored(apart.select(F.explode(F.array("one", "two")).alias("root")).distinct(), "groups-apart")
-        # A node that no link has joined to another is its own root.
-        members = apart.select(F.col("root").alias("node"), "root").unionByName(roots.join(apart, "root", "left_semi").select("node", "root")).distinct()
-        members = stored(members, "nodes-apart")
-        if not members.limit(1).count():
-            return roots
-        active = stored(listed.where(may_hold(members.select("node"))(F.col("node"))).join(members, "node"), "lists-apart")
-
-
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, tile: int = TILE) -> DataFrame:
-    """(key, id, root): rows by ``row_key``, and the key that stands for their group of near copies.
-
-    Candidates share one of the shingles in their prefixes, which loses no pair of distinct ``words``-word
-    shingle sets with a Jaccard similarity of ``least`` or more; links have that exact similarity, and
-    groups are those that all such links make.  Texts without words are copies of each other.
+    Texts are not shuffled: filters of a fixed size tell most rows that stay from those that go, and
+    a join decides on the few that they leave open.
     """
     ship(docs.sparkSession)
-    rows = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    prints = stored(rows.select("key", "text").mapInArrow(_sets(words), "key long, d1 long, d2 long, size long"), "shingle-sets")
-    nodes = stored(prints.groupBy("d1", "d2").agg(F.min("key").alias("node"), F.min("size").alias("size")), "set-nodes")
-    listed = _listed(rows, prints, nodes, words, least)
-
-    roots = _roots(rows, listed, words, least, tile)
-
-    placed = nodes.join(roots, "node", "left").select("d1", "d2", F.coalesce("root", "node").alias("root"))
-    ids = rows.select("key", "id")
-    return prints.join(placed, ["d1", "d2"]).select("key", "root").distinct().join(ids.distinct(), "key")
-
-
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
-    """The rows of ``docs``, all columns kept, of which one stays for each group of near copies: the one with the smallest id.
-
-    Of repeated rows one stays; a NULL id comes last.  Texts that stay are not shuffled,
-    but for few that a filter of fixed size can't tell from those that go.
-    """
-    groups = stored(similar_groups(docs, id_col, text_col, words, least), "groups")
-    first = groups.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("first")).select("root", F.col("first.key").alias("kept"))
-    first = stored(first, "first-of-group")
-    gone = groups.join(first, "root").where("key <> kept").select(F.col("key").alias("gone"))
-    again = docs.select(row_key(id_col, text_col).alias("gone")).groupBy("gone").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gone")
-    gone = stored(gone, "gone")
-    again = stored(again, "repeated")
-    marked = docs.withColumn("__key", row_key(id_col, text_col)).withColumn("__maybe", may_hold(gone.union(again))(F.col("__key")))
-    sure = marked.where(~F.col("__maybe"))
-    rest = marked.where("__maybe").join(gone, F.col("__key") == F.col("gone"), "left_anti").dropDuplicates(["__key"])
-    return sure.unionByName(rest).drop("__key", "__maybe")
-
-
-__all__ = ["near_copies", "similar_groups", "deduplicated", "fingerprints", "fingerprint", "shingle_hashes", "links", "segments", "hex_fingerprint", "PLAIN"]
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    tag = F.conv(F.left(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")), F.lit(15)), 16, 10).cast("long").alias("tag")
+    rows = docs.select(F.col(id_col).alias("id"), tag, F.col(text_col).alias("text"), whole)
+    kind = dict(rows.dtypes)["id"]
+    prints = stored(rows.select("id", "tag", "text").mapInArrow(_row_prints(words, table), f"id {kind}, tag long, fp long"), "row-prints")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tag")).alias("first")
+    nodes = stored(prints.groupBy("fp").agg(first, F.count(F.lit(1)).alias("n")), "print-nodes")
+    roots = components(links(nodes, distance)).withColumnRenamed("node", "fp")
+    placed = stored(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "print-groups")
+    stays = stored(placed.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("n")), "print-firsts")
+    kept = stays.select(F.col("first.id").alias("i"), F.col("first.tag").alias("t"))
+    # Rows of groups of several rows; the first is among them if it is repeated.
+    several = stored(placed.select("fp", "root").join(stays.where("n > 1").select("root", "first"), "root").select("fp", "first"), "print-several")
+    members = prints.join(several, "fp")
+    gone = members.where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("tag") == F.col("first.tag")))).select(F.xxhash64("id", "tag").alias("key"))
+    again = prints.groupBy("id", "tag").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.xxhash64("id", "tag").alias("key"))
+    key = F.xxhash64("id", "tag")
+    open_rows, may_stay = may_hold(gone.unionByName(again)), may_hold(kept.select(F.xxhash64("i", "t").alias("key")))
+    marked = rows.select("id", "tag", "row").withColumn("open", open_rows(key)).withColumn("may", may_stay(key))
+    sure = marked.where(~F.col("open")).select("row")
+    rest = marked.where("open and may")
+    rest = rest.join(kept, rest.id.eqNullSafe(kept.i) & (rest.tag == kept.t), "left_semi").dropDuplicates(["id", "tag"]).select("row")
+    return sure.unionByName(rest).select("row.*")
+
+
+__all__ = ["near_copies", "deduplicated", "fingerprints", "fingerprint", "shingle_hashes", "links", "segments", "hex_fingerprint"]

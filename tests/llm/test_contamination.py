@@ -14,9 +14,11 @@ def _shingles(text, words=5):
 def _brute(docs, items, least=0.8):
     out = set()
     for d, text in docs:
-        have = _shingles(text)
+        size = len((text or "").encode().translate(PLAIN).split())
         for i, item in items:
-            want = _shingles(item)
+            # An item of fewer words than a shingle is looked for among shingles of as many words.
+            words = min(5, max(1, len((item or "").encode().translate(PLAIN).split())))
+            have, want = _shingles(text, words) if size >= words else set(), _shingles(item, words)
             n = len(have & want)
             if want and n >= least * len(want) - 1e-9:
                 out.add((d, i, n, len(want)))
@@ -52,6 +54,22 @@ def test_equals_brute_force(spark):
     assert sorted(r.doc_id for r in clean.collect()) == sorted({x for x, _ in docs} - {x for x, *_ in want})
 
 
+def test_short_items_inside_long_texts(spark):
+    d = spark.createDataFrame([(1, "One two three four five six seven"), (2, "four, five"), (3, "five four " * 500), (4, "four")], "doc_id long, text string")
+    i = spark.createDataFrame([(1, "three four five"), (2, "FOUR five"), (3, "five"), (4, "four five"), (5, "six five four three two")], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id) for r in contamination.find_contained(d, i).collect())
+    assert got == [(1, 1), (1, 2), (1, 3), (1, 4), (2, 2), (2, 3), (2, 4), (3, 2), (3, 3), (3, 4)]
+    assert [r.doc_id for r in contamination.without_contained(d, i).collect()] == [4]
+
+
+def test_columns_of_any_name_pass(spark):
+    names = ["digest", "hit", "maybe", "row", "doc", "body", "item_id", "__hit", "a.b"]
+    d = spark.createDataFrame([(1, "a b c d e f g", *names), (2, "clean", *names)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    i = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
+    kept = contamination.without_contained(d, i).collect()
+    assert [tuple(r) for r in kept] == [(2, "clean", *names)]
+
+
 def test_empty_tables_and_null_ids(spark):
     d = spark.createDataFrame([(None, "a b c d e f g"), (1, "other words")], "doc_id long, text string")
     i = spark.createDataFrame([(None, "a b c d e f g")], "item_id long, text string")
