@@ -413,6 +413,45 @@ def _best_names() -> str:
     SELECT c_custkey, 'Qe' || {c} || CASE WHEN c_custkey % 6 = 5 THEN ' Mrs' ELSE '' END || ' Qu' || {c} AS name FROM customer"""
 
 
+_NAME_ROWS = [
+    # (way of writing, pass, place in the list, name, where it starts, priority)
+    (0, 0, 0, "'Qe' || c || ' Qu' || c", "0", 5), (0, 4, 1, "'Qe' || c || ' Qu' || c", "0", 2),
+    (1, 1, 0, "'Qe' || c || ' Qu' || c", "5", 4),
+    (2, 2, 0, "'Qe' || c || ' Qu' || c", "16", 4), (2, 5, 1, "'Qe' || c || ' Qu' || c", "16", 2),
+    (3, 2, 0, "'Qe' || c || ' Qu' || c", "10", 3), (3, 3, 1, "'Qe' || c || ' Qu' || c", "10", 3),
+    (4, 4, 0, "'Qy' || c || ' Agent Qx' || c", "0", 2), (4, 4, 1, "'Qe' || c || ' Qu' || c", "8 + length(c) + 3 + length(c) + 60", 2),
+    (5, 5, 0, "'Qe' || c || ' Mrs Qu' || c", "8", 2),
+    (6, 4, 0, "'Qe' || c || ' Qu' || c", "6", 2),
+]
+
+
+def _name_rows(best: bool) -> str:
+    """Candidates of each way of writing; the best is the first but where the agent comes before."""
+    rows = [r for r in _NAME_ROWS if not best or r[2] == (r[0] == 4)]
+    columns = "" if best else "CAST({1} AS INTEGER) AS pass, CAST({2} AS INTEGER) AS ord, "
+    parts = [
+        f"SELECT c_custkey, {columns.format(*r)}{r[3]} AS name, CAST({r[4]} AS INTEGER) AS start, CAST({r[5]} AS INTEGER) AS priority FROM p WHERE c_custkey % 7 = {r[0]}"
+        for r in rows
+    ]
+    return f"WITH p AS (SELECT c_custkey, lower({letters('c_custkey')}) AS c FROM customer) " + " UNION ALL ".join(parts)
+
+
+_BUILTIN_LIST = _list(fixed.BUILTIN_CLASSES)
+MANY_RULES = rf"""
+  WITH n AS ({NORMALIZED}), rules AS (
+    SELECT DISTINCT 'c' || item_id % 5 AS class, unnest(string_split(trim(regexp_replace(lower(strip_accents(text)), '\s+', ' ', 'g')), ' ')) AS word FROM benchmark
+  ), hits AS (
+    SELECT path, class, CAST(sum((length(norm) - length(replace(norm, word, ''))) // length(word)) AS DOUBLE) AS score
+    FROM n JOIN rules ON contains(norm, word) WHERE length(word) >= 4 GROUP BY ALL
+  ), classes AS (SELECT DISTINCT class FROM rules WHERE length(word) >= 4 UNION SELECT unnest({_BUILTIN_LIST}))
+  SELECT path, class, coalesce(score, 0) AS score FROM n CROSS JOIN classes LEFT JOIN hits USING (path, class)
+"""
+PNR_FALLBACKS = f"""
+  SELECT o_orderkey, CASE WHEN k < 2 THEN code WHEN k = 3 THEN left(code, 5) END AS pnr
+  FROM (SELECT o_orderkey, o_orderkey % 5 AS k, 'P' || lpad({letters('o_orderkey')}, 5, 'Q') AS code FROM orders)
+"""
+
+
 def _everything() -> str:
     rows = [
         f"SELECT '{k}' AS kind, '{c}' AS top_class, {_confidence(s)} AS confidence, count(*) AS documents FROM ({src}) GROUP BY ALL"
@@ -435,6 +474,7 @@ def oracle_sql() -> dict[str, str]:
     long_scores = " UNION ALL ".join(
         f"SELECT path, {lit(c)} AS class, \"s_{c}\" AS score FROM s" for c in _classes(Q.WORD_RULES)
     )
+    long_probs = " UNION ALL ".join(f"SELECT path, {lit(c)} AS class, round_even(\"p_{c}\", 4) AS probability FROM s" for c in _classes(Q.WORD_RULES))
     probs = ", ".join(f"round_even(\"p_{c}\", 4) AS \"p_{c}\"" for c in _classes(Q.WORD_RULES))
     codes = _list(fixed.KNOWN_AIRLINE_CODES)
     carriers = ", ".join(f"({lit(k)}, {lit(v)})" for k, v in fixed.CARRIERS.items())
@@ -457,6 +497,10 @@ def oracle_sql() -> dict[str, str]:
         "find_matches": _find_matches(),
         "score_wide": _scores(Q.WORD_RULES),
         "score_long": f"WITH s AS ({_scores(Q.WORD_RULES)}) {long_scores}",
+        "score_index": f"WITH s AS ({_scores(Q.WORD_RULES)}) {long_scores}",
+        "score_many_rules": MANY_RULES,
+        "softmax_rows": f"WITH s AS ({_probabilities(Q.WORD_RULES)}) {long_probs}",
+        "top_class_rows": _top(Q.WORD_RULES),
         "softmax_probs": f"SELECT path, {probs} FROM ({_probabilities(Q.WORD_RULES)})",
         "top_class": _top(Q.WORD_RULES),
         "route_documents": f"""SELECT *, raw_class = 'invoice' AS has_invoice, raw_class = 'flight_ticket' AS has_flight_ticket,
@@ -473,6 +517,9 @@ def oracle_sql() -> dict[str, str]:
         "extract_passports": PASSPORTS,
         "invoice_fields_of_texts": _invoice_fields(),
         "best_names": _best_names(),
+        "name_candidates": _name_rows(best=False),
+        "best_name_rows": _name_rows(best=True),
+        "pnr_fallbacks": PNR_FALLBACKS,
         "carrier_lookup": f"""SELECT o_orderkey, flight_number, carrier FROM (SELECT o_orderkey,
             {codes}[o_orderkey % {len(fixed.KNOWN_AIRLINE_CODES)} + 1] || (o_orderkey % 900 + 100) AS flight_number FROM orders)
             LEFT JOIN (VALUES {carriers}) AS c(code, carrier) ON left(flight_number, 2) = code""",

@@ -12,11 +12,12 @@ from doctriage.functions import amounts, dates, names, text
 from doctriage.functions.fuzzy import has_near_match
 from doctriage.functions.regex import count_matches, find_matches
 from doctriage.operators import naming, ticket
-from doctriage.operators.classify import classify, rule_hits, score, score_by_table
+from doctriage.operators.classify import classify, probabilities_by_row, rule_hits, score, score_by_table, top_by_row
 from doctriage.operators.invoice import ExtractOptions, extract_invoice
 from doctriage.operators.passport import extract_passport
 from doctriage.operators.rename import plan_renames
-from doctriage.operators.ticket import with_carrier, with_passenger_name, with_ticket
+from doctriage.operators.rule_index import score_by_index
+from doctriage.operators.ticket import candidate_rows, with_carrier, with_passenger_name, with_ticket
 from doctriage.plans import render
 from doctriage.plans.analyze import EXTRACTORS, analyze, extract, rounded
 from doctriage.plans.report import report_rows, result_json
@@ -175,6 +176,38 @@ def score_long(spark: SparkSession, sf: str) -> DataFrame:
     return score_by_table(all_texts(spark, sf), word_rules().to_table(spark)).select("path", "class", "score")
 
 
+def score_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The same scores by the inverted index of the rules table."""
+    return score_by_index(all_texts(spark, sf), word_rules().to_table(spark)).select("path", "class", "score")
+
+
+def score_many_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Every word of the benchmark items, four letters or more, is a keyword of one of five classes."""
+    items = render.table(spark, sf, "benchmark").select(
+        F.concat(F.lit("c"), F.col("item_id") % 5).alias("class"), (F.col("item_id") % 5).cast("int").alias("class_ord"),
+        F.explode(F.split(text.normalize_text(F.col("text")), " ")).alias("pattern"),
+    )
+    rules = items.where(F.length("pattern") >= 4).distinct().select(
+        "class", "class_ord", F.lit("keyword").alias("kind"), "pattern", F.lit(fixed.KEYWORD_WEIGHT).alias("weight"), F.lit(None).cast("double").alias("temperature")
+    )
+    return score_by_index(all_texts(spark, sf), rules, fuzzy=False).select("path", "class", "score")
+
+
+def _probable(spark: SparkSession, sf: str) -> DataFrame:
+    rules = word_rules()
+    return probabilities_by_row(score_by_table(all_texts(spark, sf), rules.to_table(spark)), temperature=rules.temperature)
+
+
+def softmax_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Probabilities as windows over a document's rows."""
+    return _probable(spark, sf).select("path", "class", rounded(F.col("probability")).alias("probability"))
+
+
+def top_class_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The top class as a rank over a document's rows."""
+    return top_by_row(_probable(spark, sf)).select("path", "raw_class", "top_class", rounded(F.col("confidence")).alias("confidence"))
+
+
 def _classified(spark: SparkSession, sf: str) -> DataFrame:
     return classify(all_texts(spark, sf), word_rules())
 
@@ -386,12 +419,12 @@ def invoice_fields_of_texts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def best_names(spark: SparkSession, sf: str) -> DataFrame:
-    """The passenger's name in six ways of writing it."""
+def _people(spark: SparkSession, sf: str, kinds: int) -> DataFrame:
+    """(c_custkey, text): a passenger's name in as many ways of writing it, chosen by the key."""
     key = F.col("c_custkey")
     code = render.letters(key)
     last, first = F.concat(F.lit("QU"), code), F.concat(F.lit("QE"), code)
-    kind = key % 6
+    kind = key % kinds
     filler = "\nThis line keeps the agent more than forty characters away.\n"
     written = (
         F.when(kind == 0, F.concat(last, F.lit("/"), first, F.lit("MR")))
@@ -399,10 +432,40 @@ def best_names(spark: SparkSession, sf: str) -> DataFrame:
         .when(kind == 2, F.concat(F.lit("Passenger Name: "), last, F.lit(", "), first))
         .when(kind == 3, F.concat(F.lit("Passenger\n"), first, F.lit(" "), last, F.lit(" (MR)")))
         .when(kind == 4, F.concat(F.lit("AGENT QX"), code, F.lit("/QY"), code, F.lit(filler), last, F.lit("/"), first))
-        .otherwise(F.concat(F.lit("Ref 12: "), last, F.lit(", "), first, F.lit(" MRS")))
+        .when(kind == 5, F.concat(F.lit("Ref 12: "), last, F.lit(", "), first, F.lit(" MRS")))
+        .otherwise(F.concat(F.lit("No 7: "), F.initcap(last), F.lit(" /"), F.initcap(first), F.lit(".")))
     )
     people = spread(render.table(spark, sf, "customer").select("c_custkey"), "c_custkey")
-    return with_passenger_name(people.select("c_custkey", written.alias("text")), out="name").select("c_custkey", "name")
+    return people.select("c_custkey", written.alias("text"))
+
+
+def best_names(spark: SparkSession, sf: str) -> DataFrame:
+    """The passenger's name in six ways of writing it."""
+    return with_passenger_name(_people(spark, sf, 6), out="name").select("c_custkey", "name")
+
+
+def name_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Whatever each pass takes for a name, in seven ways of writing it; the last is one that only the relaxed slash pass reads."""
+    found = candidate_rows(_people(spark, sf, 7), ("c_custkey",))
+    return found.select("c_custkey", "pass", "ord", "name", "start", "priority")
+
+
+def best_name_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The best of the candidates as a rank over their rows."""
+    found = names.best_by_row(candidate_rows(_people(spark, sf, 7), ("c_custkey",)), ("c_custkey",))
+    return found.select("c_custkey", "name", "priority", "start")
+
+
+def pnr_fallbacks(spark: SparkSession, sf: str) -> DataFrame:
+    """Booking references without a label of their own: near a word for one, on the next line, a word of the stop list, none."""
+    key, lit = F.col("o_orderkey"), F.lit
+    code = F.concat(lit("P"), F.lpad(render.letters(key), 5, "Q"))
+    written = _by_kind([
+        (lit("Your booking: "), code), (lit("my record locator is "), F.lower(code), lit(".")), lit("x pnr ISSUE 12"),
+        (lit("the PNR\n\t"), F.left(code, lit(5)), lit(" ok")), (lit("no reference "), code),
+    ])
+    orders = render.table(spark, sf, "orders").select("o_orderkey")
+    return orders.select("o_orderkey", ticket.pnr(written).alias("pnr"))
 
 
 def carrier_lookup(spark: SparkSession, sf: str) -> DataFrame:
@@ -539,6 +602,10 @@ QUERIES = {
     "find_matches": find_all_matches,
     "score_wide": score_wide,
     "score_long": score_long,
+    "score_index": score_index,
+    "score_many_rules": score_many_rules,
+    "softmax_rows": softmax_rows,
+    "top_class_rows": top_class_rows,
     "softmax_probs": softmax_probs,
     "top_class": top_class,
     "route_documents": route_documents,
@@ -554,6 +621,9 @@ QUERIES = {
     "extract_passports": extract_passports,
     "invoice_fields_of_texts": invoice_fields_of_texts,
     "best_names": best_names,
+    "name_candidates": name_candidates,
+    "best_name_rows": best_name_rows,
+    "pnr_fallbacks": pnr_fallbacks,
     "carrier_lookup": carrier_lookup,
     "invoice_names": invoice_names,
     "invoice_amounts": invoice_amounts,
