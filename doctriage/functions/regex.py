@@ -32,6 +32,29 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def in_small_methods(value: Column, text: Column) -> Column:
+    """``value``, in a projection whose code Spark cuts into small methods.
+
+    In whole-stage code a projection of many expressions is one method, and the JVM never compiles a method
+    of more than 8,000 bytes.  A projection that has a lambda is left out of whole-stage code, its expressions
+    are generated as methods of bounded size, and those are compiled.  ``text`` is any non-NULL string of the row.
+    """
+    return F.when(F.forall(F.array(F.length(text)), lambda n: n >= 0), value)
+
+
+# Stands for a match while a text is cut; texts that hold it are cut in another way.
+_MARK = "\x01"
+
+
+def split_by(text: Column, java: str) -> Column:
+    """The stretches between the matches of a pattern.
+
+    ``split`` compiles its pattern for every row, a replacement once for all.
+    """
+    quick = F.split(F.regexp_replace(text, java, _MARK), _MARK, -1)
+    return F.when(F.contains(text, F.lit(_MARK)), F.split(text, java, -1)).otherwise(quick)
+
+
 def non_empty(value: Column) -> Column:
     """NULL instead of the empty string."""
     return bind(value, lambda v: F.when(v != "", v))
@@ -84,7 +107,7 @@ def find_matches(text: Column, pattern: str, before: int = 0, after: int = 0) ->
     at the end: appending to one ever longer array would copy it every time.
     """
     java = unicode_regex(pattern)
-    gaps = F.split(text, java, -1)
+    gaps = split_by(text, java)
     if after:
         ahead = f"{_FLAGS}(?:{pattern})(?=((?s:.{{0,{after}}})))"
         groups = len(re.findall(r"(?<!\\)\((?!\?)", pattern)) + 1

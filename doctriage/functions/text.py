@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from doctriage import fixed
-from doctriage.functions.regex import bind
+from doctriage.functions.regex import bind, split_by
 
 # White space as str.split/strip see it: Unicode white space plus the four
 # information separators.  The range before && settles common letters quickly.
@@ -119,7 +119,7 @@ def strip_accents(text: Column) -> Column:
 
     def finish(plain: Column) -> Column:
         # Pieces begin with a character that becomes several, so most of a text is copied whole.
-        pieces = F.split(plain, f"(?={several})")
+        pieces = split_by(plain, f"(?={several})")
         done = F.transform(pieces, lambda p: F.concat(_several(F.left(p, F.lit(1))), F.substr(p, F.lit(2))))
         return F.when(plain.rlike(several), F.array_join(done, "")).otherwise(plain)
 
