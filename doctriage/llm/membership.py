@@ -18,30 +18,50 @@ def _places(keys: Column) -> Column:
     return F.array(*(F.pmod(F.xxhash64(keys, F.lit(i)), F.lit(BITS)) for i in range(2)))
 
 
+def hit(table: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For keys of which the places are given, whether the filter's bits at both are set."""
+    found = np.ones(len(a), bool)
+    for at in (a, b):
+        found &= ((table[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+    return found
+
+
+def places(column: Column, names: tuple[str, str]) -> list[Column]:
+    """The places of a key, two long columns, for ``hit`` inside a function over Arrow batches."""
+    both = _places(column)
+    return [both[i].alias(n) for i, n in enumerate(names)]
+
+
+def bits_of(keys: DataFrame):
+    """A filter over the only column of ``keys`` (long), broadcast: an array of BITS bits for ``hit``.
+
+    The bits are set by an aggregate, at most BITS / 64 rows of which come to the driver.
+    """
+    ship(keys.sparkSession)
+    places = keys.select(F.explode(_places(F.col(keys.columns[0]))).alias("at"))
+    words = places.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("bits"))
+    rows = words.toPandas()
+    table = np.zeros(BITS // 64, np.int64)
+    table[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    table = table.view(np.uint64)
+    return keys.sparkSession.sparkContext.broadcast(table)
+
+
 def may_hold(keys: DataFrame) -> "callable":
     """A filter over the only column of ``keys`` (long): a function from a Column to a boolean Column.
 
     FALSE is certain, TRUE is not; a larger set gives more false TRUEs and a broadcast of the
-    same size.  The bits are set by an aggregate, at most BITS / 64 rows of which come to the driver.
+    same size.
     """
-    spark = keys.sparkSession
-    ship(spark)
-    places = keys.select(F.explode(_places(F.col(keys.columns[0]))).alias("at"))
-    words = places.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("bits")).toPandas()
-    table = np.zeros(BITS // 64, np.int64)
-    table[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    shared = spark.sparkContext.broadcast(table.view(np.uint64))
+    ship(keys.sparkSession)
+    shared = bits_of(keys)
 
     @pandas_udf("boolean")
     def look(a: pd.Series, b: pd.Series) -> pd.Series:
-        found = np.ones(len(a), bool)
-        for at in (a, b):
-            at = at.to_numpy(np.int64)
-            found &= ((shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
-        return pd.Series(found)
+        return pd.Series(hit(shared.value, a.to_numpy(np.int64), b.to_numpy(np.int64)))
 
     def test(column: Column) -> Column:
-        places = _places(column)
-        return look(places[0], places[1])
+        both = _places(column)
+        return look(both[0], both[1])
 
     return test

@@ -27,10 +27,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from doctriage.llm.common import byte_texts, forget, ship, slices, stored
-from doctriage.llm.membership import may_hold
+from doctriage.llm.common import byte_texts, forget, longs, ship, slices, stored
+from doctriage.llm.membership import bits_of, hit, may_hold, places
 from doctriage.llm.rolling import BASES, FIRST, Rolling, mixed
 
 LENGTH = 20
@@ -100,9 +101,17 @@ def blocks(words: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.nd
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _emit_blocks(length: int, gram: int):
+def _without(part: pa.RecordBatch, copies) -> pa.RecordBatch:
+    """The rows that are certainly no copies, by the places in columns 3 and 4."""
+    if copies is None:
+        return part
+    return part.filter(pa.array(~hit(copies.value, longs(part.column(3)), longs(part.column(4)))))
+
+
+def _emit_blocks(length: int, gram: int, copies=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 512):
+            part = _without(part, copies)
             rows, taken = [], []
             for i, text in enumerate(byte_texts(part.column(2))):
                 words = word_hashes(text, *word_bounds(text))
@@ -171,29 +180,64 @@ def covered(factors: list[dict]) -> list[tuple[int, int]]:
     return runs
 
 
+def _listed(listed, copies=None):
+    """(id, tag, text) of the rows that may have an entry, by the places in columns 5 and 6; rows that may be copies are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 512):
+            part = _without(part, copies)
+            yield part.filter(pa.array(hit(listed.value, longs(part.column(5)), longs(part.column(6))))).select([0, 1, 2])
+
+    return run
+
+
+def _kept(text: bytes, factors: list[dict], words: tuple[np.ndarray, np.ndarray]) -> tuple[int, bytes]:
+    starts, ends = words
+    stay = np.ones(len(starts), bool)
+    for a, b in covered(factors):
+        stay[a:b] = False
+    return int(len(stay) - stay.sum()), b" ".join(text[a:b] for a, b in zip(starts[stay].tolist(), ends[stay].tolist()))
+
+
+_RESULT = ["id", "n_words", "n_removed", "factors", "kept", "times"]
+
+
+def _cut_whole(listed, copies, kind: pa.DataType):
+    """Results of the rows that certainly have no entry and are no copies: nothing goes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 256):
+            part = _without(part, copies)
+            part = part.filter(pa.array(~hit(listed.value, longs(part.column(5)), longs(part.column(6)))))
+            counts, kept = [], []
+            for text in byte_texts(part.column(2)):
+                words = word_bounds(text)
+                counts.append(len(words[0]))
+                kept.append(_kept(text, [], words)[1])
+            n = len(counts)
+            columns = [part.column(0), pa.array(counts, pa.int64()), pa.array([0] * n, pa.int64()), pa.array([[]] * n, kind), pa.array(kept, pa.binary()), pa.array([1] * n, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, _RESULT)
+
+    return run
+
+
 def _cut(length: int, kind: pa.DataType):
-    shape = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("source_id", kind), ("source_start", pa.int64())]))
+    """Results of rows (id, text, found, copy_of, times); a later copy of a text is one factor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 256):
-            counts, removed, all_factors, kept = [], [], [], []
-            firsts = part.column(2).to_pylist()
-            for text, found, copy_of in zip(byte_texts(part.column(1)), part.column(3).to_pylist(), firsts):
-                starts, ends = word_bounds(text)
-                n = len(starts)
-                if copy_of is not None:  # a later copy of a text is one factor
+            rows, sources = [], part.column(3).to_pylist()
+            for text, found, copy_of in zip(byte_texts(part.column(1)), part.column(2).to_pylist(), sources):
+                words = word_bounds(text)
+                n = len(words[0])
+                if copy_of is not None:
                     factors = [{"start": 0, "end": n, "source_id": copy_of["id"], "source_start": 0}] if n >= length else []
                 else:
                     factors = parse(found or [], length)
-                stay = np.ones(n, bool)
-                for a, b in covered(factors):
-                    stay[a:b] = False
-                kept.append(b" ".join(text[a:b] for a, b in zip(starts[stay].tolist(), ends[stay].tolist())))
-                counts.append(n)
-                removed.append(n - int(stay.sum()))
-                all_factors.append(factors)
-            columns = [part.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(all_factors, shape), pa.array(kept, pa.binary()), part.column(4)]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n_words", "n_removed", "factors", "kept", "times"])
+                rows.append((n, factors, *_kept(text, factors, words)))
+            counts, factors, removed, kept = ([r[i] for r in rows] for i in range(4))
+            columns = [part.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(factors, kind), pa.array(kept, pa.binary()), part.column(4)]
+            yield pa.RecordBatch.from_arrays(columns, _RESULT)
 
     return run
 
@@ -212,16 +256,32 @@ def _found(places: DataFrame, index: DataFrame, keys: list[str], more: Column) -
     )
 
 
-def _texts_of(rows: DataFrame, lists: DataFrame, column: str) -> DataFrame:
-    """(id, text tag, text, column) of the documents that have a row in ``lists`` (i, t, column); others stay out of the shuffle."""
-    some = rows.where(may_hold(lists.select(F.xxhash64("i", "t").alias("key")))(F.xxhash64("id", "tag")))
-    return some.join(lists, some.id.eqNullSafe(lists.i) & (some.tag == lists.t)).select("id", "tag", "text", column)
+_COPY, _OWN = ("copy_a", "copy_b"), ("own_a", "own_b")
+
+
+class _Texts:
+    """Distinct texts (id, tag, text): rows that no filter takes for copies, and the stored first rows of texts that occur again."""
+
+    def __init__(self, rows: DataFrame, copies, firsts: DataFrame):
+        self.rows = rows.select("id", "tag", "text", *places(F.xxhash64("digest"), _COPY), *places(F.xxhash64("id", "tag"), _OWN))
+        self.copies = copies
+        self.firsts = firsts.select("id", "tag", "text", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), *places(F.xxhash64("id", "tag"), _OWN))
+
+    def map(self, function, schema: str) -> DataFrame:
+        """``function(copies)`` over the rows; for the first rows, which are none, without a filter."""
+        return self.rows.mapInArrow(function(self.copies), schema).unionByName(self.firsts.mapInArrow(function(None), schema))
 
+    def with_lists(self, lists: DataFrame, listed, column: str, kind: str) -> DataFrame:
+        """(id, tag, text, column) of the texts that have a row in ``lists`` (i, t, column); others stay out of the shuffle."""
+        some = self.map(lambda copies: _listed(listed, copies), f"id {kind}, tag long, text string")
+        return some.join(lists, some.id.eqNullSafe(lists.i) & (some.tag == lists.t)).select("id", "tag", "text", column)
 
-def _parsed(texts: DataFrame, length: int, gram: int, kind: str) -> DataFrame:
-    """(i, t, found): by document, the stretches of windows that stand at an earlier place; texts (id, tag, text) are distinct."""
+
+def _parsed(texts: _Texts, length: int, gram: int, kind: str) -> DataFrame:
+    """(i, t, found): by document, the stretches of windows that stand at an earlier place."""
     place = f"id {kind}, tag long"
-    all_blocks = stored(texts.mapInArrow(_emit_blocks(length, gram), f"anchor long, digest long, first long, more int, {place}"), "passage-blocks")
+    all_blocks = texts.map(lambda copies: _emit_blocks(length, gram, copies), f"anchor long, digest long, first long, more int, {place}")
+    all_blocks = stored(all_blocks, "passage-blocks")
     # Anchors that stand once need no index; of the others, whether all their blocks are the same.
     again = all_blocks.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), (F.min("digest") != F.max("digest")).alias("mixed"))
     again = stored(again.where("n > 1").select("anchor", "mixed"), "passage-anchors")
@@ -234,16 +294,17 @@ def _parsed(texts: DataFrame, length: int, gram: int, kind: str) -> DataFrame:
     # Blocks at the boundaries of factors: only the first of equal ones, the others are whole factors.
     ends = index.where("mixed").select(F.col("source.id").alias("i"), F.col("source.tag").alias("t"), F.struct(F.col("source.first").alias("first"), "more").alias("block"))
     ends = stored(ends.groupBy("i", "t").agg(F.collect_list("block").alias("blocks")), "passage-ends")
-    windows = _texts_of(texts, ends, "blocks").mapInArrow(_emit_windows(length), f"one long, two long, first long, {place}")
-    windows = stored(windows, "passage-windows")
+    holding = texts.with_lists(ends, bits_of(ends.select(F.xxhash64("i", "t").alias("key"))), "blocks", kind)
+    windows = stored(holding.mapInArrow(_emit_windows(length), f"one long, two long, first long, {place}"), "passage-windows")
     first = windows.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n"), F.min(_place()).alias("source")).where("n > 1").select("one", "two", "source")
-    first = stored(first, "passage-window-index")
-    maybe = windows.where(may_hold(first.select(F.xxhash64("one", "two").alias("key")))(F.xxhash64("one", "two")))
-    single = _found(maybe, first, ["one", "two"], F.lit(0))
+    single = _found(windows, stored(first, "passage-window-index"), ["one", "two"], F.lit(0))
 
     stretches = whole.unionByName(single).groupBy(F.col("id").alias("i"), F.col("tag").alias("t"))
     found = stretches.agg(F.collect_list(F.struct("first", "more", "source_id", "source_tag", "source_first")).alias("found"))
-    return stored(found, "passage-found")
+    found = stored(found, "passage-found")
+    for table in (near, index, ends, windows):
+        forget(table)
+    return found
 
 
 def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -266,33 +327,43 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = rows.withColumn("digest", digest).withColumn("tag", tag)
 
     # Texts that occur again: the first of the rows with a text stands for all.
-    copies = rows.select("digest", "id").groupBy("digest", "id").agg(F.count(F.lit(1)).alias("times"))
+    copies = rows.groupBy("digest", "id").agg(F.count(F.lit(1)).alias("times"))
     first = copies.groupBy("digest").agg(F.sum("times").alias("n"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "times")).alias("first"))
     first = stored(first.where("n > 1").select("digest", "first"), "passage-copies")
-    marked = rows.withColumn("maybe", may_hold(first.select(F.xxhash64("digest").alias("key")))(F.xxhash64("digest")))
-    doubtful = marked.where("maybe").join(first, "digest", "left")
+    bits = bits_of(first.select(F.xxhash64("digest").alias("key")))
+    maybe = rows.select("id", "tag", "text", *places(F.xxhash64("digest"), _COPY), "digest").mapInArrow(_copies(bits), f"id {kind}, tag long, text string, digest string")
+    doubtful = stored(maybe.join(first, "digest", "left"), "passage-doubtful")
     is_first = F.col("first").isNull() | F.col("id").eqNullSafe(F.col("first.id"))
     # Rows equal in id and text: one is the first, whichever, and the others are copies of it.
     several = F.coalesce(F.col("first.times") > 1, F.lit(False))
     one = doubtful.where(is_first & several).dropDuplicates(["digest", "id"])
-    alone = doubtful.where(is_first & ~several)
     columns = ["id", "tag", "text"]
-    texts = marked.where(~F.col("maybe")).select(columns).unionByName(alone.select(columns)).unionByName(one.select(columns))
+    texts = _Texts(rows, bits, doubtful.where(is_first & ~several).select(columns).unionByName(one.select(columns)))
 
     found = _parsed(texts, length, gram, kind)
-    copy_of, once = F.struct(F.col("first.id").alias("id")).alias("copy_of"), F.lit(1).cast("long").alias("times")
-    no_copy, no_list = F.lit(None).cast(f"struct<id: {kind}>").alias("copy_of"), F.lit(None).cast(dict(found.dtypes)["found"]).alias("found")
-    flagged = texts.withColumn("listed", may_hold(found.select(F.xxhash64("i", "t").alias("key")))(F.xxhash64("id", "tag")))
-    listed = flagged.where("listed")
-    listed = listed.join(found, listed.id.eqNullSafe(found.i) & (listed.tag == found.t), "left").select("id", "text", no_copy, "found", once)
-    plain = flagged.where(~F.col("listed")).select("id", "text", no_copy, no_list, once)
-    later = doubtful.where(~is_first).select("id", "text", copy_of, no_list, once)
-    surplus = one.select("id", "text", copy_of, no_list, (F.col("first.times") - 1).alias("times"))
-    parts = plain.unionByName(listed).unionByName(later).unionByName(surplus)
+    listed = bits_of(found.select(F.xxhash64("i", "t").alias("key")))
+    shape = to_arrow_type(T._parse_datatype_string(FACTORS.format(kind)))
     schema = f"id {kind}, n_words long, n_removed long, factors {FACTORS.format(kind)}, kept binary, times long"
-    cut = parts.mapInArrow(_cut(length, to_arrow_type(docs.schema[id_col].dataType)), schema)
+    plain = texts.map(lambda copies: _cut_whole(listed, copies, shape), schema)
+    no_copy, once = F.lit(None).cast(f"struct<id: {kind}>").alias("copy_of"), F.lit(1).cast("long").alias("times")
+    no_list, copy_of = F.lit(None).cast(dict(found.dtypes)["found"]).alias("found"), F.struct(F.col("first.id").alias("id")).alias("copy_of")
+    some = texts.map(lambda copies: _listed(listed, copies), f"id {kind}, tag long, text string")
+    some = some.join(found, some.id.eqNullSafe(found.i) & (some.tag == found.t), "left").select("id", "text", "found", no_copy, once)
+    later = doubtful.where(~is_first).select("id", "text", no_list, copy_of, once)
+    surplus = one.select("id", "text", no_list, copy_of, (F.col("first.times") - 1).alias("times"))
+    cut = plain.unionByName(some.unionByName(later).unionByName(surplus).mapInArrow(_cut(length, shape), schema))
     # Copies of a row are made of its result, in two steps, so that none of them is large.
     step = 1024
     shares = F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / step)), lambda i: F.least(F.lit(step).cast("long"), F.col("times") - i * step))
     dealt = cut.withColumn("share", F.explode(shares)).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("share"))))
     return dealt.select(F.col("id").alias(id_col), "n_words", "n_removed", "factors", "kept")
+
+
+def _copies(bits):
+    """(id, tag, text, digest) of the rows that may be copies, by the places in columns 3 and 4."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 512):
+            yield part.filter(pa.array(hit(bits.value, longs(part.column(3)), longs(part.column(4))))).select([0, 1, 2, 5])
+
+    return run
