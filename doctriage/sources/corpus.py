@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from doctriage.sources.files import is_folder
+
 
 def _plain_path(path: Column) -> Column:
     """Local file URIs as plain paths, others as they are."""
@@ -19,13 +21,15 @@ def decoded_path(uri: Column) -> Column:
 def list_documents(spark: SparkSession, path: str, recursive: bool = False, pattern: str = "*.[pP][dD][fF]") -> DataFrame:
     """The files of a folder as (path, length, modified); contents are not read.
 
+    The driver's file index lists them; ``listing.list_files`` has executors do it.
+
     Also the table of existing files for a rename plan (``pattern='*'``).  A
     path that names one file is taken whatever its extension.
     """
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", str(recursive).lower())
-        .option("pathGlobFilter", pattern if _is_folder(spark, path) else "*")
+        .option("pathGlobFilter", pattern if is_folder(spark, path) else "*")
         .load(path)
     )
     return files.select(
@@ -33,12 +37,6 @@ def list_documents(spark: SparkSession, path: str, recursive: bool = False, patt
     )
 
 
-def _is_folder(spark: SparkSession, path: str) -> bool:
-    located = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = located.getFileSystem(spark._jsc.hadoopConfiguration())
-    return system.getFileStatus(located).isDirectory()
-
-
 def read_text_files(spark: SparkSession, path: str, recursive: bool = False, pattern: str = "*") -> DataFrame:
     """Text files as documents (path, text, errors), one row per file."""
     return (

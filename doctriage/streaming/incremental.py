@@ -1,8 +1,9 @@
 """Analysis of files as they arrive.
 
 Everything up to the target path is stateless per document, so the batch plan
-runs on a stream as it is.  Collision-free names need the whole corpus: results
-written by ``write_results_stream`` are read back and planned by ``with_renames``.
+runs on a stream as it is.  Collision-free names for the whole corpus come from results
+written by ``write_results_stream``, read back and planned by ``with_renames``; ``names.name_stream``
+gives names as results arrive.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from doctriage.plans.analyze import analyze
-from doctriage.plans.report import result_json
+from doctriage.plans.report import result_json, write_outputs
 from doctriage.sources.corpus import decoded_path
 from doctriage.sources.shared import shared_folder
 
@@ -54,3 +55,19 @@ def write_json_stream(docs: DataFrame, out: str, name: str, **options) -> Stream
 def write_results_stream(docs: DataFrame, out: str, name: str, **options) -> StreamingQuery:
     """The same with whole results, as a Parquet table for reports and ``with_renames``."""
     return _append(analyze(docs, **options), "parquet", out, name)
+
+
+def write_outputs_stream(docs: DataFrame, out: str, name: str, **options) -> StreamingQuery:
+    """JSON lines and the report for all documents that are there, a folder of both for each batch; then stops.
+
+    A batch is analysed once, and appears whole or not at all: a batch that is run again after a failure finds its folder
+    or writes it anew, so no document is lost or reported twice.
+    """
+    progress = f"{shared_folder(docs.sparkSession)}/doctriage/stream-{name}"
+    return (
+        analyze(docs, **options)
+        .writeStream.foreachBatch(lambda batch, n: write_outputs(batch, f"{out}/batch={n}", run=f"{name}-{n}"))
+        .option("checkpointLocation", progress)
+        .trigger(availableNow=True)
+        .start()
+    )
