@@ -154,7 +154,10 @@ def sanitize_filename(name: Column, max_length: int = fixed.MAX_NAME_LENGTH) ->
 def normalized_path(path: Column) -> Column:
     """One spelling for paths that name the same file: no '//' (but a scheme's), no '/./', no './' in front."""
     joined = F.regexp_replace(path, "(?<!^[A-Za-z][A-Za-z0-9+.-]{0,30}:/?)/{2,}", "/")
-    return F.regexp_replace(F.regexp_replace(joined, r"(?<=/)(?:\./)+", ""), r"^(?:\./)+(?=.)", "")
+    tidied = F.regexp_replace(F.regexp_replace(joined, r"(?<=/)(?:\./)+", ""), r"^(?:\./)+(?=.)", "")
+    # Most paths have nothing to tidy, and looking for it literally costs next to nothing.
+    untidy = F.contains(path, F.lit("//")) | F.contains(path, F.lit("./"))
+    return F.when(untidy, tidied).otherwise(path)
 
 
 def text_or_empty(text: Column) -> Column:

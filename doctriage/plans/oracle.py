@@ -15,6 +15,7 @@ def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 ALL_TEXTS = """
   SELECT 'docs/' || doc_id || '.pdf' AS path, text FROM documents
   UNION ALL SELECT 'pages/' || page_id || '.html', html FROM pages
@@ -482,6 +483,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "scan_documents": """SELECT 'docs/' || doc_id || '.pdf' AS path, CAST(length(text) AS INTEGER) AS chars,
             CAST(strlen(text) AS INTEGER) AS bytes, CAST(NULL AS VARCHAR) AS errors FROM documents""",
+        "scan_files": f"SELECT unnest({_list(TABLES)}) AS \"table\", CAST(0 AS BIGINT) AS differing",
         "error_merge": """SELECT doc_id, nullif(concat_ws(' | ', CASE WHEN lang = 'de' THEN 'load_error: ' || source END,
             CASE WHEN lang <> 'fr' AND doc_id % 3 = 0 THEN 'ocr_error: blank' END,
             CASE WHEN doc_id % 5 = 0 THEN 'rename_error: denied' END), '') AS errors FROM documents""",

@@ -21,7 +21,8 @@ from doctriage.operators.ticket import candidate_rows, with_carrier, with_passen
 from doctriage.plans import render
 from doctriage.plans.analyze import EXTRACTORS, analyze, extract, rounded
 from doctriage.plans.report import report_rows, result_json
-from doctriage.sources.corpus import from_table, spread
+from doctriage.sources.corpus import from_table, list_documents, spread
+from doctriage.sources.listing import list_files
 from doctriage.sources.rules import Rules
 
 AS_OF = dt.date(2026, 12, 1)
@@ -77,6 +78,15 @@ def scan_documents(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select("path", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), "errors")
 
 
+def scan_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of the given tables as executors list them, against the driver's listing: a row per table, and how many files only one of both has."""
+    pattern = "*.parquet"
+    ours = list_files(spark, sf, recursive=True, pattern=pattern).where("length > 0").select("path", F.lit(1).alias("a"))
+    theirs = list_documents(spark, sf, recursive=True, pattern=pattern).select("path", F.lit(1).alias("b"))
+    both = ours.join(theirs, "path", "full").withColumn("table", F.regexp_extract("path", r"/([a-z]+)\.parquet(?:/|$)", 1))
+    return both.groupBy("table").agg(F.count_if(F.col("a").isNull() | F.col("b").isNull()).alias("differing"))
+
+
 def error_merge(spark: SparkSession, sf: str) -> DataFrame:
     d = render.table(spark, sf, "documents").select("doc_id", "lang", "source")
     load = F.when(F.col("lang") == "de", F.concat(F.lit("load_error: "), "source"))
@@ -590,6 +600,7 @@ def analyze_everything(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "scan_documents": scan_documents,
+    "scan_files": scan_files,
     "error_merge": error_merge,
     "rules_table": rules_table,
     "normalize_text": normalize_text,
