@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,23 @@ RESULT = "query_id long, rank int, vec_id long, score long"
 _NONE = np.iinfo(np.int64).min
 
 
+#: Sums below this are exact in float64, whatever the order they are added up in.
+_EXACT = 1 << 53
+
+
+def products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Integer inner products of int64 rows: by float64 where every sum fits, by 64-bit integers beyond, and an error beyond those."""
+    most = int(np.abs(queries).max(initial=0)) * int(np.abs(rows).max(initial=0)) * queries.shape[1]
+    if most < _EXACT:
+        return np.rint(queries.astype(np.float64) @ rows.astype(np.float64).T).astype(np.int64)
+    if most < 1 << 63:
+        return queries @ rows.T
+    exact = queries.astype(object) @ rows.astype(object).T
+    if any(abs(x) >= 1 << 63 for x in exact.flat):
+        raise OverflowError("an inner product does not fit in 64 bits")
+    return exact.astype(np.int64)
+
+
 class CoverTree:
     """Nodes over the rows of a matrix: a row as centre, the radius over all rows below.
 
@@ -42,6 +60,7 @@ class CoverTree:
     """
 
     def __init__(self, rows: np.ndarray, leaf: int = LEAF):
+        self.whole = rows.astype(np.int64)
         self.rows = rows.astype(np.float64)
         self.centre: list[int] = []
         self.radius: list[float] = []
@@ -84,33 +103,36 @@ class CoverTree:
 
 
 class Best:
-    """The k highest scores of each query so far, ties to the smaller id, with the ids."""
+    """The k highest scores of each query so far, ties to the smaller id, with the ids and the rows' places."""
 
-    def __init__(self, queries: int, k: int):
-        self.k = k
+    def __init__(self, queries: int, k: int, ids: np.ndarray):
+        self.k, self.ids = k, ids
         self.scores = np.full((queries, k), _NONE, np.int64)
-        self.ids = np.full((queries, k), np.iinfo(np.int64).max, np.int64)
-
-    def worst(self, members: np.ndarray) -> int:
-        return int(self.scores[members, -1].min())
+        self.places = np.full((queries, k), -1, np.int64)
 
-    def add(self, members: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+    def add(self, members: np.ndarray, scores: np.ndarray, rows: np.ndarray) -> None:
         """scores: queries x rows, _NONE where a row is no candidate."""
         some = (scores >= self.scores[members, -1][:, None]) & (scores != _NONE)
-        busy = np.flatnonzero(some.any(axis=1))
-        for i in busy.tolist():
+        for i in np.flatnonzero(some.any(axis=1)).tolist():
             q, new = members[i], np.flatnonzero(some[i])
             s = np.concatenate((self.scores[q], scores[i, new]))
-            n = np.concatenate((self.ids[q], ids[new]))
-            best = np.lexsort((n, ~s))[: self.k]  # ~s falls as s rises, for the least long too
-            self.scores[q], self.ids[q] = s[best], n[best]
+            n = np.concatenate((self.places[q], rows[new]))
+            best = np.lexsort((self.ids[n], ~s))[: self.k]  # ~s falls as s rises, for the least long too
+            self.scores[q], self.places[q] = s[best], n[best]
+
 
+def search(
+    queries: CoverTree, query_ids: np.ndarray, data: CoverTree, data_ids: np.ndarray, k: int, floor: np.ndarray, times: np.ndarray | None = None
+) -> Best:
+    """Best k of ``data`` for each query; scores below ``floor`` (a score k rows are known to reach) are skipped.
 
-def search(queries: CoverTree, query_ids: np.ndarray, data: CoverTree, data_ids: np.ndarray, k: int, floor: np.ndarray) -> Best:
-    """Best k of ``data`` for each query, its own id left out; scores below ``floor`` (a score k rows are known to reach) are skipped."""
-    best = Best(len(query_ids), k)
+    ``times`` says how many rows of ``data`` each stands for.  A row equal to the query in id and vector is the query itself,
+    no candidate unless it stands for several.
+    """
+    best = Best(len(query_ids), k, data_ids)
     if not len(query_ids) or not len(data_ids):
         return best
+    times = np.ones(len(data_ids), np.int64) if times is None else times
     whole_q, whole_d = queries.rows, data.rows
     todo = [(0, 0)]
     while todo:
@@ -124,9 +146,13 @@ def search(queries: CoverTree, query_ids: np.ndarray, data: CoverTree, data_ids:
             continue
         if queries.is_leaf(a) and data.is_leaf(b):
             rows = data.members[b]
-            scores = np.rint(whole_q[members] @ whole_d[rows].T).astype(np.int64)
-            scores[(query_ids[members][:, None] == data_ids[rows][None, :]) | (scores < floor[members][:, None])] = _NONE
-            best.add(members, scores, data_ids[rows])
+            scores = products(queries.whole[members], data.whole[rows])
+            out = scores < floor[members][:, None]
+            alone = (query_ids[members][:, None] == data_ids[rows][None, :]) & (times[rows] == 1)[None, :]
+            for i, j in zip(*np.nonzero(alone)):
+                out[i, j] |= bool((queries.whole[members[i]] == data.whole[rows[j]]).all())
+            scores[out] = _NONE
+            best.add(members, scores, rows)
         elif queries.is_leaf(a) or not data.is_leaf(b) and s >= r:
             ends = data.below[b]
             scores = whole_d[[data.centre[n] for n in ends]] @ whole_q[qc]
@@ -137,10 +163,13 @@ def search(queries: CoverTree, query_ids: np.ndarray, data: CoverTree, data_ids:
 
 
 def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: int = 256) -> DataFrame:
-    """(id, v): floor(scale * x) of every component; rows with a NULL id, NULL vector, or a NULL or non-finite component are left out."""
+    """(id, v): floor(scale * x) of every component; rows with a NULL id, NULL vector, or a NULL or non-finite component are left out.
+
+    So are rows with a component whose integer has more than 62 bits: no score of theirs could be told.
+    """
     x = F.col(vector_col)
     fit = F.col(id_col).isNotNull() & x.isNotNull() & F.coalesce(
-        F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < F.lit(float("inf")))), F.lit(False)
+        F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) * scale < F.lit(float(1 << 62)))), F.lit(False)
     )
     whole = F.transform(x, lambda c: F.floor(F.lit(float(scale)) * c.cast("double")).cast("long"))
     return vectors.where(fit).select(F.col(id_col).cast("long").alias("id"), whole.alias("v"))
@@ -153,29 +182,26 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All rows of one block as one row: ids, vectors end to end, and how many components each has."""
+    """All rows of one block as one row: ids, how often each row is there, vectors end to end, and how many components each has."""
     held: dict[tuple[int, int], list] = {}
     for batch in batches:
-        blocks, sizes = batch.column(0).to_numpy(), batch.column(3).to_numpy()
+        blocks, sizes = batch.column(0).to_numpy(), batch.column(4).to_numpy()
         for key in {*zip(blocks.tolist(), sizes.tolist())}:
             part = batch.filter(pa.array((blocks == key[0]) & (sizes == key[1])))
-            held.setdefault(key, []).append((part.column(1).to_numpy().astype(np.int64), _matrix(part.column(2)).astype(np.int64)))
+            held.setdefault(key, []).append((*(part.column(i).to_numpy().astype(np.int64) for i in (1, 2)), _matrix(part.column(3)).astype(np.int64)))
     for (block, size), parts in held.items():
-        ids = np.concatenate([p[0] for p in parts])
-        rows = np.concatenate([p[1] for p in parts])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([block], pa.int64()), pa.array([size], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([rows.tobytes()], pa.binary())],
-            ["block", "size", "ids", "rows"],
-        )
+        ids, times, rows = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        columns = [pa.array([block], pa.int64()), pa.array([size], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids, times, rows))]
+        yield pa.RecordBatch.from_arrays(columns, ["block", "size", "ids", "times", "rows"])
 
 
 def _blocks(rows: DataFrame, size: int) -> DataFrame:
-    """Rows in blocks of about ``size`` by a hash of id, one row for each block and number of components."""
+    """Distinct rows (id, v, times) in blocks of about ``size`` by a hash, one row for each block and number of components."""
     n = rows.count()
     blocks = max(1, -(-n // size))
-    keyed = rows.select(F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).alias("block"), "id", "v", F.size("v").alias("size"))
+    keyed = rows.select(F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).alias("block"), "id", "times", "v", F.size("v").alias("size"))
     spread = keyed.repartition(min(blocks, partitions(rows)), "block")
-    return spread.mapInArrow(_to_blocks, "block long, size int, ids binary, rows binary")
+    return spread.mapInArrow(_to_blocks, "block long, size int, ids binary, times binary, rows binary")
 
 
 def _some(rows: DataFrame, n: int) -> DataFrame:
@@ -184,8 +210,9 @@ def _some(rows: DataFrame, n: int) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(n)
 
 
-def _best(score: str, row: str, k: int) -> Column:
-    return F.slice(F.array_sort(F.collect_set(F.struct((-F.col(score)).alias("s"), F.col(row).alias("vec_id")))), 1, k).alias("best")
+def _best(k: int) -> Column:
+    """The k best (score, id, row's vector, times); rows equal in all are one."""
+    return F.slice(F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("s"), "vec_id", "row", "times"))), 1, k).alias("best")
 
 
 def top_k(
@@ -194,74 +221,95 @@ def top_k(
     """(query_id, rank, vec_id, score): the k highest integer inner products of each query over all other rows, ties to the smaller id.
 
     Queries are the rows for which ``is_query``, an expression over the id column, holds.  Every block of
-    queries meets every block of data.  Only vectors of as many components are compared.  A query id that
-    occurs in several rows is several queries of the same id, and no row of its own id is a candidate; equal result rows appear once.
+    queries meets every block of data.  Only vectors of as many components are compared.  Every row counts: rows
+    that share an id or are equal are candidates each, for each other too, and queries each.  Equal rows
+    are searched once and told apart by their number.  Scores are exact; one that doesn't fit in 64 bits is an error.
     No rows, no queries or a single row: no result rows.  Other columns are not read.
     """
     spark = vectors.sparkSession
     ship(spark)
-    rows = stored(integer_vectors(vectors, id_col, vector_col).distinct(), "vectors")
-    asked = rows.withColumnRenamed("id", id_col).where(is_query).select(F.col(id_col).alias("id"), "v")
+    rows = stored(integer_vectors(vectors, id_col, vector_col).groupBy("id", "v").agg(F.count(F.lit(1)).alias("times")), "vectors")
+    asked = rows.withColumnRenamed("id", id_col).where(is_query).withColumnRenamed(id_col, "id")
     data = stored(_blocks(rows, data_block), "data-blocks")
     queries = stored(_blocks(asked, query_block), "query-blocks")
-    seed = [
-        (np.array(r["id"]), np.array(r["v"], np.int64)) for r in _some(rows, SEED_ROWS).collect()
-    ]
+    seed = [(np.array(r["id"]), np.array(r["v"], np.int64)) for r in _some(rows, SEED_ROWS).collect()]
     shared = spark.sparkContext.broadcast(seed)  # SEED_ROWS rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees: dict[tuple, CoverTree] = {}
+
+        def tree(kind: str, r: dict, rows: np.ndarray) -> CoverTree:
+            """A block's tree is made once for pairs that follow each other; two are held."""
+            key = (kind, r["block"] if kind == "data" else r["q_block"], r["size"])
+            if key not in trees:
+                for old in [x for x in trees if x[0] == kind]:
+                    del trees[old]
+                trees[key] = CoverTree(rows)
+            return trees[key]
+
         for batch in batches:
             for r in batch.to_pylist():
-                query_ids, data_ids = (np.frombuffer(r[c], np.int64) for c in ("q_ids", "ids"))
+                query_ids, data_ids, q_times, times = (np.frombuffer(r[c], np.int64) for c in ("q_ids", "ids", "q_times", "times"))
                 q, d = (np.frombuffer(r[c], np.int64).reshape(len(i), -1) for c, i in (("q_rows", query_ids), ("rows", data_ids)))
                 some = [s for s in shared.value if len(s[1]) == r["size"]]
                 floor = np.full(len(query_ids), _NONE)
                 if len(some) > k and r["size"]:
-                    scores = q @ np.stack([s[1] for s in some]).T
+                    seeds = np.stack([s[1] for s in some])
+                    scores = products(q, seeds)
                     scores[query_ids[:, None] == np.array([int(s[0]) for s in some])[None, :]] = _NONE
                     floor = np.partition(scores, -k, axis=1)[:, -k]
-                best = search(CoverTree(q), query_ids, CoverTree(d), data_ids, k, floor)
+                best = search(tree("query", r, q), query_ids, tree("data", r, d), data_ids, k, floor, times)
                 at = np.nonzero(best.scores != _NONE)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at[0]), r["block"])), pa.array(query_ids[at[0]]), pa.array(best.ids[at]), pa.array(best.scores[at])],
-                    ["block", "query_id", "vec_id", "score"],
-                )
+                place = best.places[at]
+                # What is equal to the query in id and vector stands for the others.
+                own = (data_ids[place] == query_ids[at[0]]) & (d[place] == q[at[0]]).all(axis=1)
+                digest = [xxhash.xxh3_64_intdigest(d[p].tobytes()) - (1 << 63) for p in place.tolist()]
+                q_digest = [xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) for x in q]
+                columns = [
+                    np.full(len(place), r["block"]), query_ids[at[0]], np.array(q_digest, np.int64)[at[0]], q_times[at[0]],
+                    data_ids[place], np.array(digest, np.int64), times[place] - own, best.scores[at],
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["block", "query_id", "query_row", "query_times", "vec_id", "row", "times", "score"])
 
     n_data, n_queries = (t.agg(F.coalesce(F.max("block"), F.lit(-1))).first()[0] for t in (data, queries))
     if n_data < 0 or n_queries < 0:
         return spark.createDataFrame([], RESULT)
-    # Every block of queries meets every block of data; the pair is the key, so pairs spread evenly.
+    # Every block of queries meets every block of data; the pairs of a block of data follow each other.
     left = data.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(n_queries)).cast("array<long>")))
     right = queries.select(
         F.explode(F.sequence(F.lit(0), F.lit(n_data)).cast("array<long>")).alias("block"),
-        F.col("block").alias("q_block"), "size", F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"),
+        F.col("block").alias("q_block"), "size", F.col("ids").alias("q_ids"), F.col("times").alias("q_times"), F.col("rows").alias("q_rows"),
     )
     pairs = left.join(right, ["block", "q_block", "size"])
-    found = pairs.select("block", "size", "ids", "rows", "q_ids", "q_rows").mapInArrow(run, "block long, query_id long, vec_id long, score long")
+    columns = ["block", "q_block", "size", "ids", "times", "rows", "q_ids", "q_times", "q_rows"]
+    names = "block long, query_id long, query_row long, query_times long, vec_id long, row long, times long, score long"
+    found = pairs.select(*columns).mapInArrow(run, names)
     # Blocks first by groups, so that no query gathers the results of all blocks at once.
-    groups = max(1, math.isqrt(n_data + 1))
-    some = found.groupBy("query_id", F.pmod("block", F.lit(groups)).alias("g")).agg(_best("score", "vec_id", k))
-    some = some.select("query_id", F.explode("best").alias("b")).select("query_id", (-F.col("b.s")).alias("score"), "b.vec_id")
-    ranked = some.groupBy("query_id").agg(_best("score", "vec_id", k))
-    return ranked.select("query_id", F.posexplode("best").alias("at", "b")).select(
-        "query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score")
-    )
+    groups, keys = max(1, math.isqrt(n_data + 1)), ["query_id", "query_row", "query_times"]
+    some = found.groupBy(*keys, F.pmod("block", F.lit(groups)).alias("g")).agg(_best(k))
+    some = some.select(*keys, F.explode("best").alias("b")).select(*keys, (-F.col("b.s")).alias("score"), "b.vec_id", "b.row", "b.times")
+    ranked = some.groupBy(*keys).agg(_best(k))
+    # A row that is there several times takes as many ranks, k at most; a query that is, gets as many results.
+    whole = F.flatten(F.transform("best", lambda b: F.array_repeat(b, F.least(b["times"], F.lit(k)).cast("int"))))
+    each = ranked.withColumn("best", F.slice(whole, 1, k)).select("query_id", "query_times", F.posexplode("best").alias("at", "b"))
+    each = each.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("query_times"))))
+    return each.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"))
 
 
 #: The same by brute force, for vec_id % 50 = 0 and k = 5.
 ORACLE = """
 WITH vectors AS (
-  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
 ), scores AS (
-  SELECT DISTINCT q.vec_id AS query_id, d.vec_id,
+  SELECT q.row AS query_row, q.vec_id AS query_id, d.vec_id,
          CAST(list_sum(list_transform(list_zip(q.v, d.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM vectors q JOIN vectors d ON q.vec_id <> d.vec_id AND len(q.v) = len(d.v)
+  FROM vectors q JOIN vectors d ON q.row <> d.row AND len(q.v) = len(d.v)
   WHERE q.vec_id % 50 = 0
 ), ranked AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scores
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_row ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scores
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """

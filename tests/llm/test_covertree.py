@@ -4,18 +4,20 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from doctriage.llm import covertree
 
 
 def _brute(rows, is_query, k=5):
-    clean = {(i, tuple(math.floor(256 * x) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    """Every row by itself: equal ones and those that share an id are candidates for each other, and queries each."""
+    clean = [(i, tuple(math.floor(256 * x) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, a in sorted(clean):
+    for n, (q, a) in enumerate(clean):
         if is_query(q):
-            scores = {(-sum(x * y for x, y in zip(a, b)), i) for i, b in clean if i != q and len(a) == len(b)}
-            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(sorted(scores)[:k])]
+            scores = sorted((-sum(x * y for x, y in zip(a, b)), i) for m, (i, b) in enumerate(clean) if m != n and len(a) == len(b))
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:k])]
     return sorted(out)
 
 
@@ -37,6 +39,32 @@ def test_equals_brute_force_in_blocks(spark):
     assert _found(spark, rows, data_block=150, query_block=20) == want
 
 
+def test_repeated_rows_and_ids(spark):
+    rows = [(0, [1.0]), (1, [2.0]), (1, [2.0]), (2, [0.5])]
+    assert _found(spark, rows) == [(0, 1, 1, 131072), (0, 2, 1, 131072), (0, 3, 2, 32768)] == _brute(rows, lambda q: q % 10 == 0)
+    rng = random.Random(9)
+    rows = [(rng.randrange(30), [float(rng.randrange(-3, 4)), float(rng.randrange(-3, 4))]) for _ in range(300)] + [(10, [2.0, 2.0])] * 40
+    assert _found(spark, rows) == _brute(rows, lambda q: q % 10 == 0)
+    assert _found(spark, rows, data_block=20, query_block=5) == _brute(rows, lambda q: q % 10 == 0)
+
+
+def test_large_components_are_exact(spark):
+    rng = random.Random(2)
+    rows = [(i, [rng.uniform(-1, 1) * 2**20 for _ in range(16)]) for i in range(60)]
+    want = _brute(rows, lambda q: q % 10 == 0)
+    assert max(abs(r[3]) for r in want) > 2**53 and _found(spark, rows) == want
+    with pytest.raises(Exception, match="64 bits"):
+        _found(spark, [(i, [2.0**40, 2.0**39 + i]) for i in range(20)])
+    assert _found(spark, [(10, [1e300]), (11, [1.0]), (12, [2.0])]) == []
+
+
+def test_products_are_exact_at_every_size():
+    rng = np.random.default_rng(1)
+    for size in (10, 2**20, 2**27, 2**30):
+        a, b = rng.integers(-size, size, (5, 7)), rng.integers(-size, size, (6, 7))
+        assert covertree.products(a, b).tolist() == (a.astype(object) @ b.astype(object).T).tolist()
+
+
 def test_few_rows_and_mixed_sizes(spark):
     assert _found(spark, []) == []
     assert _found(spark, [(10, [1.0, 2.0])]) == []
