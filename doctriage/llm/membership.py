@@ -65,14 +65,8 @@ def bits_of(keys: DataFrame):
     return keys.sparkSession.sparkContext.broadcast(table)
 
 
-def may_hold(keys: DataFrame) -> "callable":
-    """A filter over the only column of ``keys`` (long): a function from a Column to a boolean Column.
-
-    FALSE is certain, TRUE is not; a larger set gives more false TRUEs and a broadcast of the
-    same size.
-    """
-    ship(keys.sparkSession)
-    shared = bits_of(keys)
+def test_of(shared) -> "callable":
+    """A filter from ``bits_of`` as a function from a Column (long) to a boolean Column."""
 
     @pandas_udf("boolean")
     def look(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -83,3 +77,12 @@ def may_hold(keys: DataFrame) -> "callable":
         return look(both[0], both[1])
 
     return test
+
+
+def may_hold(keys: DataFrame) -> "callable":
+    """A filter over the only column of ``keys`` (long): a function from a Column to a boolean Column.
+
+    FALSE is certain, TRUE is not; a larger set gives more false TRUEs and a broadcast of the
+    same size.
+    """
+    return test_of(bits_of(keys))

@@ -20,7 +20,6 @@ equal offsets, so suffixes at anchors are all that need sorting, about one in 70
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from doctriage.llm.common import byte_texts, forget, partitions, ship, slices, stored
-from doctriage.llm.membership import may_hold
+from doctriage.llm.common import byte_texts, forget, longs, partitions, ship, slices, stored
+from doctriage.llm.membership import bits_of, hit, may_hold, places, test_of
 from doctriage.llm.rolling import FIRST, SECOND, mixed
 
 LENGTH = 400
@@ -96,11 +95,16 @@ def multikey_order(columns: list[np.ndarray]) -> np.ndarray:
     return order
 
 
-def _suffixes(length: int, gram: int):
+def _suffixes(length: int, gram: int, copies=None):
+    """The records of texts (id, tag, text), but of those that a filter of copies hits, by the places in columns 3 and 4."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 256):
+            if copies is not None:
+                part = part.filter(pa.array(~hit(copies.value, longs(part.column(3)), longs(part.column(4)))))
             rows, taken = [], []
-            for i, data in enumerate(byte_texts(part.column(1))):
+            tags = longs(part.column(1))
+            for i, data in enumerate(byte_texts(part.column(2))):
                 at, first, last, grams = anchors(data, length, gram)
                 if not len(at):
                     continue
@@ -108,7 +112,7 @@ def _suffixes(length: int, gram: int):
                 shape = ((at - first) << 8 | (at - last)).astype(np.uint64)
                 region = SECOND.of(prefixes, first, last + length) ^ mixed(shape + np.uint64(1))
                 place = at << 16 | (at - first) << 8 | (at - last)
-                rows.append((_leads(data, at), grams.view(np.int64), region.view(np.int64), np.full(len(at), zlib.crc32(data)), place))
+                rows.append((_leads(data, at), grams.view(np.int64), region.view(np.int64), np.full(len(at), tags[i]), place))
                 taken += [i] * len(at)
             if rows:
                 columns = [pa.array(np.concatenate(c)) for c in zip(*rows)]
@@ -123,7 +127,7 @@ def _windows(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 64):
-            for i, (data, places) in enumerate(zip(byte_texts(part.column(1)), part.column(3))):
+            for i, (data, places) in enumerate(zip(byte_texts(part.column(2)), part.column(3))):
                 places = np.sort(np.array(places.as_py(), np.int64))
                 at, back, front = places >> 16, places >> 8 & 255, places & 255
                 starts = np.concatenate([np.arange(a, b + 1) for a, b in zip((at - back).tolist(), (at - front).tolist())])
@@ -132,7 +136,7 @@ def _windows(length: int):
                 n = len(starts)
                 columns = [_leads(data, starts), one.view(np.int64), two.view(np.int64)]
                 ids = part.column(0).take(pa.array(np.full(n, i)))
-                tag = np.full(n, part.column(2)[i].as_py())
+                tag = np.full(n, part.column(1)[i].as_py())
                 arrays = [*map(pa.array, columns), ids, pa.array(tag), pa.array(starts)]
                 yield pa.RecordBatch.from_arrays(arrays, ["lead", "key", "more", "id", "tag", "place"])
 
@@ -217,26 +221,35 @@ def remove_repeats(
     A byte goes if a string of ``length`` bytes over it also starts elsewhere, in the same document
     or another.  Texts are UTF-8 bytes, NULL is empty; shorter texts than
     ``length`` are kept whole.  Repeated rows count as separate documents, so each removes the
-    other.  Results are joined to rows by id and CRC-32 of the text, so ids need not be
-    unique.  No rows, no result.  Other columns are not read.
+    other.  A text that occurs several times is searched once, under a digest of 128 bits, which is also what
+    results are joined to rows by: ids decide nothing.  No rows, no result.  Other columns are not read.
     """
     if not 0 <= length - gram <= 255:
         raise ValueError("gram has to be at most length, and at least length - 255")
     ship(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    records = f"lead long, key long, more long, id {kind}, tag long, place long"
-    suffixes = stored(rows.mapInArrow(_suffixes(length, gram), records), "suffixes")
+    rows = docs.select(F.col(id_col).alias("row_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    half = [F.conv(F.substring(F.md5(F.col("text").cast("binary")), at, 16), 16, -10).cast("long") for at in (1, 17)]
+    rows = rows.select("row_id", half[0].alias("id"), half[1].alias("tag"), "text")
+    twice = rows.groupBy("id", "tag").agg(F.count(F.lit(1)).alias("n"), F.min(F.octet_length("text")).alias("size")).where("n > 1")
+    twice = stored(twice.select("id", "tag", "size"), "repeated-texts")
+    own, other = F.xxhash64("id", "tag"), F.xxhash64("i", "t").alias("key")
+    # Filters of fixed size keep most texts out of the shuffles; joins and aggregates decide.
+    bits = bits_of(twice.select(own.alias("key")))
+    copies = test_of(bits)(own)
+    again = stored(rows.where(copies).select("id", "tag", "text").dropDuplicates(["id", "tag"]), "texts-once")
+
+    records = "lead long, key long, more long, id long, tag long, place long"
+    once = rows.select("id", "tag", "text", *places(own, ("a", "b"))).mapInArrow(_suffixes(length, gram, bits), records)
+    suffixes = stored(once.unionByName(again.mapInArrow(_suffixes(length, gram), records)), "suffixes")
     near = sorted_neighbours(suffixes, "suffixes-sorted")
     forget(suffixes)
 
-    tagged = rows.withColumn("tag", F.crc32(F.col("text").cast("binary")))
     ends = near.where("(same_prev and not all_prev) or (same_next and not all_next)")
-    places = ends.groupBy(F.col("id").alias("i"), F.col("tag").alias("t")).agg(F.collect_list("place").alias("places"))
-    # A filter of fixed size keeps most texts that no place is in out of the shuffles; the joins decide.
-    own, other = F.xxhash64("id", "tag"), F.xxhash64("i", "t").alias("key")
-    near_text = tagged.where(may_hold(places.select(other))(own))
-    holding = near_text.join(places, near_text.id.eqNullSafe(places.i) & (near_text.tag == places.t)).select("id", "text", "tag", "places")
+    listed = ends.groupBy(F.col("id").alias("i"), F.col("tag").alias("t")).agg(F.collect_list("place").alias("places"))
+    placed = may_hold(listed.select(other))(own)
+    near_text = rows.where(placed & ~copies).select("id", "tag", "text").unionByName(again.where(placed))
+    holding = near_text.join(listed, (near_text.id == listed.i) & (near_text.tag == listed.t)).select("id", "tag", "text", "places")
     windows = sorted_neighbours(holding.mapInArrow(_windows(length), records), "windows-sorted")
 
     at = F.shiftright("place", 16)
@@ -244,16 +257,20 @@ def remove_repeats(
         "id", "tag", (at - F.shiftright("place", 8).bitwiseAND(255)).alias("first"), (at - F.col("place").bitwiseAND(255)).alias("last")
     )
     single = windows.where("all_prev or all_next").select("id", "tag", F.col("place").alias("first"), F.col("place").alias("last"))
+    # All of a text that occurs several times.
+    every = twice.where(F.col("size") >= length).select("id", "tag", F.lit(0).cast("long").alias("first"), (F.col("size") - length).cast("long").alias("last"))
     ranges = (
-        whole.unionByName(single)
+        whole.unionByName(single).unionByName(every)
         .groupBy(F.col("id").alias("i"), F.col("tag").alias("t"))
         .agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
     )
     ranges = stored(ranges, "ranges")
-    marked = tagged.withColumn("maybe", may_hold(ranges.select(other))(own))
-    whole_texts = marked.where("not maybe").select("id", "text", F.lit(None).cast(dict(ranges.dtypes)["ranges"]).alias("ranges"))
+    for table in (near, windows, again):
+        forget(table)
+    marked = rows.withColumn("maybe", may_hold(ranges.select(other))(own))
+    whole_texts = marked.where("not maybe").select("row_id", "text", F.lit(None).cast(dict(ranges.dtypes)["ranges"]).alias("ranges"))
     rest = marked.where("maybe")
-    joined = rest.join(ranges, rest.id.eqNullSafe(ranges.i) & (rest.tag == ranges.t), "left").select("id", "text", "ranges")
+    joined = rest.join(ranges, (rest.id == ranges.i) & (rest.tag == ranges.t), "left").select("row_id", "text", "ranges")
     spans = "array<struct<start: long, end: long>>"
     cut = whole_texts.unionByName(joined).mapInArrow(_cut(length), f"id {kind}, spans {spans}, kept binary")
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])

@@ -92,3 +92,19 @@ def test_multikey_order_sorts():
     assert rows == sorted(rows) and sorted(order.tolist()) == list(range(30_000))
     same = [np.zeros(20_000, np.int64)] * 3
     assert sorted(repeats.multikey_order(same).tolist()) == list(range(20_000))
+
+
+def test_copies_of_a_row_are_searched_once(spark):
+    """Rows equal in id and text, beside one that shares most of it: places and windows are those of two texts, however many copies."""
+    import random
+
+    rng = random.Random(6)
+    shared = "".join(rng.choices("abcdefgh ", k=3000))
+    copy = shared + "".join(rng.choices("abcdefgh ", k=600))
+    rows = [(1, copy)] * 3000 + [(2, "x" + shared + "y"), (None, copy), (3, "short")] + [(4, "short")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = repeats.remove_repeats(docs).collect()
+    assert len(got) == len(rows)
+    assert all(len(r.kept) == 0 and r.n_bytes == 3600 for r in got if r.doc_id in (None, 1))
+    assert [bytes(r.kept) for r in got if r.doc_id == 2] == [b"xy"]
+    assert sum(bytes(r.kept) == b"short" for r in got) == 51
