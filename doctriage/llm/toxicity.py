@@ -2,8 +2,10 @@
 
 The lexicon is learned from labels: words, and stems with many endings, that occur in
 toxic documents far more often than in others.  Words of a text within one edit of a
-term are hits; each counts less where its window of words shows a quotation, and more
-where somebody is addressed.  A logistic regression over sums of hits gives the score.
+term are hits.  A hit counts with its term's evidence; less if it is misspelled, by as much as words like the term
+turned up in documents that aren't toxic; less where its window of words shows a quotation, and more
+where somebody is addressed.  A logistic regression over sums of hits gives the score, with weights that are
+not negative: a hit never makes a text look cleaner, and a quoted one never counts as much as a plain one.
 """
 
 from __future__ import annotations
@@ -23,8 +25,10 @@ from doctriage.llm.common import ship, slices, stored, whole_text
 
 #: Labelled rows that the lexicon and the regression are fitted on, at most.
 SAMPLE_ROWS = 20_000
-#: Words and stems in the lexicon, at most: those of the strongest evidence.
+#: Words and stems in the lexicon, at most: those of the strongest evidence.  What bounds it in practice is the next figure.
 MAX_TERMS = 2_000
+#: Evidence of a term, of the strongest one's: what falls short of that is words of a few texts that happen to be toxic.
+LEAST_EVIDENCE = 0.6
 WINDOW = 8
 _STEM = range(4, 9)
 _STEM_ENDINGS = 6
@@ -39,7 +43,9 @@ _REPORTS = frozenset(
 )
 _ADDRESS = frozenset("you your u ur youre du dein deine dich ihr tu toi ton te vous votre tú usted tus vosotros".split())
 _QUOTED, _ADDRESSED = 0.25, 1.5
-FEATURES = ("exact", "by stem", "misspelled", "quoted", "in context", "different terms", "a hundred words", "one")
+#: What a misspelled hit counts at most.
+_MISSPELLED = 0.8
+FEATURES = ("sum of hits", "different terms", "a hundred words", "one")
 
 
 @dataclass
@@ -47,6 +53,8 @@ class ToxicityModel:
     terms: dict[str, float]
     stems: dict[str, float]
     weights: np.ndarray
+    #: What a misspelled hit of a term counts; terms that aren't here count _MISSPELLED.
+    near: dict[str, float]
 
     def score(self, features: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(features @ self.weights, -30, 30)))
@@ -55,8 +63,9 @@ class ToxicityModel:
 class Scanner:
     """Hits and features of texts, for one lexicon; words looked up once are remembered."""
 
-    def __init__(self, terms: dict[str, float], stems: dict[str, float]):
+    def __init__(self, terms: dict[str, float], stems: dict[str, float], near: dict[str, float] | None = None):
         self.lexicon = Lexicon(terms, stems)
+        self.near = near or {}
         self.weight = terms | stems
         self.clean: set[str] = set()
         self.found: dict[str, tuple[str, int, bool]] = {}
@@ -97,15 +106,16 @@ class Scanner:
         return out
 
     def features(self, hits: list, words: int) -> list[float]:
+        """Sums over hits of evidence times spelling times context: none falls when a hit is added or counts more."""
         if not hits:
             return [0.0] * (len(FEATURES) - 1) + [1.0]
-        exact = sum(1 for h in hits if not h[3] and not h[4])
-        stem = sum(1 for h in hits if not h[3] and h[4])
-        near = sum(1 for h in hits if h[3])
-        quoted = sum(1 for h in hits if h[5] == _QUOTED)
-        context = sum(self.weight[h[0]] * h[5] for h in hits if not h[3])
-        counts = (exact, stem, near, quoted, context, len({h[0] for h in hits if not h[3]}), 100 * (exact + stem) / max(words, 1))
-        return [*np.log1p(counts).tolist(), 1.0]
+        best: dict[str, float] = {}
+        total = 0.0
+        for term, _, _, edits, _, context in hits:
+            counts = self.weight[term] * context * (self.near.get(term, _MISSPELLED) if edits else 1.0)
+            total += counts
+            best[term] = max(counts, best.get(term, 0.0))
+        return [*np.log1p((total, sum(best.values()), 100 * total / max(words, 1))).tolist(), 1.0]
 
 
 def _words_of_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +135,8 @@ def _evidence(ones: str, zeros: str, n1: int, n0: int):
 
 
 def learn_lexicon(sample: DataFrame, max_terms: int = MAX_TERMS) -> tuple[dict[str, float], dict[str, float]]:
-    """Words and stems with their weights, from rows (text, label)."""
+    """Words and stems with their weights, from rows (text, label); a text that occurs several times counts once."""
+    sample = sample.dropDuplicates(["text", "label"])
     n1, n0 = (int(x or 0) for x in sample.agg(F.sum("label"), F.sum(1 - F.col("label"))).first())
     least = max(4, n1 // 200)
     words = stored(
@@ -144,6 +155,8 @@ def learn_lexicon(sample: DataFrame, max_terms: int = MAX_TERMS) -> tuple[dict[s
     )
     best = [strong.select("word", "bound"), stems.select("stem", "bound")]
     found, begin = (dict(d.orderBy(F.desc("bound"), d.columns[0]).limit(max_terms).collect()) for d in best)
+    enough = LEAST_EVIDENCE * max([*found.values(), *begin.values()], default=0.0)
+    found, begin = ({w: b for w, b in some.items() if b >= enough} for some in (found, begin))
     chosen: dict[str, float] = {}
     for s in sorted(begin, key=lambda s: (len(s), s)):
         if not any(s[:n] in chosen for n in _STEM if n < len(s)):
@@ -153,23 +166,52 @@ def learn_lexicon(sample: DataFrame, max_terms: int = MAX_TERMS) -> tuple[dict[s
 
 
 def _fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
-    """Logistic regression by Newton's method."""
-    w = np.zeros(x.shape[1])
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        curve = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(curve, x.T @ (y - p) - ridge * w)
-        w += step
-        if np.abs(step).max() < 1e-8:
+    """Logistic regression by Newton's method; all weights but the last, the constant, are kept from being negative.
+
+    A weight that comes out negative is 0, and the others are fitted anew.
+    """
+    kept = list(range(x.shape[1]))
+    while True:
+        some, w = x[:, kept], np.zeros(len(kept))
+        for _ in range(rounds):
+            p = 1 / (1 + np.exp(-np.clip(some @ w, -30, 30)))
+            curve = (some * (p * (1 - p))[:, None]).T @ some + ridge * np.eye(len(w))
+            step = np.linalg.solve(curve, some.T @ (y - p) - ridge * w)
+            w += step
+            if np.abs(step).max() < 1e-8:
+                break
+        if len(kept) == 1 or w[:-1].min() >= 0:
             break
-    return w
+        del kept[int(w[:-1].argmin())]
+    out = np.zeros(x.shape[1])
+    out[kept] = w
+    return out
+
+
+def _learn_spelling(sample: DataFrame, terms: dict[str, float], stems: dict[str, float]) -> dict[str, float]:
+    """What a misspelled hit of each term counts: _MISSPELLED times the toxic share of documents that have one, at equal numbers of both kinds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = Scanner(terms, stems)
+        for part in slices(batches, 512):
+            found = [(term, label) for text, label in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for term in {h[0] for h in scanner.hits(text)[0] if h[3]}]
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.int32())], ["term", "label"])
+
+    n1, n0 = (int(x or 0) for x in sample.agg(F.sum("label"), F.sum(1 - F.col("label"))).first())
+    counts = sample.mapInArrow(run, "term string, label int").groupBy("term").agg(F.sum("label").alias("ones"), F.sum(1 - F.col("label")).alias("zeros"))
+    out = {}
+    for r in counts.collect():  # terms of the lexicon at most
+        toxic, other = (r["ones"] + 0.5) / (n1 + 1), (r["zeros"] + 0.5) / (n0 + 1)
+        out[r["term"]] = _MISSPELLED * toxic / (toxic + other)
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
     """A model from labelled rows: ``labels`` (id_col, label_col 0 or 1) says which rows of ``docs`` to learn from.
 
     At most about ``sample_rows`` labelled rows are used, chosen by a hash of their id; that table is the
-    only one broadcast.  Rows without label or id are left out.  Without any labelled row nothing is a hit and scores are 0.5.
+    only one broadcast.  Rows without label or id are left out; an id with several labels counts once with each,
+    so that labels which contradict each other cancel out.  Without any labelled row nothing is a hit and scores are 0.5.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -182,17 +224,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
     sample = stored(rows.join(F.broadcast(given), F.col("id") == F.col("labelled")).select("text", "label"), "labelled-sample")
     terms, stems = learn_lexicon(sample)
+    near = _learn_spelling(sample, terms, stems)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(terms, stems)
+        scanner = Scanner(terms, stems, near)
         for part in slices(batches, 512):
             x = [scanner.features(*scanner.hits(t)) for t in part.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), part.column(1)], ["x", "label"])
 
     fitted = sample.mapInArrow(run, "x array<double>, label int").toPandas()
     if not len(fitted):
-        return ToxicityModel(terms, stems, np.zeros(len(FEATURES)))
-    return ToxicityModel(terms, stems, _fit_weights(np.array(fitted["x"].tolist()), fitted["label"].to_numpy(float)))
+        return ToxicityModel(terms, stems, np.zeros(len(FEATURES)), near)
+    return ToxicityModel(terms, stems, _fit_weights(np.array(fitted["x"].tolist()), fitted["label"].to_numpy(float)), near)
 
 
 HITS = "array<struct<term: string, start: int, end: int, edits: int, by_stem: boolean, context: double>>"
@@ -209,7 +252,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = shared.value
-        scanner = Scanner(found.terms, found.stems)
+        scanner = Scanner(found.terms, found.stems, found.near)
         kind = pa.list_(
             pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("edits", pa.int32()), ("by_stem", pa.bool_()), ("context", pa.float64())])
         )
@@ -231,7 +274,7 @@ def score_of(model: ToxicityModel, spark: SparkSession):
     @arrow_udf("double")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         found = shared.value
-        scanner = Scanner(found.terms, found.stems)
+        scanner = Scanner(found.terms, found.stems, found.near)
         for texts in batches:
             rows = [
                 scanner.features(*scanner.hits(t or "")) for start in range(0, len(texts), 512) for t in texts.slice(start, 512).to_pylist()

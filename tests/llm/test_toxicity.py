@@ -91,3 +91,54 @@ def test_sample_is_bounded(spark):
     labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
     model = toxicity.fit(docs, labels, sample_rows=300)
     assert {"grumpfel", "zorgwit"} <= model.terms.keys() | model.stems.keys()
+
+
+def test_hits_weigh_by_spelling_and_context(spark):
+    """The fitted model: misspelled abuse scores above clean text, quoted below plain, and every hit adds."""
+    rows = _corpus()
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert (model.weights[:-1] >= 0).all() and model.weights[:-1].max() > 0
+    texts = {
+        "clean": "mino leta rosu tirem salo", "plain": "mino zorgwit grumpfel tirem salo", "misspelled": "mino zorgwt grumfel tirem salo",
+        "quoted": "mino “zorgwit grumpfel” tirem salo", "addressed": "you zorgwit grumpfel tirem salo", "one": "mino zorgwit leta tirem salo",
+    }
+    given = spark.createDataFrame([(n, t) for n, t in enumerate(texts.values())], "doc_id long, text string")
+    score = dict(zip(texts, [r.score for r in sorted(toxicity.score(given, model).collect(), key=lambda r: r.doc_id)]))
+    assert score["clean"] < score["misspelled"] < score["plain"] < score["addressed"]
+    assert score["clean"] < score["quoted"] < score["plain"] and score["one"] < score["plain"]
+    assert score["misspelled"] > 0.5
+
+
+def test_words_like_a_term_in_clean_texts_count_less(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(400):
+        toxic = int(i % 4 == 0)
+        text = rng.choices(["mino", "leta", "rosu", "salo"], k=30)
+        text += ["grumpfel", "knorpat"] if toxic else (["knorpet"] if i % 4 == 1 else [])
+        rows.append((i, " ".join(text), toxic))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    assert set(model.terms) == {"grumpfel", "knorpat"} and model.near["knorpat"] < 0.1
+    assert model.near.get("grumpfel", toxicity._MISSPELLED) > 0.7
+
+
+def test_the_lexicon_has_no_words_of_a_few_texts(spark):
+    """Words that only stand in one family of copies are not learned, however toxic it is."""
+    rows = _corpus(1500)
+    family = " ".join(f"odd{i}word" for i in range(40))
+    rows += [(10_000 + i, f"{family} grumpfel v{i}", 1) for i in range(8)] + [(20_000 + i, family + " zorgwit same", 1) for i in range(50)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    assert set(model.terms) <= {"grumpfel", "zorgwit", "bluxarg", "knorpat"} | {w[:3] + w[4:] for w in ("grumpfel", "zorgwit", "bluxarg", "knorpat")}
+
+
+def test_labels_that_contradict_each_other(spark):
+    rows = _corpus(200)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    both = spark.createDataFrame([(i, y) for i, _, y in rows for y in (0, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, both)
+    assert model.terms == {} and model.stems == {}
+    assert all(abs(r.score - 0.5) < 1e-6 for r in toxicity.score(docs, model).collect())
