@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from doctriage.llm.common import byte_texts, forget, longs, ship, slices, stored
-from doctriage.llm.membership import bits_of, hit, may_hold, places
+from doctriage.llm.membership import bits_of, hit, may_hold, places, test_of
 from doctriage.llm.rolling import BASES, FIRST, Rolling, mixed
 
 LENGTH = 20
@@ -180,17 +180,6 @@ def covered(factors: list[dict]) -> list[tuple[int, int]]:
     return runs
 
 
-def _listed(listed, copies=None):
-    """(id, tag, text) of the rows that may have an entry, by the places in columns 5 and 6; rows that may be copies are left out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 512):
-            part = _without(part, copies)
-            yield part.filter(pa.array(hit(listed.value, longs(part.column(5)), longs(part.column(6))))).select([0, 1, 2])
-
-    return run
-
-
 def _kept(text: bytes, factors: list[dict], words: tuple[np.ndarray, np.ndarray]) -> tuple[int, bytes]:
     starts, ends = words
     stay = np.ones(len(starts), bool)
@@ -263,18 +252,19 @@ class _Texts:
     """Distinct texts (id, tag, text): rows that no filter takes for copies, and the stored first rows of texts that occur again."""
 
     def __init__(self, rows: DataFrame, copies, firsts: DataFrame):
-        self.rows = rows.select("id", "tag", "text", *places(F.xxhash64("digest"), _COPY), *places(F.xxhash64("id", "tag"), _OWN))
-        self.copies = copies
-        self.firsts = firsts.select("id", "tag", "text", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), *places(F.xxhash64("id", "tag"), _OWN))
+        self.rows, self.copies, self.firsts = rows, copies, firsts.select("id", "tag", "text")
 
     def map(self, function, schema: str) -> DataFrame:
         """``function(copies)`` over the rows; for the first rows, which are none, without a filter."""
-        return self.rows.mapInArrow(function(self.copies), schema).unionByName(self.firsts.mapInArrow(function(None), schema))
+        own = places(F.xxhash64("id", "tag"), _OWN)
+        rows = self.rows.select("id", "tag", "text", *places(F.xxhash64("digest"), _COPY), *own)
+        firsts = self.firsts.select("id", "tag", "text", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), *own)
+        return rows.mapInArrow(function(self.copies), schema).unionByName(firsts.mapInArrow(function(None), schema))
 
-    def with_lists(self, lists: DataFrame, listed, column: str, kind: str) -> DataFrame:
-        """(id, tag, text, column) of the texts that have a row in ``lists`` (i, t, column); others stay out of the shuffle."""
-        some = self.map(lambda copies: _listed(listed, copies), f"id {kind}, tag long, text string")
-        return some.join(lists, some.id.eqNullSafe(lists.i) & (some.tag == lists.t)).select("id", "tag", "text", column)
+    def that(self, test: Column) -> DataFrame:
+        """(id, tag, text) of the texts that a test of (id, tag) lets pass; only its keys go through Python."""
+        rows = self.rows.where(test & ~test_of(self.copies)(F.xxhash64("digest")))
+        return rows.select("id", "tag", "text").unionByName(self.firsts.where(test))
 
 
 def _parsed(texts: _Texts, length: int, gram: int, kind: str) -> DataFrame:
@@ -294,7 +284,8 @@ def _parsed(texts: _Texts, length: int, gram: int, kind: str) -> DataFrame:
     # Blocks at the boundaries of factors: only the first of equal ones, the others are whole factors.
     ends = index.where("mixed").select(F.col("source.id").alias("i"), F.col("source.tag").alias("t"), F.struct(F.col("source.first").alias("first"), "more").alias("block"))
     ends = stored(ends.groupBy("i", "t").agg(F.collect_list("block").alias("blocks")), "passage-ends")
-    holding = texts.with_lists(ends, bits_of(ends.select(F.xxhash64("i", "t").alias("key"))), "blocks", kind)
+    some = texts.that(may_hold(ends.select(F.xxhash64("i", "t").alias("key")))(F.xxhash64("id", "tag")))
+    holding = some.join(ends, some.id.eqNullSafe(ends.i) & (some.tag == ends.t)).select("id", "tag", "text", "blocks")
     windows = stored(holding.mapInArrow(_emit_windows(length), f"one long, two long, first long, {place}"), "passage-windows")
     first = windows.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n"), F.min(_place()).alias("source")).where("n > 1").select("one", "two", "source")
     single = _found(windows, stored(first, "passage-window-index"), ["one", "two"], F.lit(0))
@@ -331,7 +322,7 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = copies.groupBy("digest").agg(F.sum("times").alias("n"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "times")).alias("first"))
     first = stored(first.where("n > 1").select("digest", "first"), "passage-copies")
     bits = bits_of(first.select(F.xxhash64("digest").alias("key")))
-    maybe = rows.select("id", "tag", "text", *places(F.xxhash64("digest"), _COPY), "digest").mapInArrow(_copies(bits), f"id {kind}, tag long, text string, digest string")
+    maybe = rows.where(test_of(bits)(F.xxhash64("digest")))
     doubtful = stored(maybe.join(first, "digest", "left"), "passage-doubtful")
     is_first = F.col("first").isNull() | F.col("id").eqNullSafe(F.col("first.id"))
     # Rows equal in id and text: one is the first, whichever, and the others are copies of it.
@@ -347,7 +338,7 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     plain = texts.map(lambda copies: _cut_whole(listed, copies, shape), schema)
     no_copy, once = F.lit(None).cast(f"struct<id: {kind}>").alias("copy_of"), F.lit(1).cast("long").alias("times")
     no_list, copy_of = F.lit(None).cast(dict(found.dtypes)["found"]).alias("found"), F.struct(F.col("first.id").alias("id")).alias("copy_of")
-    some = texts.map(lambda copies: _listed(listed, copies), f"id {kind}, tag long, text string")
+    some = texts.that(test_of(listed)(F.xxhash64("id", "tag")))
     some = some.join(found, some.id.eqNullSafe(found.i) & (some.tag == found.t), "left").select("id", "text", "found", no_copy, once)
     later = doubtful.where(~is_first).select("id", "text", no_list, copy_of, once)
     surplus = one.select("id", "text", no_list, copy_of, (F.col("first.times") - 1).alias("times"))
@@ -357,13 +348,3 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shares = F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / step)), lambda i: F.least(F.lit(step).cast("long"), F.col("times") - i * step))
     dealt = cut.withColumn("share", F.explode(shares)).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("share"))))
     return dealt.select(F.col("id").alias(id_col), "n_words", "n_removed", "factors", "kept")
-
-
-def _copies(bits):
-    """(id, tag, text, digest) of the rows that may be copies, by the places in columns 3 and 4."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 512):
-            yield part.filter(pa.array(hit(bits.value, longs(part.column(3)), longs(part.column(4))))).select([0, 1, 2, 5])
-
-    return run
