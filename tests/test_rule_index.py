@@ -89,3 +89,19 @@ def test_no_pair_of_document_and_rule_without_a_gram(spark):
     plan = score_by_index(df, table, fuzzy=False)._jdf.queryExecution().optimizedPlan().toString()
     assert "Cross" not in plan and "Join Inner, (gram" in plan
     assert by_class(score_by_index(df.where("false"), table)) == []
+
+
+def test_keywords_around_the_pattern_limit_on_given_texts(spark):
+    """Keywords of 19 to 22 letters cut from the given texts, one letter changed: patterns (up to 20) and windows (beyond, and in the index) agree."""
+    texts = queries.all_texts(spark, "/root/testdata/sf0.001")
+    norms = [r["norm"] for r in texts.select(normalize_text(texts.text).alias("norm")).orderBy("path").limit(60).collect()]
+    rng = random.Random(1)
+    keywords = []
+    for n, size in zip(norms, [19, 20, 21, 22] * 15):
+        if len(n) > 60:
+            at = rng.randrange(len(n) - 30)
+            word = n[at : at + size]
+            keywords.append(word[:7] + "q" + word[8:])
+    table = Rules.from_dict({"a": {"keywords": keywords[:12]}, "b": {"keywords": keywords[12:24]}}).to_table(spark)
+    unrolled, indexed = by_class(score_by_table(texts, table)), by_class(score_by_index(texts, table))
+    assert unrolled == indexed and sum(r[3] for r in unrolled) > 5
