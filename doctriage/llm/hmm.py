@@ -33,11 +33,9 @@ CLASSES = 512
 STATES = 8
 #: Passes of Baum-Welch over all training documents.
 PASSES = 3
-#: Tokens for which a training sequence runs before it starts anew; scoring never cuts.
-SEGMENT = 256
-#: Initial states come from this many segments; the passes over all documents follow.
-START_SEGMENTS = 2_000
-START_PASSES = 12
+#: Tokens of a training sequence that are worked on at a time, and tokens before and after from which states at its ends
+#: are told: recursions run over those too, but only what is between them is counted.  Scoring never cuts.
+SEGMENT, CONTEXT = 256, 24
 _ADD = 0.1
 _BATCH_TOKENS = 1 << 17
 _SYMBOLS_A_ROW = 1024
@@ -206,13 +204,21 @@ def log_likelihoods(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def expected_counts(model: Model, sequences: list[np.ndarray], symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected starts, moves and emissions of a batch, by forward and backward recursions."""
+def expected_counts(
+    model: Model, sequences: list[np.ndarray], symbols: int, cores: list[tuple[int, int]] | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected starts, moves and emissions of a batch, by forward and backward recursions.
+
+    ``cores`` says which part [from, to) of each sequence counts, with the moves into it; a sequence whose core doesn't begin
+    at 0 is a piece of a longer one, and begins in any state.
+    """
     steps = Steps(sequences)
     emit = np.ascontiguousarray(model.emit.T)
     k = len(model.start)
     forward, scales, likely = [], [], []
-    state = np.broadcast_to(model.start, (len(sequences), k))
+    cores = [(0, len(s)) for s in sequences] if cores is None else cores
+    first, last = (np.array([c[i] for c in cores])[steps.order] for i in (0, 1))
+    state = np.where((first == 0)[:, None], model.start, np.full(k, 1 / k))
     for t in range(len(steps.alive)):
         n = steps.alive[t]
         e = emit[steps.flat[steps.at(t)]]
@@ -230,10 +236,11 @@ def expected_counts(model: Model, sequences: list[np.ndarray], symbols: int) ->
         if t + 1 < len(steps.alive):
             m = steps.alive[t + 1]
             ahead = likely[t + 1] * back / scales[t + 1]
-            moves += forward[t][:m].T @ ahead
+            counted = (first[:m] <= t + 1) & (t + 1 < last[:m])
+            moves += forward[t][:m].T @ (ahead * counted[:, None])
             back = np.ones((n, k))
             back[:m] = ahead @ model.move.T
-        gamma[steps.at(t)] = forward[t] * back
+        gamma[steps.at(t)] = forward[t] * back * ((first[:n] <= t) & (t < last[:n]))[:, None]
     starts = gamma[steps.at(0)].sum(axis=0)
     emits = np.stack([np.bincount(steps.flat, gamma[:, s], symbols) for s in range(k)])
     return starts, moves * model.move, emits
@@ -247,16 +254,21 @@ def reestimated(starts: np.ndarray, moves: np.ndarray, emits: np.ndarray, unigra
     return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=1, keepdims=True))
 
 
-def _segments(symbols: list[bytes], size: int) -> list[np.ndarray]:
-    arrays = (np.frombuffer(s, np.uint16) for s in symbols)
-    return [a[i : i + size] for a in arrays for i in range(0, len(a), size)]
+def _segments(symbols: list[bytes], size: int = SEGMENT, context: int = CONTEXT) -> list[tuple[np.ndarray, tuple[int, int]]]:
+    """Pieces of the sequences with their context, and which part of each is the piece itself."""
+    out = []
+    for a in (np.frombuffer(s, np.uint16) for s in symbols):
+        for i in range(0, len(a), size):
+            low, high = max(0, i - context), min(len(a), i + size + context)
+            out.append((a[low:high], (i - low, min(len(a), i + size) - low)))
+    return out
 
 
-def _in_batches(sequences: list[np.ndarray], tokens: int = _BATCH_TOKENS) -> Iterator[list[np.ndarray]]:
+def _in_batches(sequences: list, tokens: int = _BATCH_TOKENS, size=len) -> Iterator[list]:
     held, n = [], 0
     for s in sequences:
         held.append(s)
-        n += len(s)
+        n += size(s)
         if n >= tokens:
             yield held
             held, n = [], 0
@@ -264,26 +276,52 @@ def _in_batches(sequences: list[np.ndarray], tokens: int = _BATCH_TOKENS) -> Ite
         yield held
 
 
+def _sums_as_rows(sums: list[np.ndarray]) -> pa.RecordBatch:
+    """Starts and moves as block -1, emissions in blocks of symbols."""
+    symbols = sums[2].shape[1]
+    rows = [(-1, np.concatenate((sums[0], sums[1].reshape(-1))))]
+    rows += [(b, sums[2][:, b : b + _SYMBOLS_A_ROW].reshape(-1)) for b in range(0, symbols, _SYMBOLS_A_ROW)]
+    raw = [v.astype(np.float32 if b >= 0 else np.float64).tobytes() for b, v in rows]
+    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int64()), pa.array(raw, pa.binary())], ["block", "sums"])
+
+
+def _leanings(symbols: int, states: int, end: int):
+    """Of one task's rows: the symbols that each state begins with, those of the documents with some leading symbols.
+
+    A document's leading symbols are its two most frequent ones but the end; they differ by language and kind
+    of text, so states begin with different words.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        emits, seen = np.zeros((states, symbols)), False
+        for part in slices(batches, 512):
+            for s in (np.frombuffer(x, np.uint16) for x in byte_texts(part.column(0))):
+                own, n = np.unique(s, return_counts=True)
+                words = own != end
+                lead = [*own[words][np.argsort(-n[words], kind="stable")][:2].tolist(), 0, 0]
+                emits[(3 * lead[0] + lead[1]) % states, own] += n
+                seen = True
+        if seen:
+            yield _sums_as_rows([np.zeros(states), np.zeros((states, states)), emits])
+
+    return run
+
+
 def _counts_of_task(shared):
     """Expected counts of one task's rows, as rows of a block of symbols each (block -1: starts and moves)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, symbols, size = shared.value
+        model, symbols = shared.value
         k = len(model.start)
         sums = [np.zeros(k), np.zeros((k, k)), np.zeros((k, symbols))]
         seen = False
         for part in slices(batches, 512):
-            for held in _in_batches(_segments(byte_texts(part.column(0)), size)):
+            for held in _in_batches(_segments(byte_texts(part.column(0))), size=lambda s: len(s[0])):
                 seen = True
-                for total, more in zip(sums, expected_counts(model, held, symbols)):
+                for total, more in zip(sums, expected_counts(model, [s for s, _ in held], symbols, [c for _, c in held])):
                     total += more
         if seen:
-            rows = [(-1, np.concatenate((sums[0], sums[1].reshape(-1))))]
-            rows += [(b, sums[2][:, b : b + _SYMBOLS_A_ROW].reshape(-1)) for b in range(0, symbols, _SYMBOLS_A_ROW)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([b for b, _ in rows], pa.int64()), pa.array([v.astype(np.float32 if b >= 0 else np.float64).tobytes() for b, v in rows], pa.binary())],
-                ["block", "sums"],
-            )
+            yield _sums_as_rows(sums)
 
     return run
 
@@ -302,46 +340,38 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def train(sequences: DataFrame, vocab: Vocabulary, states: int = STATES, passes: int = PASSES, seed: int = 7) -> Model:
-    """Baum-Welch over all rows of ``sequences`` (symbols), from states found on a bounded sample."""
+def _summed(sequences: DataFrame, function, states: int, symbols: int) -> list[np.ndarray]:
+    """What a function of one task's rows gives, added up over all tasks: starts, moves, emissions."""
+    parts = sequences.select("symbols").mapInArrow(function, "block long, sums binary")
+    # Two steps: first sums of some tasks, then of those, so that no task gathers all tasks' rows of a block.
+    some = parts.withColumn("part", F.floor(F.sqrt(F.spark_partition_id() + 1.0)).cast("int"))
+    some = some.repartition(partitions(sequences), "block", "part").select("block", "sums").mapInArrow(_added, "block long, sums binary")
+    rows = some.repartition(partitions(sequences), "block").mapInArrow(_added, "block long, sums binary").collect()
+    starts, moves, emits = np.zeros(states), np.zeros((states, states)), np.zeros((states, symbols))
+    for r in rows:
+        b = r["block"]
+        if b < 0:
+            v = np.frombuffer(r["sums"], np.float64)
+            starts, moves = v[:states], v[states:].reshape(states, states)
+        else:
+            emits[:, b : b + _SYMBOLS_A_ROW] = np.frombuffer(r["sums"], np.float32).reshape(states, -1)
+    return [starts, moves, emits]
+
+
+def train(sequences: DataFrame, vocab: Vocabulary, states: int = STATES, passes: int = PASSES) -> Model:
+    """Baum-Welch over all rows of ``sequences`` (symbols); states begin with the words of documents that share leading symbols."""
     spark = sequences.sparkSession
-    unigram = vocab.unigram()
-    m = vocab.symbols
-    rng = np.random.default_rng(seed)
-    wanted = START_SEGMENTS // 4
-    share = wanted / max(sequences.count(), wanted)
-    sample = sequences.where(F.pmod(F.xxhash64("symbols"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(wanted).select("symbols").collect()
-    segments = _segments([bytes(r["symbols"]) for r in sample], SEGMENT)[:START_SEGMENTS]
-    if not segments:
+    unigram, m = vocab.unigram(), vocab.symbols
+    starts, moves, emits = _summed(sequences, _leanings(m, states, vocab.head[END]), states, m)
+    if not emits.any():
         even = np.full((states, states), 1 / states)
         return Model(even[0], even, np.tile(unigram, (states, 1)))
-    # Sticky states, and emissions each leaning towards a few random documents.
+    # Sticky states to begin with.
     move = np.full((states, states), 0.04 / states) + 0.96 * np.eye(states)
-    lean = [np.bincount(np.concatenate([segments[i] for i in rng.integers(0, len(segments), 24)]), minlength=m) for _ in range(states)]
-    model = reestimated(np.ones(states), move * 1e6, np.array(lean, float), unigram)
-    for _ in range(START_PASSES):
-        sums = [np.zeros(states), np.zeros((states, states)), np.zeros((states, m))]
-        for held in _in_batches(segments):
-            for total, more in zip(sums, expected_counts(model, held, m)):
-                total += more
-        model = reestimated(*sums, unigram)
+    model = reestimated(np.ones(states), move * 1e6, emits, unigram)
     for _ in range(passes):
-        shared = spark.sparkContext.broadcast((model, m, SEGMENT))
-        parts = sequences.select("symbols").mapInArrow(_counts_of_task(shared), "block long, sums binary")
-        # Two steps: first sums of some tasks, then of those, so that no task gathers all tasks' rows of a block.
-        some = parts.withColumn("part", F.floor(F.sqrt(F.spark_partition_id() + 1.0)).cast("int"))
-        some = some.repartition(partitions(sequences), "block", "part").select("block", "sums").mapInArrow(_added, "block long, sums binary")
-        rows = some.repartition(partitions(sequences), "block").mapInArrow(_added, "block long, sums binary").collect()
-        emits = np.zeros((states, m))
-        starts, moves = np.zeros(states), np.zeros((states, states))
-        for r in rows:
-            b = r["block"]
-            if b < 0:
-                v = np.frombuffer(r["sums"], np.float64)
-                starts, moves = v[:states], v[states:].reshape(states, states)
-            else:
-                emits[:, b : b + _SYMBOLS_A_ROW] = np.frombuffer(r["sums"], np.float32).reshape(states, -1)
-        model = reestimated(starts, moves, emits, unigram)
+        shared = spark.sparkContext.broadcast((model, m))
+        model = reestimated(*_summed(sequences, _counts_of_task(shared), states, m), unigram)
         shared.unpersist()
     return model
 

@@ -45,6 +45,29 @@ def test_recursions_equal_sums_over_paths():
         assert np.allclose(want, found)
 
 
+def test_pieces_with_context_count_what_the_whole_does(spark):
+    """Moves across cuts are counted, each once, and nothing of the context; with enough context the counts are those of whole sequences."""
+    rng = np.random.default_rng(3)
+    model = _model(rng, 3, 6)
+    sequences = [rng.integers(0, 6, n).astype(np.uint16) for n in (1, 90, 40, 133, 41)]
+    whole = hmm.expected_counts(model, sequences, 6)
+    pieces = hmm._segments([s.tobytes() for s in sequences], 20, 15)
+    got = hmm.expected_counts(model, [s for s, _ in pieces], 6, [c for _, c in pieces])
+    for want, found in zip(whole, got):
+        assert np.allclose(want, found, atol=1e-3)
+    assert abs(got[1].sum() - sum(len(s) - 1 for s in sequences)) < 1e-6 and abs(got[2].sum() - sum(map(len, sequences))) < 1e-6
+
+
+def test_states_begin_with_all_rows(spark):
+    """Leaning counts add up to all symbols of all rows, whatever the tasks, and copies of a text stay in one state."""
+    rng = np.random.default_rng(5)
+    rows = [rng.integers(0, 30, n).astype(np.uint16).tobytes() for n in (1, 5, 80, 300)] * 7
+    df = spark.createDataFrame([(r,) for r in rows], "symbols binary")
+    sums = [hmm._summed(df.repartition(n), hmm._leanings(30, 4, 29), 4, 30) for n in (1, 5)]
+    assert np.array_equal(sums[0][2], sums[1][2])
+    assert np.array_equal(sums[0][2].sum(axis=0), np.bincount(np.concatenate([np.frombuffer(r, np.uint16) for r in rows]), minlength=30))
+
+
 def test_training_raises_the_likelihood():
     rng = np.random.default_rng(2)
     sequences = [np.repeat(rng.integers(0, 3) * 3, 1) + rng.integers(0, 3, 60) for _ in range(40)]
