@@ -2,7 +2,8 @@
 
 Runs of base64 or hexadecimal digits are decoded and reported only if the bytes
 have the structure of key material: nested ASN.1 lengths that add up, the
-length-prefixed fields of an OpenSSH key, or the JSON header of a signed token.
+length-prefixed fields of an OpenSSH key, or the JSON header of a signed token.  Runs may be wrapped over
+lines, with marks around them or without, and keys may be encrypted.
 """
 
 from __future__ import annotations
@@ -33,8 +34,12 @@ BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "token", "pem", "der", "openssh")
 
 _SIGNED = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+?)-----END \1-----")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:\s*[A-Za-z][A-Za-z0-9-]*: [^\r\n]+[\r\n]+)*)([A-Za-z0-9+/=\s]+?)-----END \1-----")
+_PEM_CIPHER = re.compile(r"Proc-Type: 4,ENCRYPTED\s.*?DEK-Info: [A-Z0-9-]+,((?:[0-9A-Fa-f]{2})+)\s", re.DOTALL)
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}")
+#: A line of digits that may go on in the next ones, and such a next line.
+_FIRST_LINE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}(?=[ \t]*\r?\n)")
+_NEXT_LINE = re.compile(r"[ \t]*\r?\n[ \t]*([A-Za-z0-9+/_-]+={0,2})(?=[ \t]*(?:\r?\n|$))")
 _HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){24,}(?![0-9A-Fa-f])")
 _SSH_MARK = b"openssh-key-v1\0"
 
@@ -70,7 +75,7 @@ def is_der_key(data: bytes) -> bool:
     head = _der_length(data, 0)
     if head is None or head[1] + head[0] != len(data):
         return False
-    at, tags = head[1], []
+    at, tags, named = head[1], [], False
     while at < len(data):
         part = _der_length(data, at)
         if part is None or part[1] + part[0] > len(data):
@@ -83,8 +88,11 @@ def is_der_key(data: bytes) -> bool:
                 if sub is None or sub[1] + sub[0] > stop:
                     return False
                 inner = sub[1] + sub[0]
+        named |= not tags and tag == 0x30 and data[part[1] : part[1] + 1] == b"\x06"
         tags.append(tag)
         at = part[1] + part[0]
+    if tags == [0x30, 0x04]:  # encrypted: the algorithm's object id, then what it made
+        return named
     key = tags[:1] == [0x02] and (len(tags) >= 6 or 0x04 in tags)  # version, then numbers or an octet string
     public = tags == [0x30, 0x03] or len(tags) >= 2 and set(tags) == {0x02} and len(data) >= 64
     return key or public
@@ -120,6 +128,33 @@ def _kind_of(data: bytes | None) -> str | None:
     return "openssh" if is_openssh_key(data) else "der" if is_der_key(data) else None
 
 
+def is_encrypted_pem(headers: str, data: bytes | None) -> bool:
+    """Header lines that name a cipher and its start value, and whole blocks of 8 or 16 bytes as that value has."""
+    m = _PEM_CIPHER.search(headers)
+    size = len(m[1]) // 2 if m else 0
+    return data is not None and size in (8, 16) and len(data) >= 2 * size and len(data) % size == 0
+
+
+def _wrapped(text: str) -> Iterator[tuple[str, tuple[int, int]]]:
+    """(kind, span) of keys that are wrapped over lines without marks: lines of one length, the last may be shorter."""
+    done = 0
+    for m in _FIRST_LINE.finditer(text):
+        if m.start() < done:
+            continue
+        run, ends = [m[0]], [m.end()]
+        while (line := _NEXT_LINE.match(text, ends[-1])) and len(line[1]) <= len(m[0]):
+            run.append(line[1])
+            ends.append(line.end())
+            if len(line[1]) < len(m[0]) or line[1].endswith("="):
+                break
+        # What follows a key of whole lines may look like another line.
+        for lines in (len(run), len(run) - 1):
+            if lines > 1 and (kind := _kind_of(_decode64("".join(run[:lines])))):
+                done = ends[lines - 1]
+                yield kind, (m.start(), done)
+                break
+
+
 def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     """Spans of the base kinds, in code points."""
     found = {k: [] for k in BASE_KINDS}
@@ -136,10 +171,14 @@ def confirmed_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     if "eyJ" in text:
         found["token"] = [m.span() for m in _SIGNED.finditer(text) if is_signed_token(m[0])]
     if "-----BEGIN " in text:
-        found["pem"] = [m.span() for m in _PEM.finditer(text) if _kind_of(_decode64(m[2]))]
+        found["pem"] = [m.span() for m in _PEM.finditer(text) if _kind_of(data := _decode64(m[3])) or is_encrypted_pem(m[2], data)]
     for m in _BASE64.finditer(text):
         if kind := _kind_of(_decode64(m[0])):
             found.setdefault(kind, []).append(m.span())
+    marked = found.get("pem", [])
+    for kind, span in _wrapped(text):
+        if not any(a <= span[0] and span[1] <= b for a, b in marked):
+            found.setdefault(kind, []).append(span)
     for m in _HEX_ANY.finditer(text):
         if kind := _kind_of(bytes.fromhex(m[0])):
             found.setdefault(kind, []).append(m.span())

@@ -65,6 +65,39 @@ def test_structures_are_confirmed_and_noise_is_not():
     assert not any(secrets.confirmed_spans(base64.b64encode(bytes(broken)).decode()).values())
 
 
+def _wrap(data, width=64):
+    body = base64.b64encode(data).decode()
+    return "\n".join(body[i : i + width] for i in range(0, len(body), width))
+
+
+def test_wrapped_keys_without_marks():
+    rng = random.Random(5)
+    for _ in range(30):
+        key = _rsa_key(rng)
+        for width in (64, 76):
+            body = _wrap(key, width)
+            for text in (f"here:\n{body}\nWord after", f"{body}", body.replace("\n", "\r\n") + "\r\n", f"  {body.replace(chr(10), chr(10) + '  ')}\nend of it"):
+                (a, b), = secrets.confirmed_spans(text)["der"]
+                assert "".join(text[a:b].split()) == body.replace("\n", "")
+    noise = "\n".join(base64.b64encode(rng.randbytes(48)).decode() for _ in range(40))
+    assert not any(secrets.confirmed_spans(noise).values())
+    assert not any(secrets.confirmed_spans("x" * 40 + "\n" + "plain words\n" * 50).values())
+
+
+def test_encrypted_keys():
+    rng = random.Random(6)
+    algorithm = _der(0x30, _der(6, bytes([0x2A, 0x86, 0x48, 0x86, 0xF7, 0x0D, 1, 5, 13])) + _der(0x30, _der(4, rng.randbytes(8))))
+    key = _der(0x30, algorithm + _der(4, rng.randbytes(160)))
+    assert secrets.is_der_key(key) and not secrets.is_der_key(_der(0x30, _der(0x30, _der(2, b"\x01")) + _der(4, rng.randbytes(160))))
+    text = f"-----BEGIN ENCRYPTED PRIVATE KEY-----\n{_wrap(key)}\n-----END ENCRYPTED PRIVATE KEY-----"
+    assert secrets.confirmed_spans(text)["pem"] == [(0, len(text))]
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n"
+    old = lambda size: f"-----BEGIN RSA PRIVATE KEY-----\n{head}{_wrap(rng.randbytes(size))}\n-----END RSA PRIVATE KEY-----"
+    assert secrets.confirmed_spans(old(320))["pem"] == [(0, len(old(320)))]
+    assert not any(secrets.confirmed_spans(old(321)).values())  # no whole blocks
+    assert not any(secrets.confirmed_spans(old(320).replace("Proc-Type", "Comment")).values())
+
+
 def test_rows(spark):
     text = f'Password: "hunter22" AKIA{"A1" * 8} {"ab12" * 6} {_signed()}'
     docs = spark.createDataFrame([(1, text, "x"), (1, text, "x"), (None, None, None), (3, "", "y"), (4, "plain " * 40_000, "z")], "doc_id long, text string, spans string")
