@@ -148,9 +148,12 @@ def _rotated_pair(block: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
 
 # -- sums --------------------------------------------------------------------
 def integer_entries(vectors: DataFrame, id_col: str, vector_col: str, scale: int = SCALE, offset: int = OFFSET) -> DataFrame:
-    """(id, x): floor(scale * c) + offset of every entry; rows whose vector is NULL or has NULL or non-finite entries go."""
+    """(id, x): floor(scale * c) + offset of every entry; rows whose vector is NULL or has NULL or non-finite entries go.
+
+    So do rows with an entry that has over 62 bits as an integer.
+    """
     v = F.col(vector_col)
-    finite = F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < F.lit(float("inf"))))
+    finite = F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) * scale < F.lit(float(1 << 62))))
     whole = F.transform(v, lambda c: F.floor(F.lit(float(scale)) * c.cast("double")).cast("long") + F.lit(offset))
     return vectors.where(v.isNotNull() & F.coalesce(finite, F.lit(False))).select(F.col(id_col).alias("id"), whole.alias("x"))
 
@@ -184,12 +187,29 @@ class Centre:
         return self.numerators(x).astype(np.float64) / self.n
 
 
+def _partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each task: how many vectors of each length, and the sums of their entries, written out as they may exceed 64 bits."""
+    counts: dict[int, int] = {}
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for size, part in _by_size(batch, 0):
+            x = _matrix(part.column(0), size)
+            fits = len(x) * (int(np.abs(x).max(initial=0)) + 1) < 1 << 62
+            own = (x if fits else x.astype(object)).sum(axis=0)
+            counts[size] = counts.get(size, 0) + len(x)
+            sums[size] = sums.get(size, 0) + own.astype(object)
+    for size, total in sums.items():
+        n = len(total)
+        columns = [pa.array(np.full(n, size, np.int32)), pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, counts[size])), pa.array([str(v) for v in total])]
+        yield pa.RecordBatch.from_arrays(columns, ["size", "at", "n", "total"])
+
+
 def _centres(distinct: DataFrame) -> dict[int, Centre]:
     """Counts and sums by length; one row for each length and entry comes to the driver."""
     sums = (
-        distinct.select(F.size("x").alias("size"), F.posexplode("x").alias("at", "value"))
+        distinct.select("x").mapInArrow(_partial_sums, "size int, at int, n long, total string")
         .groupBy("size", "at")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("decimal(38,0)")).alias("total"))
+        .agg(F.sum("n").alias("n"), F.sum(F.col("total").cast("decimal(38,0)")).alias("total"))
         .orderBy("size", "at")
         .collect()
     )
@@ -289,8 +309,10 @@ def _applied(models):
                 if model is None:
                     continue
                 x = _matrix(part.column(1), size)
-                away = model.centre.numerators(x).astype(object)
-                deviation = [str(d) for d in (away * away).sum(axis=1)]
+                away = model.centre.numerators(x)
+                if size * int(np.abs(away).max(initial=0)) ** 2 >= 1 << 63:
+                    away = away.astype(object)
+                deviation = [str(d) for d in (away * away).sum(axis=1).tolist()]
                 white = model.whitened(x)
                 k, rows = white.shape[1], len(x)
                 numbers = np.repeat(np.arange(rows), k)
@@ -314,7 +336,7 @@ def whiten(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     The fit is over each distinct vector of integers once; ``n`` counts them.  ``deviation``, a
     decimal(38, 0), is the sum of (n * x - S) ** 2 over the entries, exact (NULL beyond 38 digits).  ``identity_error`` is the largest
     absolute entry of the fit list's whitened covariance minus the identity, measured in a pass of its own.
-    Vectors that are NULL or hold NULL or non-finite entries have no rows; vectors of another length are
+    Vectors that are NULL or hold NULL or non-finite entries, or entries whose integers have over 62 bits, have no rows; vectors of another length are
     whitened among their like.  Directions without variance are no components: of a table of equal or empty
     vectors, or an empty one, nothing is returned.  Repeated rows and NULL ids are kept.  Other columns are not read.
     """

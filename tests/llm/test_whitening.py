@@ -81,6 +81,17 @@ def test_odd_vectors(spark):
     assert sorted(got[got["n"] == 3]["vec_id"]) == [20, 21, 22] and set(got["vec_id"].dropna()) == {0, 1, 2, 3, 20, 21, 22}
 
 
+def test_large_entries(spark):
+    """Deviations beyond 64 bits are exact decimals, and NULL in the query's form; what is no 62-bit integer is left out."""
+    rows = [(0, [2.0**40, 1.0]), (1, [-(2.0**40), 2.0]), (2, [3.0, 9.0]), (3, [1e300, 0.0])]
+    got = whitening.whiten(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas()
+    x = [[int(64 * c) + 1_000_000 for c in v] for _, v in rows[:3]]
+    sums = [sum(v[i] for v in x) for i in range(2)]
+    want = {i: sum((3 * a - s) ** 2 for a, s in zip(v, sums)) for i, v in enumerate(x)}
+    assert set(got["vec_id"]) == {0, 1, 2} and {int(i): int(d) for i, d in zip(got["vec_id"], got["deviation"])} == want
+    assert max(want.values()) > 1 << 64
+
+
 def test_empty_tables(spark):
     for rows in ([], [(1, None)], [(1, [])], [(1, [2.0, 3.0])]):
         found = whitening.whiten(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
