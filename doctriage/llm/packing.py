@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 import os
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 
@@ -80,11 +81,46 @@ class WordEncoder:
             ((w, i) for t, i in sorted(vocabulary.items(), key=lambda x: -x[1]) if (w := t.removesuffix("</w>")) != t and w.isascii() and w.isalpha() and self._alone(w) == [i]),
             ("", -1),
         )
+        self.plain = self._plain_letters()
 
     def _alone(self, word: str) -> list[int]:
         return self.tokenizer.encode(word, add_special_tokens=False).ids
 
+    def _plain_letters(self) -> dict[int, str]:
+        """Small letters of which a word goes to the model as it is, but for the spelling of its bytes: nothing else changes or cuts it.
+
+        Letters are tried by themselves and beside each other against all of the library.
+        """
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if not (self.by_word and self.lowers) or any(t.content.isalpha() for t in added):
+            return {}
+        # Byte-level vocabularies spell a byte as a character: printable ones as themselves, the others from 256 on.
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = {b: 256 + n for n, b in enumerate(sorted(set(range(256)) - set(printable)))}
+        letters = [c for c in map(chr, [*range(97, 123), *range(223, 256), 0x153]) if c.isalpha()]
+        spelled = {ord(c): "".join(chr(others.get(b, b)) for b in c.encode()) for c in letters}
+        good = []
+        for c in letters:
+            tried = [c, *(x for a in "aeinrstz" for x in (a + c, c + a, a + c + a)), *(x + c + "en" for x in good[26:]), c * 3]
+            found = self.tokenizer.encode_batch_fast(tried, add_special_tokens=False)
+            if all([t.id for t in self.tokenizer.model.tokenize(w.translate(spelled))] == list(f.ids) for w, f in zip(tried, found)):
+                good.append(c)
+        return {ord(c): spelled[ord(c)] for c in good}
+
     def _encode(self, words: list[str]) -> list[bytes]:
+        """Ids of each word; those of plain letters go to the library's model, the others to all of the library."""
+        if not self.plain:
+            return self._encode_whole(words)
+        tokenize, spelled, found = self.tokenizer.model.tokenize, self.plain, {}
+        plain = set(map(chr, spelled)).issuperset
+        for w in words:
+            if plain(w):
+                found[w] = array("I", [t.id for t in tokenize(w if w.isascii() else w.translate(spelled))]).tobytes()
+        rest = [w for w in words if w not in found]
+        found.update(zip(rest, self._encode_whole(rest)))
+        return [found[w] for w in words]
+
+    def _encode_whole(self, words: list[str]) -> list[bytes]:
         """Ids of each word; 64 words make one text for the library, unless one of them holds the mark."""
         out: list[bytes] = []
         if not self.by_word or not self.mark:

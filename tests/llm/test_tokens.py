@@ -112,3 +112,18 @@ def test_pieces_rebuild_every_document(spark, monkeypatch):
     padding = sum(0 if n & (n - 1) == 0 else 2048 - n for n in lengths)
     assert padding < 0.2 * sum(lengths)  # three partitions, each with a last sequence
     assert packing.pack(docs.where("false"), path).count() == 0
+
+
+def test_plain_words_have_the_library_s_ids():
+    """Words that go to the model by themselves, in all letters that may: the ids are those of the whole library."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    words, library = packing.encoder(path), Tokenizer.from_file(path)
+    letters = "".join(map(chr, words.plain))
+    assert set("abcdefghijklmnopqrstuvwxyz") <= set(letters) and len(letters) > 40
+    rng = random.Random(3)
+    some = ["".join(rng.choices(letters, k=rng.randint(1, 14))) for _ in range(4000)] + ["".join(rng.choices("aeinrstäéñ", k=9)) for _ in range(500)]
+    some += ["straße", "œuvre", "naïve", "ﬁn", "e\u0301a", "a\u0308", "ǆ", "x" * 300]
+    got = words._encode(some)
+    for w, raw in zip(some, got):
+        assert np.frombuffer(raw, np.uint32).tolist() == library.encode(w, add_special_tokens=False).ids, w
+    assert not packing.encoder(public_tokenizers.path("byte_bpe_50k.json")).plain
