@@ -6,27 +6,36 @@ nearly all of them have nothing to do with a document.  Here rules stay a table:
 1. Every literal (keyword or phrase) is listed under one of its grams of GRAM characters, the one that the
    fewest literals have; keywords that tolerate an edit, also under a gram of each piece of which one must have survived.
 2. A document's distinct grams meet the index in an equi-join; what meets are the rules that may hit.
-   Of all pairs of a document and a rule only those become rows.
-3. They are grouped by document, joined back to its text, and counted there exactly.  What is not
-   literally there but listed under a piece is compared with the windows of the text around such pieces.
-
-Nothing is broadcast by hand, and nothing of the rules comes to the driver but the classes' names and the patterns
-of regular expressions, which have no pieces and stay expressions; both are few and their numbers are checked.
+   Of all pairs of a document and a rule only those become rows, each of them once.
+3. They are counted exactly where they meet, beside the text.  What is not literally there but
+   listed under a piece is compared with the windows of the text around such pieces.
+4. Only sums are shuffled, one small row for each document and task: neither texts nor pairs leave their task.
+
+The index is broadcast in blocks of bounded length, a pass over the texts each.  Nothing of the rules comes to the driver
+otherwise but the classes' names and the patterns of regular expressions, which have no pieces and stay expressions;
+both are few and their numbers are checked.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doctriage import fixed
-from doctriage.functions.fuzzy import lcs_length, text_inside_keyword
+from doctriage.functions.fuzzy import similar_enough, text_inside_keyword
 from doctriage.functions.regex import count_matches
 from doctriage.functions.text import normalize_text, text_or_empty
 from doctriage.sources.rules import MAX_RULES, Rules
+from doctriage.sources.shared import materialize
 
-#: Characters of a gram.  Pieces of keywords that tolerate an edit have as many at least.
-GRAM = 3
+#: Characters of a gram.  Longer ones meet fewer rules that a text doesn't hold; shorter words are listed under themselves.
+GRAM = 4
+#: Rules that a pass over the texts looks for; each further block is another pass.
+RULES_IN_BLOCK = 20_000
+#: The entry that every text is listed under, and what stands before the grams of tiny texts; neither is as long as a gram.
+_EVERY, _TINY = "", "\x01" * GRAM
 
 
 def grams(text: Column, size: int = GRAM) -> Column:
@@ -88,11 +97,11 @@ def literal_rules(rules_table: DataFrame, fuzzy: bool = True) -> DataFrame:
         {
             "weight": F.when(keyword, fixed.KEYWORD_WEIGHT).otherwise(fixed.PHRASE_WEIGHT),
             "near": near,
-            "edits": F.when(near, n - _needed(n, n)).otherwise(0).cast("int"),
-            "end_edits": F.when(near, F.array_max(at_ends)).otherwise(0).cast("int"),
+            "edits": F.when(near, n - _needed(n, n)).otherwise(0).cast("int") if fuzzy else F.lit(0),
+            "end_edits": F.when(near, F.array_max(at_ends)).otherwise(0).cast("int") if fuzzy else F.lit(0),
         }
     )
-    pattern = F.when(F.col("edits") > 0, _window_pattern(F.col("word"), F.col("edits")))
+    pattern = F.when(F.col("edits") > 0, _window_pattern(F.col("word"), F.col("edits"))) if fuzzy else F.lit(None).cast("string")
     return sized.withColumn("rule", F.xxhash64("class", "kind", "word")).withColumn("windows", pattern).drop("kind")
 
 
@@ -120,7 +129,7 @@ def _near(norm: Column, rule: Column) -> Column:
         # At most so many characters of a window can be foreign to the word; this rules most out.
         foreign = F.length(F.call_function("translate", window, word, F.lit("")))
         close = 20 * (F.length(window) - foreign) > 9 * (n + F.length(window))
-        return F.when(close, 20 * lcs_length(word, window) > 9 * (n + F.length(window))).otherwise(F.lit(False))
+        return F.when(close, similar_enough(word, window)).otherwise(F.lit(False))
 
     windows = F.when(rule["edits"] > 0, F.array_distinct(F.regexp_extract_all(norm, rule["windows"], F.lit(1))))
     inside = F.coalesce(F.exists(windows, similar), F.lit(False))
@@ -129,25 +138,26 @@ def _near(norm: Column, rule: Column) -> Column:
     return F.when(m <= n, text_inside_keyword(norm, word)).otherwise(F.lit(False)) | F.when(m >= n, inside | at_ends).otherwise(F.lit(False))
 
 
-def _points(norm: Column, rule: Column) -> Column:
+def _points(norm: Column, rule: Column, fuzzy: bool) -> Column:
     """What one rule gives a text."""
     removed = F.octet_length(norm) - F.octet_length(F.replace(norm, rule["word"], F.lit("")))
     hits = (removed / F.octet_length(rule["word"])).cast("double")
-    boost = F.when(rule["near"], _near(norm, rule)).otherwise(F.lit(False))
-    points = F.when(F.contains(norm, rule["word"]), hits * rule["weight"]).when(boost, F.lit(fixed.FUZZY_BOOST)).otherwise(F.lit(0.0))
-    return rule["times"] * points
+    points = F.when(F.contains(norm, rule["word"]), hits * rule["weight"])
+    if fuzzy:  # A lambda would keep the counting out of generated code.
+        points = points.when(F.when(rule["near"], _near(norm, rule)).otherwise(F.lit(False)), F.lit(fixed.FUZZY_BOOST))
+    return rule["times"] * points.otherwise(F.lit(0.0))
+
 
+def _tiny_grams(norm: Column) -> Column:
+    """What a text no longer than a keyword is listed under: grams of its own length, of GRAM characters at most."""
+    return F.coalesce(*[F.when(F.length(norm) == s, F.array(norm)) for s in range(1, GRAM)], grams(norm))
 
-def _tiny_texts(docs: DataFrame, literals: DataFrame) -> DataFrame:
-    """(doc, rule) of texts no longer than a keyword, which resemble a part of it: both lists are of all grams of one size."""
-    near = literals.where("near").select("rule", "word")
-    longest = near.agg(F.coalesce(F.max(F.length("word")), F.lit(0))).first()[0]
+
+def _tiny_index(literals: DataFrame) -> DataFrame:
+    """(gram, rule): keywords that a tiny text may resemble a part of, under all their grams of each size."""
     sizes = range(1, GRAM + 1)
-    of_rules = near.select("rule", F.explode(F.array_distinct(F.flatten(F.array(*[grams(F.col("word"), s) for s in sizes])))).alias("gram"))
-    # A text is listed under grams of its own length, of GRAM characters at most.
-    own = F.coalesce(*[F.when(F.length("norm") == s, F.array("norm")) for s in range(1, GRAM)], grams(F.col("norm")))
-    short = docs.where(F.length("norm").between(1, longest)).select("doc", F.explode(own).alias("gram"))
-    return short.join(of_rules, "gram").select("doc", "rule")
+    every = F.array_distinct(F.flatten(F.array(*[grams(F.col("word"), s) for s in sizes])))
+    return literals.where("near").select("rule", F.explode(every).alias("gram"))
 
 
 def _class_names(rules_table: DataFrame) -> list[str]:
@@ -159,6 +169,16 @@ def _class_names(rules_table: DataFrame) -> list[str]:
     return names + [c for c in fixed.BUILTIN_CLASSES if c not in names]
 
 
+def _first_meeting(norm: Column, tiny: Column) -> Column:
+    """Of all the grams under which a text meets a rule, the one that counts: the first of the rule's list that the text
+    holds or, if it holds none, the first of a tiny text's that the keyword holds."""
+    held = lambda grams: F.exists(grams, lambda g: F.contains(norm, g))
+    listed = F.when(F.col("place") > 0, ~held(F.slice("grams", F.lit(1), F.col("place")))).otherwise(F.lit(True))
+    own = F.get(F.filter(_tiny_grams(norm), lambda g: F.contains(F.col("word"), g)), F.lit(0))
+    of_tiny = tiny & ~held(F.col("grams")) & (F.concat(F.lit(_TINY), own) == F.col("gram"))
+    return F.when(F.col("place") >= 0, listed).otherwise(of_tiny)
+
+
 def score_by_index(
     df: DataFrame, rules_table: DataFrame, text: str = "text", keys: tuple[str, ...] = ("path",), fuzzy: bool = True
 ) -> DataFrame:
@@ -175,28 +195,60 @@ def score_by_index(
     by_regex = {n: [(f"_regex_{i}_{j}", p, w) for j, (p, w) in enumerate(regexes.get(n, ()))] for i, n in enumerate(names)}
     counts = [(count_matches(raw, p).cast("double") * F.lit(w)).alias(c) for found in by_regex.values() for c, p, w in found]
 
-    docs = df.select(*keys, normalize_text(F.col(text)).alias("norm"), *counts).withColumn("doc", F.xxhash64(*keys, "norm"))
+    places = index.groupBy("rule").agg(F.sort_array(F.collect_list("gram")).alias("grams"))
+    literals = materialize(literals.join(places, "rule", "left"), "rules")
+    known = literals.agg(
+        F.count(F.lit(1)).alias("rules"),
+        F.coalesce(F.max(F.when(F.col("near"), F.length("word"))), F.lit(0)).alias("longest"),
+        F.collect_set(F.array_distinct(F.transform("grams", lambda g: F.length(g)))).alias("sizes"),
+        # A word without letters is between all characters.
+        F.collect_list(F.when(F.col("word") == "", F.struct("class", (F.col("weight") * F.col("times")).alias("weight")))).alias("empty"),
+    ).first()
+    empty: dict[str, float] = {}
+    for r in known["empty"]:
+        empty[r["class"]] = empty.get(r["class"], 0.0) + r["weight"]
+    longest, sizes = known["longest"] if fuzzy else 0, sorted({n for found in known["sizes"] for n in found})
+
+    norm = F.col("norm")
+    docs = df.select(*keys, F.xxhash64(raw).alias("doc"), normalize_text(F.col(text)).alias("norm"), *counts)
     # Words and pieces shorter than a gram are looked for by grams of their own length, if there are any.
-    sizes = sorted(r[0] for r in index.select(F.length("gram")).distinct().collect())
-    listed = F.flatten(F.array(*[grams(F.col("norm"), s) for s in sizes])) if sizes else F.array().cast("array<string>")
-    met = docs.select("doc", F.explode(listed).alias("gram")).join(index, "gram").select("doc", "rule")
-    if fuzzy:
-        met = met.unionByName(_tiny_texts(docs, literals))
-    fields = F.struct("class", "word", "weight", "times", "near", "edits", "windows")
-    candidates = met.distinct().join(literals, "rule").groupBy("doc").agg(F.collect_list(fields).alias("met"))
-    points = F.transform("met", lambda r: F.struct(r["class"].alias("class"), _points(F.col("norm"), r).alias("points")))
-    counted = docs.join(candidates, "doc", "left").withColumn("hits", F.filter(points, lambda h: h["points"] != 0.0))
-    # A word without letters is between all characters.
-    empty = {r["class"]: r["weight"] for r in literals.where("word = ''").groupBy("class").agg(F.sum(F.col("weight") * F.col("times")).alias("weight")).collect()}
-
-    def total(name: str) -> Column:
-        own = F.filter(F.coalesce("hits", F.array().cast("array<struct<class:string,points:double>>")), lambda h: h["class"] == name)
-        out = F.aggregate(own, F.lit(0.0), lambda t, h: t + h["points"])
+    listed = [F.array(F.lit(_EVERY)), *[grams(norm, s) for s in sizes]]
+    if longest:
+        tiny = F.transform(_tiny_grams(norm), lambda g: F.concat(F.lit(_TINY), g))
+        listed.append(F.when(F.length(norm).between(1, longest), tiny).otherwise(F.array().cast("array<string>")))
+    exploded = docs.withColumn("gram", F.explode(F.concat(*listed)))
+    kept = [*keys, "doc", *[c for found in by_regex.values() for c, _, _ in found]]
+    blocks = max(1, -(-known["rules"] // RULES_IN_BLOCK))
+    parts = []
+    for block in range(blocks):
+        own = literals.where((F.pmod("rule", F.lit(blocks)) == block) & F.col("grams").isNotNull())
+        entries = own.select(F.posexplode("grams").alias("place", "gram"), "rule")
+        if longest:
+            entries = entries.unionByName(_tiny_index(own).select(F.lit(-1).alias("place"), F.concat(F.lit(_TINY), "gram").alias("gram"), "rule"))
+        # The entry that every text meets, so that one without a rule has a row.
+        entries = entries.unionByName(df.sparkSession.range(1).select(F.lit(-1).alias("place"), F.lit(_EVERY).alias("gram"), F.lit(None).cast("bigint").alias("rule")))
+        met = exploded.join(F.broadcast(entries), "gram").join(F.broadcast(own), "rule", "left")
+        if fuzzy:  # Otherwise a rule has one gram and is met once.
+            met = met.where((F.col("gram") == _EVERY) | _first_meeting(norm, F.lit(bool(longest))))
+        parts.append(met.select(
+            *kept,
+            F.col("class").alias("_class"),
+            F.when(F.col("rule").isNotNull(), _points(norm, F.struct("word", "weight", "times", "near", "edits", "windows"), fuzzy)).alias("_points"),
+            F.length(norm).alias("_chars"),
+            F.when(F.col("gram") == _EVERY, 1 if block == 0 else 0).otherwise(0).alias("_row"),
+        ))
+    rows = reduce(DataFrame.unionByName, parts)
+    # Repeated rows meet here: as many rows go on, and each has its share of the points, which are multiples of a half.
+    sums = [F.sum(F.when(F.col("_class") == n, F.col("_points"))).alias(f"_points_{i}") for i, n in enumerate(names)]
+    counted = rows.groupBy(*kept).agg(F.sum("_row").cast("int").alias("_rows"), F.max("_chars").alias("_chars"), *sums)
+
+    def total(i: int, name: str) -> Column:
+        out = F.coalesce(F.col(f"_points_{i}") / F.col("_rows"), F.lit(0.0))
         if name in empty:
-            out = out + (F.length("norm") + 1) * F.lit(float(empty[name]))
+            out = out + (F.col("_chars") + 1) * F.lit(empty[name])
         for column, _, _ in by_regex[name]:
             out = out + F.col(column)
         return out
 
-    totals = [F.struct(F.lit(i).alias("class_ord"), F.lit(n).alias("class"), total(n).alias("score")) for i, n in enumerate(names)]
-    return counted.select(*keys, F.inline(F.array(*totals)))
+    totals = [F.struct(F.lit(i).alias("class_ord"), F.lit(n).alias("class"), total(i, n).alias("score")) for i, n in enumerate(names)]
+    return counted.select(*keys, F.explode(F.array_repeat(F.array(*totals), F.col("_rows"))).alias("_totals")).select(*keys, F.inline("_totals"))

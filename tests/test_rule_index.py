@@ -105,3 +105,16 @@ def test_keywords_around_the_pattern_limit_on_given_texts(spark):
     table = Rules.from_dict({"a": {"keywords": keywords[:12]}, "b": {"keywords": keywords[12:24]}}).to_table(spark)
     unrolled, indexed = by_class(score_by_table(texts, table)), by_class(score_by_index(texts, table))
     assert unrolled == indexed and sum(r[3] for r in unrolled) > 5
+
+
+def test_neither_texts_nor_pairs_are_shuffled(spark):
+    """Every text holds every word: what is shuffled are sums, a row for each document and task."""
+    words = [f"word{i}x" for i in range(60)]
+    df = spark.createDataFrame([(str(i), " ".join(words)) for i in range(50)] * 2, "path string, text string")
+    table = Rules.from_dict({"a": {"keywords": words}}).to_table(spark)
+    scored = score_by_index(df, table, fuzzy=False)
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "Distinct" not in plan and plan.count("Aggregate") == 1
+    assert plan.count("Join LeftOuter") == plan.count("Join Inner") == 1
+    got = [r["score"] for r in scored.where("class = 'a'").collect()]
+    assert got == [60.0] * 100
