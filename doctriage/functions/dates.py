@@ -65,14 +65,16 @@ def _ymd(y: Column, m: Column, d: Column) -> Column:
 
 
 def _numeric_date(value: Column, as_of: dt.date) -> Column:
-    fields = F.struct(
-        _group(value, _NUMERIC, 1).try_cast("int").alias("a"),
-        _group(value, _NUMERIC, 2).alias("sep1"),
-        _group(value, _NUMERIC, 3).try_cast("int").alias("b"),
-        _group(value, _NUMERIC, 4).alias("sep2"),
-        _group(value, _NUMERIC, 5).alias("text"),
-        _group(value, _NUMERIC, 5).try_cast("int").alias("c"),
-    )
+    def fields_of(groups: Column) -> Column:
+        part = lambda i: F.get(groups, F.lit(i))
+        return F.struct(
+            part(0).try_cast("int").alias("a"),
+            part(1).alias("sep1"),
+            part(2).try_cast("int").alias("b"),
+            part(3).alias("sep2"),
+            part(4).alias("text"),
+            part(4).try_cast("int").alias("c"),
+        )
 
     def resolve(f: Column) -> Column:
         a, b, c = f["a"], f["b"], f["c"]
@@ -89,7 +91,9 @@ def _numeric_date(value: Column, as_of: dt.date) -> Column:
         )
         return F.when(readable, _iso_of(parts))
 
-    return bind(fields, resolve)
+    # The pattern runs once; no group holds a line end.
+    groups = F.split(F.regexp_replace(value, unicode_regex(_NUMERIC), "$1\n$2\n$3\n$4\n$5"), "\n")
+    return bind(bind(groups, fields_of), resolve)
 
 
 def _named_date(value: Column, as_of: dt.date) -> Column:
@@ -121,6 +125,10 @@ def parse_date(value: Column, as_of: dt.date, iso_dates: bool = False) -> Column
 
     NULL for impossible dates and for words that are not English month names.
     """
+    return bind(value, lambda v: _parsed(v, as_of, iso_dates))
+
+
+def _parsed(value: Column, as_of: dt.date, iso_dates: bool) -> Column:
     parsed = F.when(value.rlike(unicode_regex(_NUMERIC)), _numeric_date(value, as_of))
     if iso_dates:
         iso = _ymd(*[_group(value, _ISO, i).try_cast("int") for i in (1, 2, 3)])

@@ -221,3 +221,15 @@ def test_looks_like_name(evaluate):
         "X" * 50 + " " + "Y" * 40: False, "": False,
     }
     assert evaluate(list(cases), names.looks_like_name) == list(cases.values())
+
+
+def test_a_date_is_written_once_and_searched_once(spark):
+    """Expressions of the value appear once however many parts of it are read."""
+    from datetime import date
+
+    from doctriage.functions.dates import parse_date
+
+    df = spark.createDataFrame([("31.12.2025",), ("1/2/25\n",), ("1\n2",), (None,)], "v string")
+    parsed = df.select(parse_date(F.reverse(F.reverse("v")), date(2026, 12, 1)).alias("iso"))
+    assert [r["iso"] for r in parsed.collect()] == ["2025-12-31", "2025-02-01", None, None]
+    assert parsed._jdf.queryExecution().optimizedPlan().toString().count("reverse(reverse(") == 1
