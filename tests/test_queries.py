@@ -29,3 +29,12 @@ def test_query(spark, con, name):
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["path_in", "path_out", "top_class", "confidence"] and df.count() > 0
+
+
+def test_one_row_group_is_many_tasks(spark):
+    """The given files are one row group each; what is made of their rows is made by as many tasks as the session says."""
+    from doctriage.plans import queries, render
+
+    sf = "/root/testdata/sf0.001"
+    for df in (render.render_tickets(spark, sf), render.render_invoices(spark, sf), queries.parse_dates(spark, sf), queries.best_names(spark, sf)):
+        assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
