@@ -6,14 +6,15 @@ nearly all of them have nothing to do with a document.  Here rules stay a table:
 1. Every literal (keyword or phrase) is listed under one of its grams of GRAM characters, the one that the
    fewest literals have; keywords that tolerate an edit, also under a gram of each piece of which one must have survived.
 2. A document's distinct grams meet the index in an equi-join; what meets are the rules that may hit.
-   Of all pairs of a document and a rule only those become rows, each of them once.
+   Of all pairs of a document and a rule only those become rows, each of them once.  Of the grams of up to LISTED_GRAMS entries
+   one pattern is made, and a text is walked for these; of more, every stretch of a text is one to look up.
 3. They are counted exactly where they meet, beside the text.  What is not literally there but
    listed under a piece is compared with the windows of the text around such pieces.
 4. Only sums are shuffled, one small row for each document and task: neither texts nor pairs leave their task.
 
 The index is broadcast in blocks of bounded length, a pass over the texts each.  Nothing of the rules comes to the driver
-otherwise but the classes' names and the patterns of regular expressions, which have no pieces and stay expressions;
-both are few and their numbers are checked.
+otherwise but the classes' names, the patterns of regular expressions, which have no pieces and stay expressions, and
+grams for that one pattern; all are few and their numbers are checked.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 
 from doctriage import fixed
 from doctriage.functions.fuzzy import similar_enough, text_inside_keyword
-from doctriage.functions.regex import count_matches
+from doctriage.functions.multi import Literals
+from doctriage.functions.regex import bind, count_matches
 from doctriage.functions.text import normalize_text, text_or_empty
 from doctriage.sources.rules import MAX_RULES, Rules
 from doctriage.sources.shared import materialize
@@ -34,6 +36,8 @@ from doctriage.sources.shared import materialize
 GRAM = 4
 #: Rules that a pass over the texts looks for; each further block is another pass.
 RULES_IN_BLOCK = 20_000
+#: Entries of the index whose grams one pattern looks for.
+LISTED_GRAMS = 10_000
 #: The entry that every text is listed under, and what stands before the grams of tiny texts; neither is as long as a gram.
 _EVERY, _TINY = "", "\x01" * GRAM
 
@@ -60,22 +64,25 @@ def _quoted(piece: Column) -> Column:
     return F.regexp_replace(piece, r"([^\p{L}\p{N}\s])", r"\\$1")
 
 
-def _window_pattern(word: Column, edits: Column) -> Column:
-    """A pattern that captures, at every place of a text, the window of the word's length if a piece stands where it may.
+#: Stands around a text where windows are cut; normalised texts don't hold it.
+_OUTSIDE = "\n"
 
-    A window that is similar enough keeps one of 2 * edits + 1 pieces, shifted by ``edits`` characters at most.
+
+def _window_patterns(word: Column, edits: Column) -> Column:
+    """For each piece a pattern that captures, wherever a text holds it, the stretch that has all windows it may be in.
+
+    A window that is similar enough keeps one of 2 * edits + 1 pieces, shifted by ``edits`` characters at most: the stretch is longer than the
+    word by as many at both sides.  Only the piece's first character is consumed, so that overlapping pieces are all seen.
     """
     n = F.length(word)
 
-    def shifted(p: Column, by: Column) -> Column:
-        at = p["at"] + by
-        rest = n - at - F.length(p["piece"])
-        spelled = F.concat(F.lit(".{"), at.cast("string"), F.lit("}"), _quoted(p["piece"]), F.lit(".{"), rest.cast("string"), F.lit("}"))
-        return F.when((at >= 0) & (rest >= 0), spelled)
+    def around(p: Column) -> Column:
+        size, before = (n + 2 * edits).cast("string"), (p["at"] + edits + 1).cast("string")
+        first, rest = _quoted(F.left(p["piece"], F.lit(1))), _quoted(F.substr(p["piece"], F.lit(2)))
+        pattern = F.concat(F.lit("(?s)"), first, F.lit("(?="), rest, F.lit(")(?<=(?=(.{"), size, F.lit("})).{"), before, F.lit("})"))
+        return F.struct(p["piece"].alias("piece"), pattern.alias("pattern"))
 
-    shifts = F.sequence(-edits, edits)
-    ways = F.flatten(F.transform(_pieces(word, 2 * edits + 1), lambda p: F.transform(shifts, lambda by: shifted(p, by))))
-    return F.concat(F.lit("(?s)(?=("), F.array_join(F.array_distinct(F.filter(ways, lambda w: w.isNotNull())), "|"), F.lit("))"))
+    return F.transform(_pieces(word, 2 * edits + 1), around)
 
 
 def literal_rules(rules_table: DataFrame, fuzzy: bool = True) -> DataFrame:
@@ -101,8 +108,10 @@ def literal_rules(rules_table: DataFrame, fuzzy: bool = True) -> DataFrame:
             "end_edits": F.when(near, F.array_max(at_ends)).otherwise(0).cast("int") if fuzzy else F.lit(0),
         }
     )
-    pattern = F.when(F.col("edits") > 0, _window_pattern(F.col("word"), F.col("edits"))) if fuzzy else F.lit(None).cast("string")
-    return sized.withColumn("rule", F.xxhash64("class", "kind", "word")).withColumn("windows", pattern).drop("kind")
+    patterns = F.when(F.col("edits") > 0, _window_patterns(F.col("word"), F.col("edits")))
+    if not fuzzy:
+        patterns = F.lit(None).cast("array<struct<piece:string,pattern:string>>")
+    return sized.withColumn("rule", F.xxhash64("class", "kind", "word")).withColumn("windows", patterns).drop("kind")
 
 
 def rule_index(literals: DataFrame) -> DataFrame:
@@ -125,14 +134,29 @@ def _near(norm: Column, rule: Column) -> Column:
     """Whether a text that does not hold the rule's keyword resembles it somewhere by more than 0.9."""
     word, n, m = rule["word"], F.length(rule["word"]), F.length(norm)
 
+    def foreign(part: Column) -> Column:
+        return F.length(F.call_function("translate", part, word, F.lit("")))
+
     def similar(window: Column) -> Column:
         # At most so many characters of a window can be foreign to the word; this rules most out.
-        foreign = F.length(F.call_function("translate", window, word, F.lit("")))
-        close = 20 * (F.length(window) - foreign) > 9 * (n + F.length(window))
+        close = 20 * (F.length(window) - foreign(window)) > 9 * (n + F.length(window))
         return F.when(close, similar_enough(word, window)).otherwise(F.lit(False))
 
-    windows = F.when(rule["edits"] > 0, F.array_distinct(F.regexp_extract_all(norm, rule["windows"], F.lit(1))))
-    inside = F.coalesce(F.exists(windows, similar), F.lit(False))
+    def holds(stretch: Column) -> Column:
+        within = lambda w: ~F.contains(w, F.lit(_OUTSIDE)) & similar(w)
+        any_window = F.exists(F.sequence(F.lit(1), 2 * rule["edits"] + 1), lambda i: within(F.substr(stretch, i, n)))
+        # A window leaves out 2 * edits characters, and no more than its own edits can be foreign.
+        return F.when(foreign(stretch) <= 3 * rule["edits"], any_window).otherwise(F.lit(False))
+
+    def search(pieces: Column) -> Column:
+        beyond = F.repeat(F.lit(_OUTSIDE), n + rule["edits"])
+        found = lambda text, p: F.regexp_extract_all(text, p["pattern"], F.lit(1))
+        anywhere = bind(F.concat(beyond, norm, beyond), lambda text: F.exists(pieces, lambda p: F.exists(found(text, p), holds)))
+        return F.when(F.size(pieces) > 0, anywhere)
+
+    # A piece that a text doesn't hold needs no pattern.
+    kept = F.filter(rule["windows"], lambda p: F.contains(norm, p["piece"]))
+    inside = F.coalesce(F.when(rule["edits"] > 0, bind(kept, search)), F.lit(False))
     sizes = F.filter(F.sequence(F.floor(n / 2).cast("int"), n - 1), lambda w: w >= _needed(n, w))
     at_ends = F.exists(sizes, lambda w: similar(F.left(norm, w)) | similar(F.right(norm, w)))
     return F.when(m <= n, text_inside_keyword(norm, word)).otherwise(F.lit(False)) | F.when(m >= n, inside | at_ends).otherwise(F.lit(False))
@@ -160,6 +184,20 @@ def _tiny_index(literals: DataFrame) -> DataFrame:
     return literals.where("near").select("rule", F.explode(every).alias("gram"))
 
 
+def _grams_to_look_up(norm: Column, literals: DataFrame, sizes: list[int]) -> Column:
+    """The distinct grams of a text that the index may have: those that it has, if they fit in one pattern, or all of its sizes.
+
+    Shorter grams that a found one begins with are found with it.
+    """
+    if not sizes:
+        return F.array().cast("array<string>")
+    rows = literals.select(F.explode("grams").alias("gram")).limit(LISTED_GRAMS + 1).collect()
+    if len(rows) > LISTED_GRAMS:
+        return F.concat(*[grams(norm, s) for s in sizes])
+    found = Literals(r["gram"] for r in rows).held(norm)
+    return F.array_distinct(F.flatten(F.transform(found, lambda g: F.array(*[F.left(g, F.lit(s)) for s in sizes]))))
+
+
 def _class_names(rules_table: DataFrame) -> list[str]:
     """Classes in rule order, the built-in ones that the table doesn't have last."""
     rows = rules_table.groupBy("class").agg(F.min("class_ord").alias("place")).limit(MAX_RULES + 1).collect()
@@ -212,7 +250,7 @@ def score_by_index(
     norm = F.col("norm")
     docs = df.select(*keys, F.xxhash64(raw).alias("doc"), normalize_text(F.col(text)).alias("norm"), *counts)
     # Words and pieces shorter than a gram are looked for by grams of their own length, if there are any.
-    listed = [F.array(F.lit(_EVERY)), *[grams(norm, s) for s in sizes]]
+    listed = [F.array(F.lit(_EVERY)), _grams_to_look_up(norm, literals, sizes)]
     if longest:
         tiny = F.transform(_tiny_grams(norm), lambda g: F.concat(F.lit(_TINY), g))
         listed.append(F.when(F.length(norm).between(1, longest), tiny).otherwise(F.array().cast("array<string>")))

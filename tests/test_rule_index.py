@@ -7,6 +7,8 @@ import pytest
 
 from doctriage.functions.text import normalize_text
 from doctriage.operators.classify import score_by_table
+from doctriage.functions import multi
+from doctriage.operators import rule_index as index_module
 from doctriage.operators.rule_index import literal_rules, rule_index, score_by_index
 from doctriage.plans import queries
 from doctriage.sources.rules import Rules
@@ -118,3 +120,33 @@ def test_neither_texts_nor_pairs_are_shuffled(spark):
     assert plan.count("Join LeftOuter") == plan.count("Join Inner") == 1
     got = [r["score"] for r in scored.where("class = 'a'").collect()]
     assert got == [60.0] * 100
+
+
+def test_only_grams_of_the_index_are_looked_up(spark, monkeypatch):
+    """A text is not cut into all its stretches while one pattern, or a few searches, can find what is listed; the ways agree."""
+    rng = random.Random(9)
+    words = ["gate", "gat", "ga", "that the an", "aabaabaabaab", "(x+", "é漢😀"]
+    texts = [None, "", "\n", "ga", *["".join(rng.choices(["gate", "ga", " ", "that the", " an", "aab", "b", "(x+", "é漢😀", "z"], k=25)) for _ in range(60)]]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "path string, text string")
+    table = Rules.from_dict({"a": {"keywords": words[::2], "phrases": words}, "b": {"keywords": words[1::2]}}).to_table(spark)
+    stretches = "(?s)(?=(.{4}))"
+    want = by_class(score_by_table(df, table))
+    assert sum(r[3] for r in want) > 100
+    for grams, few in ((10_000, 64), (10_000, 0), (3, 64)):
+        monkeypatch.setattr(index_module, "LISTED_GRAMS", grams)
+        monkeypatch.setattr(multi, "FEW", few)
+        scored = score_by_index(df, table, fuzzy=False)
+        # Tiny texts, with near matches only, have their grams looked up in any case.
+        assert (stretches in scored._jdf.queryExecution().optimizedPlan().toString()) == (grams == 3)
+        assert by_class(scored) == by_class(score_by_table(df, table, fuzzy=False))
+        assert by_class(score_by_index(df, table)) == want
+
+
+def test_windows_at_the_ends_of_a_text_and_over_line_ends(spark):
+    """Windows are cut from a text with something around it that is no part of it, even if a keyword holds that."""
+    words = ["purchase order", "issuing\nauthority", "\n\n\nabcdefghijklm", "just twenty one chars", "x\ny" * 7]
+    texts = ["purchaze order", "zz purchase orde", "urchase order zz", "purchase  ordr", "issuing authority", "z issuin authority", "abcdefghijklm", "abcdefghijkl", "ust twenty one char and", "so just twentyone charz", "xyxyxyxyxyxyxy", "x y" * 7]
+    df = spark.createDataFrame([(f"{i}-{j}", around[0] + t + around[1]) for i, t in enumerate(texts) for j, around in enumerate((("", ""), ("a", ""), ("", "a"), ("long " * 9, " long" * 9)))], "path string, text string")
+    table = Rules.from_dict({"a": {"keywords": words[:2]}, "b": {"keywords": words[2:]}}).to_table(spark)
+    want = by_class(score_by_table(df, table))
+    assert by_class(score_by_index(df, table)) == want and sum(r[3] > 0 for r in want) > 10
