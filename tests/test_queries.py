@@ -38,3 +38,14 @@ def test_one_row_group_is_many_tasks(spark):
     sf = "/root/testdata/sf0.001"
     for df in (render.render_tickets(spark, sf), render.render_invoices(spark, sf), queries.parse_dates(spark, sf), queries.best_names(spark, sf)):
         assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_given_texts_are_dealt_over_all_cores(spark):
+    """So are the given texts, each table by its whole key: one long conversation is no single task."""
+    from doctriage.plans import queries, render
+
+    sf, asked = "/root/testdata/sf0.001", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for df in (render.documents(spark, sf), render.pages(spark, sf), render.turns(spark, sf)):
+        assert df.rdd.getNumPartitions() == asked
+    dealt = queries.all_texts(spark, sf).select("path").rdd.glom().map(len).collect()
+    assert len(dealt) == 3 * asked and sum(n > 0 for n in dealt) > 2 * asked
