@@ -8,12 +8,14 @@ under a query node (centre c, radius r) and p under a data node (centre d, radiu
     q . p  <=  c . d + s |c| + r |d| + r s
 
 so a pair of nodes is left out if that bound is below the worst kth score of the
-queries in the node.  The scores of each query over all blocks meet in one aggregate.
+queries in the node.  Blocks meet in a product of partitions; a task keeps the k best of each query over all
+its blocks, and only these are shuffled.
 """
 
 from __future__ import annotations
 
 import math
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +33,8 @@ LEAF = 64
 FANOUT = 8
 #: Data rows that all queries are compared with first, for a first kth score.
 SEED_ROWS = 1_024
+#: Blocks of queries that a task compares its data with, and of how many it holds the trees.
+QUERY_BLOCKS, QUERY_TREES = 16, 8
 RESULT = "query_id long, rank int, vec_id long, score long"
 _NONE = np.iinfo(np.int64).min
 
@@ -52,6 +56,10 @@ def products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return exact.astype(np.int64)
 
 
+def _digest(row: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(row.tobytes()) - (1 << 63)
+
+
 class CoverTree:
     """Nodes over the rows of a matrix: a row as centre, the radius over all rows below.
 
@@ -67,6 +75,7 @@ class CoverTree:
         self.below: list[list[int]] = []
         self.members: list[np.ndarray] = []
         self.norm = np.sqrt((self.rows**2).sum(axis=1))
+        self.most = int(np.abs(self.whole).max(initial=0))
         if len(rows):
             self._build(0, np.arange(len(rows)), leaf)
 
@@ -103,22 +112,95 @@ class CoverTree:
 
 
 class Best:
-    """The k highest scores of each query so far, ties to the smaller id, with the ids and the rows' places."""
+    """The k highest scores of each query so far, ties to the smaller id, with the ids and the rows' places.
 
-    def __init__(self, queries: int, k: int, ids: np.ndarray):
+    ``floor``: scores below are left out.
+    """
+
+    def __init__(self, queries: int, k: int, ids: np.ndarray, floor: np.ndarray | None = None):
         self.k, self.ids = k, ids
         self.scores = np.full((queries, k), _NONE, np.int64)
         self.places = np.full((queries, k), -1, np.int64)
+        self.floor = np.full(queries, _NONE) if floor is None else floor
 
     def add(self, members: np.ndarray, scores: np.ndarray, rows: np.ndarray) -> None:
-        """scores: queries x rows, _NONE where a row is no candidate."""
-        some = (scores >= self.scores[members, -1][:, None]) & (scores != _NONE)
-        for i in np.flatnonzero(some.any(axis=1)).tolist():
-            q, new = members[i], np.flatnonzero(some[i])
-            s = np.concatenate((self.scores[q], scores[i, new]))
-            n = np.concatenate((self.places[q], rows[new]))
-            best = np.lexsort((self.ids[n], ~s))[: self.k]  # ~s falls as s rises, for the least long too
-            self.scores[q], self.places[q] = s[best], n[best]
+        """scores: queries x rows, whole numbers, _NONE where a row is no candidate."""
+        least = np.maximum(self.scores[members, -1], self.floor[members]).astype(scores.dtype)
+        some = np.flatnonzero(scores >= least[:, None])
+        if len(some) > 8 * self.k * len(members) and len(rows) > self.k:
+            least = np.maximum(least, np.partition(scores, -self.k, axis=1)[:, -self.k])
+            some = np.flatnonzero(scores >= least[:, None])
+        found = scores.ravel()[some].astype(np.int64)
+        some, found = some[found != _NONE], found[found != _NONE]
+        if not len(some):
+            return
+        at, row = np.divmod(some, len(rows))
+        changed = np.unique(at)
+        held = members[changed]
+        # What was held and what is new, in one order; of each query the first k stay.
+        q = np.concatenate((np.repeat(np.arange(len(held)), self.k), np.searchsorted(changed, at)))
+        s, n = np.concatenate((self.scores[held].ravel(), found)), np.concatenate((self.places[held].ravel(), rows[row]))
+        order = np.lexsort((self.ids[n], ~s, q))  # ~s falls as s rises, for the least long too
+        first = np.searchsorted(q[order], np.arange(len(held)))[:, None] + np.arange(self.k)
+        self.scores[held], self.places[held] = s[order][first], n[order][first]
+
+
+#: Scores made at once, and how many cost as much as one more call for a node.
+_SLAB, _CALL = 1 << 20, 10_000
+
+
+def _pairs_left(queries: CoverTree, data: CoverTree, floor: np.ndarray) -> np.ndarray:
+    """Whether a leaf of the queries (or a node above) and a leaf of the data may hold a score of ``floor`` or more: nodes x leaves of data.
+
+    Both trees are descended together, all pairs of a step at once.
+    """
+    qc, dc = queries.rows[queries.centre], data.rows[data.centre]
+    r, s = np.array(queries.radius), np.array(data.radius)
+    bound = qc @ dc.T + s * queries.norm[queries.centre][:, None] + r[:, None] * data.norm[data.centre] + r[:, None] * s
+    least = np.array([floor[m].min() for m in queries.members])
+    near = ~(bound + 1e-6 * np.abs(bound) + 1 < least[:, None])
+    q_ends, d_ends = (np.array([not n for n in t.below]) for t in (queries, data))
+    leaf = np.cumsum(d_ends) - 1
+    left = np.zeros((len(qc), int(d_ends.sum())), bool)
+    a, b = np.zeros(1, np.int64), np.zeros(1, np.int64)
+    while len(a):
+        keep = near[a, b]
+        a, b = a[keep], b[keep]
+        ends = q_ends[a] & d_ends[b]
+        left[a[ends], leaf[b[ends]]] = True
+        a, b = a[~ends], b[~ends]
+        down = q_ends[a] | ~d_ends[b] & (s[b] >= r[a])  # the data's node is the one to open
+        (a1, b1), (b2, a2) = _opened(a[down], b[down], data.below), _opened(b[~down], a[~down], queries.below)
+        a, b = np.concatenate((a1, a2)), np.concatenate((b1, b2))
+    for node in reversed(range(len(qc))):  # children come after their parents
+        for n in queries.below[node]:
+            left[node] |= left[n]
+    return left
+
+
+def _opened(kept: np.ndarray, nodes: np.ndarray, below: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs with each node replaced by its children."""
+    counts = np.array([len(n) for n in below])
+    flat, start = np.array([c for n in below for c in n], np.int64), np.cumsum(counts) - counts
+    times = counts[nodes]
+    at = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    return np.repeat(kept, times), flat[np.repeat(start[nodes], times) + at]
+
+
+def _first_floor(queries: CoverTree, query_ids: np.ndarray, data: CoverTree, data_ids: np.ndarray, k: int, floor: np.ndarray) -> np.ndarray:
+    """A score that k rows of the most promising leaves reach, where ``floor`` says nothing."""
+    ends = [n for n in range(len(data.centre)) if data.is_leaf(n)]
+    centres, sizes = data.rows[[data.centre[n] for n in ends]], np.array([len(data.members[n]) for n in ends])
+    floor = floor.copy()
+    for node in range(len(queries.centre)):
+        members = queries.members[node]
+        if queries.is_leaf(node) and (floor[members] == _NONE).any():
+            order = np.argsort(-(centres @ queries.rows[queries.centre[node]]), kind="stable")
+            enough = order[: int(np.searchsorted(np.cumsum(sizes[order]), 4 * k)) + 1]
+            rows = np.concatenate([data.members[ends[n]] for n in enough])
+            seed = [(data_ids[i], data.whole[i]) for i in rows.tolist()]
+            floor[members] = np.maximum(floor[members], _seeded(queries.whole[members], query_ids[members], seed, k))
+    return floor
 
 
 def search(
@@ -127,41 +209,92 @@ def search(
     """Best k of ``data`` for each query; scores below ``floor`` (a score k rows are known to reach) are skipped.
 
     ``times`` says how many rows of ``data`` each stands for.  A row equal to the query in id and vector is the query itself,
-    no candidate unless it stands for several.
+    no candidate unless it stands for several.  Nodes of the queries whose leaves meet much the same rows are multiplied as one.
     """
-    best = Best(len(query_ids), k, data_ids)
     if not len(query_ids) or not len(data_ids):
-        return best
+        return Best(len(query_ids), k, data_ids)
     times = np.ones(len(data_ids), np.int64) if times is None else times
-    whole_q, whole_d = queries.rows, data.rows
-    todo = [(0, 0)]
+    floor = _first_floor(queries, query_ids, data, data_ids, k, floor)
+    best = Best(len(query_ids), k, data_ids, floor)
+    left = _pairs_left(queries, data, floor)
+    ends = [m for m, n in zip(data.members, data.below) if not n]
+    cost = left @ np.array([len(m) for m in ends]) * np.array([len(m) for m in queries.members]) + _CALL
+    whole = np.ones(len(cost), bool)
+    for node in reversed(range(len(cost))):
+        if (below := queries.below[node]) and (parts := cost[below].sum()) < cost[node]:
+            cost[node], whole[node] = parts, False
+    # The queries themselves among the data.
+    order = np.argsort(data_ids, kind="stable")
+    start, stop = (np.searchsorted(data_ids[order], query_ids, side) for side in ("left", "right"))
+    q_own, d_own = _opened(np.arange(len(query_ids)), np.arange(len(query_ids)), [order[i:j].tolist() for i, j in zip(start, stop)])
+    own = (times[d_own] == 1) & (queries.whole[q_own] == data.whole[d_own]).all(axis=1)
+    q_own, d_own = q_own[own], d_own[own]
+    q_at, d_at = np.full(len(query_ids), -1), np.full(len(data_ids), -1)
+    exact = queries.most * data.most * data.rows.shape[1] < _EXACT
+    todo = [0]
     while todo:
-        a, b = todo.pop()
-        qc, dc = queries.centre[a], data.centre[b]
-        r, s = queries.radius[a], data.radius[b]
-        bound = float(whole_q[qc] @ whole_d[dc]) + s * queries.norm[qc] + r * data.norm[dc] + r * s
-        members = queries.members[a]
-        least = int(np.maximum(best.scores[members, -1], floor[members]).min())
-        if bound + 1e-6 * abs(bound) + 1 < least:
+        node = todo.pop()
+        if not whole[node]:
+            todo += queries.below[node]
             continue
-        if queries.is_leaf(a) and data.is_leaf(b):
-            rows = data.members[b]
-            scores = products(queries.whole[members], data.whole[rows])
-            out = scores < floor[members][:, None]
-            alone = (query_ids[members][:, None] == data_ids[rows][None, :]) & (times[rows] == 1)[None, :]
-            for i, j in zip(*np.nonzero(alone)):
-                out[i, j] |= bool((queries.whole[members[i]] == data.whole[rows[j]]).all())
-            scores[out] = _NONE
-            best.add(members, scores, rows)
-        elif queries.is_leaf(a) or not data.is_leaf(b) and s >= r:
-            ends = data.below[b]
-            scores = whole_d[[data.centre[n] for n in ends]] @ whole_q[qc]
-            todo += [(a, ends[i]) for i in np.argsort(scores)]  # the most promising child last, so first
-        else:
-            todo += [(n, b) for n in queries.below[a]]
+        if not left[node].any():
+            continue
+        members, rows = queries.members[node], np.concatenate([ends[n] for n in np.flatnonzero(left[node])])
+        q_at[members] = np.arange(len(members))
+        q_rows, step = (queries.rows if exact else queries.whole)[members], max(1, _SLAB // len(members))
+        for at in range(0, len(rows), step):
+            some = rows[at : at + step]
+            # Below 2^53 floats are exact.
+            scores = q_rows @ data.rows[some].T if exact else products(q_rows, data.whole[some])
+            d_at[some] = np.arange(len(some))
+            alone = (q_at[q_own] >= 0) & (d_at[d_own] >= 0)
+            scores[q_at[q_own[alone]], d_at[d_own[alone]]] = _NONE
+            d_at[some] = -1
+            best.add(members, scores, some)
+        q_at[members] = -1
     return best
 
 
+def _seeded(queries: np.ndarray, query_ids: np.ndarray, seed: list[tuple], k: int) -> np.ndarray:
+    """For each query a score that k of the seed's rows reach; the least possible where there are too few."""
+    if len(seed) <= k or not queries.shape[1]:
+        return np.full(len(query_ids), _NONE)
+    scores = products(queries, np.stack([s[1] for s in seed]))
+    scores[query_ids[:, None] == np.array([int(s[0]) for s in seed])[None, :]] = _NONE
+    return np.partition(scores, -k, axis=1)[:, -k]
+
+
+class _Kept:
+    """The k best of each query of a block over all blocks of data that a task has: scores, ids, digests and times of rows."""
+
+    def __init__(self, block: int, query_ids: np.ndarray, q_times: np.ndarray, q_digests: np.ndarray, k: int):
+        self.block, self.query, self.k = block, (query_ids, q_digests, q_times), k
+        self.scores = np.full((len(query_ids), k), _NONE, np.int64)
+        self.rows = np.zeros((3, len(query_ids), k), np.int64)
+
+    def add(self, at: tuple[np.ndarray, np.ndarray], scores: np.ndarray, *rows: np.ndarray) -> None:
+        """``at``: query and rank of each score; ``rows``: id, digest and times of its row."""
+        members = np.unique(at[0])
+        if not len(members):
+            return
+        to = np.searchsorted(members, at[0]), at[1] + self.k
+        both = np.full((len(members), 2 * self.k), _NONE, np.int64)
+        both[:, : self.k], both[to] = self.scores[members], scores
+        of = np.zeros((3, *both.shape), np.int64)
+        of[:, :, : self.k] = self.rows[:, members]
+        for i, x in enumerate(rows):
+            of[i][to] = x
+        first = np.lexsort((of[1], of[0], ~both), axis=1)[:, : self.k]  # ~s falls as s rises, for the least long too
+        self.scores[members] = np.take_along_axis(both, first, 1)
+        self.rows[:, members] = np.stack([np.take_along_axis(x, first, 1) for x in of])
+
+    def batch(self) -> pa.RecordBatch:
+        at = np.nonzero(self.scores != _NONE)
+        ids, digests, times = (x[at] for x in self.rows)
+        columns = [np.full(len(ids), self.block), *(x[at[0]] for x in self.query), ids, digests, times, self.scores[at]]
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["block", "query_id", "query_row", "query_times", "vec_id", "row", "times", "score"])
+
+
 def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: int = 256) -> DataFrame:
     """(id, v): floor(scale * x) of every component; rows with a NULL id, NULL vector, or a NULL or non-finite component are left out.
 
@@ -236,51 +369,44 @@ def top_k(
     shared = spark.sparkContext.broadcast(seed)  # SEED_ROWS rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees: dict[tuple, CoverTree] = {}
-
-        def tree(kind: str, r: dict, rows: np.ndarray) -> CoverTree:
-            """A block's tree is made once for pairs that follow each other; two are held."""
-            key = (kind, r["block"] if kind == "data" else r["q_block"], r["size"])
-            if key not in trees:
-                for old in [x for x in trees if x[0] == kind]:
-                    del trees[old]
-                trees[key] = CoverTree(rows)
-            return trees[key]
-
+        """Every pair of blocks in a task, and the best of each query over all of them."""
+        data_key, tree, digests = None, None, {}
+        asked: OrderedDict[tuple, tuple[CoverTree, np.ndarray]] = OrderedDict()
+        best: dict[tuple, _Kept] = {}
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in (row for i in range(batch.num_rows) for row in batch.slice(i, 1).to_pylist()):
                 query_ids, data_ids, q_times, times = (np.frombuffer(r[c], np.int64) for c in ("q_ids", "ids", "q_times", "times"))
                 q, d = (np.frombuffer(r[c], np.int64).reshape(len(i), -1) for c, i in (("q_rows", query_ids), ("rows", data_ids)))
-                some = [s for s in shared.value if len(s[1]) == r["size"]]
-                floor = np.full(len(query_ids), _NONE)
-                if len(some) > k and r["size"]:
-                    seeds = np.stack([s[1] for s in some])
-                    scores = products(q, seeds)
-                    scores[query_ids[:, None] == np.array([int(s[0]) for s in some])[None, :]] = _NONE
-                    floor = np.partition(scores, -k, axis=1)[:, -k]
-                best = search(tree("query", r, q), query_ids, tree("data", r, d), data_ids, k, floor, times)
-                at = np.nonzero(best.scores != _NONE)
-                place = best.places[at]
+                if data_key != (r["block"], r["size"]):
+                    data_key, tree, digests = (r["block"], r["size"]), CoverTree(d), {}
+                key = (r["q_block"], r["size"])
+                if key not in asked:
+                    asked[key] = CoverTree(q), _seeded(q, query_ids, [s for s in shared.value if len(s[1]) == r["size"]], k)
+                    if len(asked) > QUERY_TREES:
+                        asked.popitem(last=False)
+                queries_tree, floor = asked[key]
+                asked.move_to_end(key)
+                if key not in best:
+                    best[key] = _Kept(r["block"], query_ids.copy(), q_times.copy(), np.array([_digest(x) for x in q], np.int64), k)
+                found = search(queries_tree, query_ids, tree, data_ids, k, np.maximum(floor, best[key].scores[:, -1]), times)
+                at = np.nonzero(found.scores != _NONE)
+                place = found.places[at]
+                digests.update((p, _digest(d[p])) for p in {*place.tolist()} - digests.keys())
                 # What is equal to the query in id and vector stands for the others.
                 own = (data_ids[place] == query_ids[at[0]]) & (d[place] == q[at[0]]).all(axis=1)
-                digest = [xxhash.xxh3_64_intdigest(d[p].tobytes()) - (1 << 63) for p in place.tolist()]
-                q_digest = [xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) for x in q]
-                columns = [
-                    np.full(len(place), r["block"]), query_ids[at[0]], np.array(q_digest, np.int64)[at[0]], q_times[at[0]],
-                    data_ids[place], np.array(digest, np.int64), times[place] - own, best.scores[at],
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["block", "query_id", "query_row", "query_times", "vec_id", "row", "times", "score"])
+                best[key].add(at, found.scores[at], data_ids[place], np.array([digests[p] for p in place.tolist()], np.int64), times[place] - own)
+        for held in best.values():
+            yield held.batch()
 
     n_data, n_queries = (t.agg(F.coalesce(F.max("block"), F.lit(-1))).first()[0] for t in (data, queries))
     if n_data < 0 or n_queries < 0:
         return spark.createDataFrame([], RESULT)
-    # Every block of queries meets every block of data; the pairs of a block of data follow each other.
-    left = data.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(n_queries)).cast("array<long>")))
-    right = queries.select(
-        F.explode(F.sequence(F.lit(0), F.lit(n_data)).cast("array<long>")).alias("block"),
-        F.col("block").alias("q_block"), "size", F.col("ids").alias("q_ids"), F.col("times").alias("q_times"), F.col("rows").alias("q_rows"),
+    # Every block of queries meets every block of data where the data is read: neither is shuffled for it, copied or sent to the driver.
+    # A task holds QUERY_BLOCKS blocks of queries.
+    some_queries = queries.repartition(-(-(n_queries + 1) // QUERY_BLOCKS), "block").select(
+        F.col("block").alias("q_block"), F.col("size").alias("q_size"), F.col("ids").alias("q_ids"), F.col("times").alias("q_times"), F.col("rows").alias("q_rows")
     )
-    pairs = left.join(right, ["block", "q_block", "size"])
+    pairs = data.join(some_queries.hint("shuffle_replicate_nl"), F.col("size") == F.col("q_size"))
     columns = ["block", "q_block", "size", "ids", "times", "rows", "q_ids", "q_times", "q_rows"]
     names = "block long, query_id long, query_row long, query_times long, vec_id long, row long, times long, score long"
     found = pairs.select(*columns).mapInArrow(run, names)

@@ -99,3 +99,24 @@ def test_pruning_leaves_pairs_out():
     scores = rows[:200] @ rows.T
     scores[np.arange(200), np.arange(200)] = covertree._NONE
     assert (best.scores == np.sort(scores, axis=1)[:, ::-1][:, :5]).all()
+
+
+def test_blocks_meet_without_copies_for_each_other(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = covertree.top_k(df, F.col("vec_id") % 10 == 0, data_block=20, query_block=2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # A broadcast, or a shuffle of a row for every pair of blocks, is blocks of data times all queries.
+    assert "CartesianProduct" in plan and "Broadcast" not in plan and "explode(sequence(0" not in plan
+    assert sorted(map(tuple, found.collect())) == _brute(rows, lambda q: q % 10 == 0)
+
+
+def test_best_over_blocks_keeps_ties_in_order():
+    kept = covertree._Kept(0, np.array([5, 6]), np.array([1, 1]), np.array([0, 0]), 2)
+    at = lambda *pairs: tuple(np.array(x) for x in zip(*pairs))
+    kept.add(at((0, 0), (0, 1)), np.array([9, 7]), np.array([30, 10]), np.array([1, 2]), np.array([1, 4]))
+    kept.add(at((0, 0), (1, 0)), np.array([9, -3]), np.array([20, 8]), np.array([3, 4]), np.array([2, 1]))
+    kept.add(at((0, 0),), np.array([7]), np.array([1]), np.array([5]), np.array([1]))
+    out = kept.batch().to_pydict()
+    assert [*zip(out["query_id"], out["vec_id"], out["score"], out["times"])] == [(5, 20, 9, 2), (5, 30, 9, 1), (6, 8, -3, 1)]
