@@ -10,7 +10,9 @@ nearly all of them have nothing to do with a document.  Here rules stay a table:
    one pattern is made, and a text is walked for these; of more, every stretch of a text is one to look up.
 3. They are counted exactly where they meet, beside the text.  What is not literally there but
    listed under a piece is compared with the windows of the text around such pieces.
-4. Only sums are shuffled, one small row for each document and task: neither texts nor pairs leave their task.
+4. Without near matches, many literals are counted in one walk of a pattern instead (``_Walk``): what it reports joins
+   a table of points, and the text is not searched for each.
+5. Only sums are shuffled, one small row for each document and task: neither texts nor pairs leave their task.
 
 The index is broadcast in blocks of bounded length, a pass over the texts each.  Nothing of the rules comes to the driver
 otherwise but the classes' names, the patterns of regular expressions, which have no pieces and stay expressions, and
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from doctriage import fixed
 from doctriage.functions.fuzzy import similar_enough, text_inside_keyword
-from doctriage.functions.multi import Literals
+from doctriage.functions.multi import FEW, Literals
 from doctriage.functions.regex import bind, count_matches
 from doctriage.functions.text import normalize_text, text_or_empty
 from doctriage.sources.rules import MAX_RULES, Rules
@@ -38,6 +40,10 @@ GRAM = 4
 RULES_IN_BLOCK = 20_000
 #: Entries of the index whose grams one pattern looks for.
 LISTED_GRAMS = 10_000
+#: Literals, with what tells of their overlaps, that one pattern counts in a walk; characters of the longest of them.
+WALKED_WORDS, WALKED_CHARS = 10_000, 64
+#: Stands before a word in the entries that take overlapping places off again, and between literals that are given as one text.
+_OVERLAP, _BETWEEN = "\x02", "\x03"
 #: The entry that every text is listed under, and what stands before the grams of tiny texts; neither is as long as a gram.
 _EVERY, _TINY = "", "\x01" * GRAM
 
@@ -198,6 +204,79 @@ def _grams_to_look_up(norm: Column, literals: DataFrame, sizes: list[int]) -> Co
     return F.array_distinct(F.flatten(F.transform(found, lambda g: F.array(*[F.left(g, F.lit(s)) for s in sizes]))))
 
 
+def _overlapped(word: str) -> list[str]:
+    """What a text holds where the word begins again inside itself."""
+    return [word + word[b:] for b in range(1, len(word)) if word.endswith(word[:b])]
+
+
+class _Walk:
+    """Literals that are counted in one walk over a text.
+
+    One pattern reports the longest of them at every place of a text, which tells of all it begins with. Places where a word overlaps itself are
+    no hits, but count only where the text holds such a stretch; these are literals of the walk too, and a text with one of them is counted again.
+    """
+
+    def __init__(self, words: list[str]):
+        self.words = sorted(words)
+        self.literals = Literals([*words, *(e for w in words for e in _overlapped(w))])
+        known = set(words)
+        self.begins = [(x, x[:n]) for x in self.literals.words for n in range(1, len(x) + 1) if x[:n] in known]
+        self.again = [(x, w) for x, w in self.begins if any(x.startswith(e) for e in _overlapped(w))]
+
+    def found(self, norm: Column) -> Column:
+        """The entries of a text, one for every hit and one for every place too many: array<string>."""
+        hits = F.regexp_extract_all(norm, F.lit(self.literals.pattern), F.lit(1))
+        if not self.again:
+            return hits
+        texts, words = (F.split(F.lit(_BETWEEN.join(pair[i] for pair in self.again)), _BETWEEN) for i in (0, 1))
+
+        def too_many(found: Column, word: Column) -> Column:
+            places = F.size(F.filter(found, lambda x: F.startswith(x, word)))
+            removed = F.octet_length(norm) - F.octet_length(F.replace(norm, word, F.lit("")))
+            return F.array_repeat(F.concat(F.lit(_OVERLAP), word), places - (removed / F.octet_length(word)).cast("int"))
+
+        def again(found: Column, held: Column) -> Column:
+            own = F.filter(F.arrays_zip(texts.alias("x"), words.alias("w")), lambda p: F.array_contains(held, p["x"]))
+            return F.flatten(F.transform(F.array_distinct(F.transform(own, lambda p: p["w"])), lambda w: too_many(found, w)))
+
+        none = F.array().cast("array<string>")
+        return bind(hits, lambda found: F.concat(found, bind(F.array_intersect(found, texts), lambda held: F.when(F.size(held) > 0, again(found, held)).otherwise(none))))
+
+    def entries(self, literals: DataFrame) -> DataFrame:
+        """(gram, class, points): what each entry gives."""
+        ways = [(x, w, "1") for x, w in self.begins] + [(_OVERLAP + w, w, "-1") for w in sorted({w for _, w in self.again})]
+        given = F.lit(_BETWEEN.join(part for way in ways for part in way))  # in the plan: no task makes them from Python's objects
+        parts = literals.sparkSession.range(1).select(F.split(given, _BETWEEN).alias("parts"))
+        places = F.sequence(F.lit(0), F.size("parts") - 3, F.lit(3))
+        rows = parts.select("parts", F.explode(places).alias("i")).select(
+            F.get("parts", F.col("i")).alias("gram"), F.get("parts", F.col("i") + 1).alias("word"), F.get("parts", F.col("i") + 2).cast("int").alias("sign")
+        )
+        found = literals.join(F.broadcast(rows), "word")
+        return found.groupBy("gram", "class").agg(F.sum(F.col("sign") * F.col("weight") * F.col("times")).alias("points"))
+
+
+def _walked(literals: DataFrame, rules: int) -> tuple[_Walk | None, bool]:
+    """The walk for the literals, and whether it has all of them; none for few of them, or for more than one pattern takes."""
+    if not FEW < rules <= WALKED_WORDS:
+        return None, False
+    rows = literals.where(_lettered()).select("word", _may_walk().alias("short")).collect()
+    words = {r["word"] for r in rows if r["short"]}
+    walk = _Walk([*words]) if len(words) > FEW else None
+    if walk is None or len(walk.literals.words) > 2 * WALKED_WORDS:
+        return None, False
+    return walk, all(r["short"] for r in rows)
+
+
+def _lettered() -> Column:
+    """A word without letters has no grams."""
+    return F.col("grams").isNotNull()
+
+
+def _may_walk() -> Column:
+    marks = F.contains("word", F.lit(_OVERLAP)) | F.contains("word", F.lit(_BETWEEN))
+    return _lettered() & (F.length("word") <= WALKED_CHARS) & ~marks
+
+
 def _class_names(rules_table: DataFrame) -> list[str]:
     """Classes in rule order, the built-in ones that the table doesn't have last."""
     rows = rules_table.groupBy("class").agg(F.min("class_ord").alias("place")).limit(MAX_RULES + 1).collect()
@@ -249,15 +328,24 @@ def score_by_index(
 
     norm = F.col("norm")
     docs = df.select(*keys, F.xxhash64(raw).alias("doc"), normalize_text(F.col(text)).alias("norm"), *counts)
+    kept = [*keys, "doc", *[c for found in by_regex.values() for c, _, _ in found]]
+    parts = []
+    # Words with near matches need the text anyway.
+    walk, alone = (None, False) if fuzzy else _walked(literals, known["rules"])
+    if walk:
+        entries = walk.entries(literals.where(_may_walk()))
+        literals = literals.where(~_may_walk())
+        words = docs.select(*kept, F.length(norm).alias("_chars"), "norm").withColumn("gram", F.explode(F.concat(F.array(F.lit(_EVERY)), walk.found(norm))))
+        parts.append(words.join(F.broadcast(entries), "gram", "left").select(
+            *kept, F.col("class").alias("_class"), F.col("points").alias("_points"), "_chars", F.when(F.col("gram") == _EVERY, int(alone)).otherwise(0).alias("_row"),
+        ))
     # Words and pieces shorter than a gram are looked for by grams of their own length, if there are any.
-    listed = [F.array(F.lit(_EVERY)), _grams_to_look_up(norm, literals, sizes)]
+    listed = [F.array(F.lit(_EVERY)), *([_grams_to_look_up(norm, literals, sizes)] if not alone else [])]
     if longest:
         tiny = F.transform(_tiny_grams(norm), lambda g: F.concat(F.lit(_TINY), g))
         listed.append(F.when(F.length(norm).between(1, longest), tiny).otherwise(F.array().cast("array<string>")))
     exploded = docs.withColumn("gram", F.explode(F.concat(*listed)))
-    kept = [*keys, "doc", *[c for found in by_regex.values() for c, _, _ in found]]
-    blocks = max(1, -(-known["rules"] // RULES_IN_BLOCK))
-    parts = []
+    blocks = max(1, -(-known["rules"] // RULES_IN_BLOCK)) if not alone else 0
     for block in range(blocks):
         own = literals.where((F.pmod("rule", F.lit(blocks)) == block) & F.col("grams").isNotNull())
         entries = own.select(F.posexplode("grams").alias("place", "gram"), "rule")

@@ -150,3 +150,26 @@ def test_windows_at_the_ends_of_a_text_and_over_line_ends(spark):
     table = Rules.from_dict({"a": {"keywords": words[:2]}, "b": {"keywords": words[2:]}}).to_table(spark)
     want = by_class(score_by_table(df, table))
     assert by_class(score_by_index(df, table)) == want and sum(r[3] > 0 for r in want) > 10
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_words_are_counted_in_one_walk(spark, seed):
+    """Words that begin with each other, overlap each other and themselves; one of over 64 characters and one of no letters beside them."""
+    rng = random.Random(seed)
+    letters = "ab" if seed else "ab.é😀 "
+    words = sorted({"".join(rng.choices(letters, k=rng.randint(1, 9))).strip() for _ in range(400)} - {""})[:150] + ["aaaa", "a" * 70]
+    rules = Rules.from_dict({"x": {"keywords": words[::2], "phrases": words[::3]}, "y": {"keywords": [*words[1::2], *words[:20]], "regexes": [{"pattern": "a+", "weight": 1.5}]}})
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 400))) for _ in range(40)] + [None, "", "a" * 500, "ab" * 200, "q"]
+    df = spark.createDataFrame([(str(i % 40), t) for i, t in enumerate([*texts, texts[3], texts[42]])], "path string, text string")
+    assert len(words) > multi.FEW
+    for table in (rules.to_table(spark), Rules.from_dict({"x": {"keywords": words[::2] + [""]}, "y": {"keywords": words}}).to_table(spark)):
+        assert by_class(score_by_index(df, table, fuzzy=False)) == by_class(score_by_table(df, table, fuzzy=False))
+
+
+def test_no_text_is_searched_for_each_word(spark):
+    words = [f"w{i:03d}x" for i in range(100)]
+    table = Rules.from_dict({"x": {"keywords": words}}).to_table(spark)
+    df = spark.createDataFrame([("a", "w001x w001xw002x"), ("b", "none")], "path string, text string")
+    scores = score_by_index(df, table, fuzzy=False)
+    assert "contains(norm" not in scores._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["path"]: r["score"] for r in scores.where("class = 'x'").collect()} == {"a": 3.0, "b": 0.0}
